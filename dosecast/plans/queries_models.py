@@ -1 +1,120 @@
-"""Registered queries."""
+"""Registered queries: fits, predictions, model runs, search."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dosecast.operators.boosted import fit_boosted, predict_boosted
+from dosecast.operators.linear import fit_linear, predict_linear
+from dosecast.operators.neural import dnn_spec, fit_networks, mlp_spec, predict_networks
+from dosecast.plans import modeling
+from dosecast.plans import sql as q
+from dosecast.plans.catalog import query
+from dosecast.plans.queries_scores import METRIC_NAMES, SEED, metric_columns_sql, metric_picks_sql, r6, rounded
+from dosecast.plans.search import run_search
+from dosecast.plans.views import CANCER_TYPES, load
+from dosecast.session import materialize
+
+COLUMNS = modeling.Columns(key="vec_id", features="embedding")
+TWO = modeling.Columns(key="vec_id", features="two")
+SETTINGS = modeling.Settings(seed=SEED)
+
+_FEATURES = """
+    features AS (SELECT vec_id AS row_id, cancer_type, AUC AS y, CAST(embedding[1] AS DOUBLE) AS x1,
+                        CAST(embedding[2] AS DOUBLE) AS x2 FROM v_features)"""
+
+
+def _linear_sql(group: str | None) -> str:
+    return f"""{q.WITH('v_features')}, {_FEATURES},
+    split_rows AS ({q.split('features', 'row_id', 0.2, 0.2, SEED, group)}),
+    train_rows AS (SELECT * FROM split_rows WHERE split = 'train'),
+    unseen AS (SELECT * FROM split_rows WHERE split <> 'train'),
+    scored AS ({q.linear_two('train_rows', 'unseen', group)})"""
+
+
+def features(spark, sf) -> DataFrame:
+    """The feature table with a second vector column of the first two features only."""
+    return load(spark, sf, "v_features").withColumn("two", F.slice("embedding", 1, 2))
+
+
+def split_rows(spark, sf, columns=COLUMNS) -> DataFrame:
+    return materialize(modeling.split_table(features(spark, sf), columns, SETTINGS, by_group=False), "split")
+
+
+def _predictions(scored: DataFrame) -> DataFrame:
+    return rounded(scored.select("row_id", "split", "y", "p"), "p")
+
+
+@query("fit_linear", f"{_linear_sql(None)} SELECT row_id, split, y, {r6('p')} AS p FROM scored")
+def linear(spark, sf):
+    rows = split_rows(spark, sf, TWO)
+    return _predictions(predict_linear(fit_linear(rows.filter("split = 'train'")), rows.filter("split <> 'train'")))
+
+
+@query("fit_linear_wide")
+def linear_wide(spark, sf):
+    rows = split_rows(spark, sf)
+    return _predictions(predict_linear(fit_linear(rows.filter("split = 'train'")), rows.filter("split <> 'train'")))
+
+
+@query("fit_boosted")
+def boosted(spark, sf):
+    rows = split_rows(spark, sf)
+    model = fit_boosted(rows.filter("split = 'train'"), seed=SEED)
+    return _predictions(predict_boosted(model, rows.filter("split <> 'train'")))
+
+
+def _network(rows: DataFrame, spec) -> DataFrame:
+    models = fit_networks(rows, [spec], "row_id")
+    return _predictions(predict_networks(rows.filter("split <> 'train'"), models, "row_id"))
+
+
+@query("fit_mlp")
+def mlp(spark, sf):
+    return _network(split_rows(spark, sf), mlp_spec(seed=SEED))
+
+
+@query("fit_dnn")
+def dnn(spark, sf):
+    return _network(split_rows(spark, sf), dnn_spec(seed=SEED))
+
+
+@query(
+    "predict_score",
+    f"""{_linear_sql('cancer_type')}
+    SELECT 'linear' AS model, cancer_type, split, row_id, y, {r6('p')} AS p FROM scored""",
+)
+def predict_score(spark, sf):
+    return rounded(modeling.predict_score(features(spark, sf), "linear", CANCER_TYPES, TWO, SETTINGS), "p")
+
+
+_METRICS = [f"{s}_{m}" for s in ("validation", "test") for m in METRIC_NAMES]
+_FLAGSHIP = modeling.Settings(seed=SEED, n_bootstrap=0)
+
+
+@query(
+    "run_models_by_group",
+    f"""{_linear_sql('cancer_type')}, named AS (SELECT 'linear' AS model_name, * FROM scored),
+    {metric_columns_sql('named', ['model_name', 'cancer_type'])}
+    SELECT model_name, 'LinearRegression' AS model_label, cancer_type, {metric_picks_sql()}
+    FROM scores GROUP BY model_name, cancer_type""",
+)
+def by_group(spark, sf):
+    return rounded(modeling.run_models(features(spark, sf), "linear", CANCER_TYPES, TWO, _FLAGSHIP), *_METRICS)
+
+
+@query("run_models")
+def run_models(spark, sf):
+    return modeling.run_models(features(spark, sf), modeling.ALL_MODELS, None, COLUMNS, SETTINGS)
+
+
+@query("run_models_by_group_networks")
+def by_group_networks(spark, sf):
+    return modeling.run_models(features(spark, sf), ["linear", "mlp", "custom"], CANCER_TYPES, COLUMNS, SETTINGS)
+
+
+@query("run_search")
+def search(spark, sf):
+    found = run_search(features(spark, sf), n_trials=8, seed=SEED, columns=COLUMNS, epochs=20, patience=5)
+    return found.trials.withColumn("hidden_dims", F.array_join("hidden_dims", "-"))

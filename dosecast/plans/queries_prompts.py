@@ -8,7 +8,7 @@ from dosecast.functions import text
 from dosecast.operators import features, prompts
 from dosecast.operators.prompts import BASE_COLUMNS
 from dosecast.plans import sql as q
-from dosecast.plans.registry import query
+from dosecast.plans.catalog import query
 from dosecast.plans.views import CANCER_TYPES, load
 from dosecast.functions.vectors import wide_columns
 from dosecast.sources.tables import PROMPT_SCHEMA

@@ -10,7 +10,7 @@ from dosecast.operators.early_stop import best_trial, early_stop_epoch
 from dosecast.operators.split import split_three_way
 from dosecast.plans import sql as q
 from dosecast.plans.modeling import append_results
-from dosecast.plans.registry import query
+from dosecast.plans.catalog import query
 from dosecast.plans.search import search_space, trial_table
 from dosecast.plans.views import load
 from dosecast.session import materialize

@@ -4,26 +4,11 @@ Every query reads whole tables. Vectors are compared element by element, so resu
 hold plain columns only; doubles that come from sums are rounded to six digits.
 """
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(function: Query) -> Query:
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return register
-
-
-from dosecast.plans import queries_embed, queries_models, queries_prompts, queries_scores, queries_sources  # noqa: E402,F401
+from dosecast.plans import (  # noqa: F401  (importing registers the queries)
+    queries_embed,
+    queries_models,
+    queries_prompts,
+    queries_scores,
+    queries_sources,
+)
+from dosecast.plans.catalog import ORACLES, QUERIES  # noqa: F401

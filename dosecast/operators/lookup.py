@@ -4,18 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dosecast.session import materialize
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 64 << 20
 HOT_FRACTION = 1000  # a key is hot when it holds more than 1/1000 of the rows
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; call it on written tables."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """Estimated bytes of a row once it sits in a broadcast hash table."""
+    total = F.lit(16)
+    for field in df.schema:
+        if isinstance(field.dataType, T.StringType):
+            total = total + 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            total = total + 16 + 8 * F.greatest(F.size(field.name), F.lit(0))
+        else:
+            total = total + 16
+    return total
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` is within both bounds; call it on written tables."""
+    seen = df.limit(max_rows + 1).select(row_bytes(df).alias("_bytes"))
+    found = seen.agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes")).first()
+    return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def lookup_join(
@@ -23,22 +40,34 @@ def lookup_join(
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    max_broadcast_rows: int = BROADCAST_ROWS,
+    max_rows: int = BROADCAST_ROWS,
+    key_counts: DataFrame | None = None,
+    even: bool = False,
 ) -> DataFrame:
     """Join ``lookup`` (unique and non-null on ``keys``, already written) to ``rows``.
 
     A lookup of checked size is broadcast. A larger one is joined by shuffle, but
     rows of hot keys are answered by broadcasting their lookup rows only: fewer
     than ``HOT_FRACTION`` keys can each hold more than that share of the rows.
-    ``how`` is ``left`` or ``inner``.
+
+    ``how`` is ``left`` or ``inner``. ``key_counts`` (keys, ``_count``) saves a pass
+    over the rows where the counts are known; ``even`` says that no key is hot.
     """
     keys = list(keys)
-    if fits_broadcast(lookup, max_broadcast_rows):
+    if fits_broadcast(lookup, max_rows):
         return rows.join(F.broadcast(lookup), keys, how)
+    return shuffled_lookup(rows, lookup, keys, how, key_counts, even)
 
-    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), "key_counts")
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    hot_keys = materialize(counts.filter(F.col("_rows") > total / HOT_FRACTION).select(*keys), "hot_keys")
+
+def shuffled_lookup(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, key_counts: DataFrame | None, even: bool
+) -> DataFrame:
+    if even:
+        return rows.join(lookup, keys, how)
+    if key_counts is None:
+        key_counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count")), "key_counts")
+    total = key_counts.agg(F.sum("_count")).first()[0] or 0
+    hot_keys = materialize(key_counts.filter(F.col("_count") > total / HOT_FRACTION).select(*keys), "hot_keys")
     if hot_keys.isEmpty():
         return rows.join(lookup, keys, how)
     hot_lookup = lookup.join(F.broadcast(hot_keys), keys, "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dosecast.functions.hashing import md5_long
 from dosecast.functions.tdist import two_sided_p
 from dosecast.operators.lookup import lookup_join
-from dosecast.operators.ranking import average_rank, null_safe_corr, random_order
+from dosecast.operators.ranking import average_rank_table, null_safe_corr, random_order
 from dosecast.session import materialize
 
 # Draws are ranked in one task per (group, replicate) only up to this many rows.
@@ -39,8 +39,9 @@ def complete_pairs(pairs: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def spearman(pairs: DataFrame, group: Sequence[str] = (), y: str = "y", p: str = "p", **rank_args) -> DataFrame:
     """Rank correlation with average ranks; one row per group (``n``, ``spearman``)."""
     group = list(group)
-    ranked = average_rank(complete_pairs(pairs, y, p).select(*group, y, p), y, group, "_ry", **rank_args)
-    ranked = average_rank(ranked, p, group, "_rp", **rank_args)
+    pairs = complete_pairs(pairs, y, p).select(*group, y, p)
+    tables = [average_rank_table(pairs, v, group, r, **rank_args) for v, r in ((y, "_ry"), (p, "_rp"))]
+    ranked = tables[1].attach(tables[0].attach(pairs))
     return ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), null_safe_corr("_ry", "_rp").alias("spearman")
     )
@@ -87,7 +88,7 @@ def bootstrap_draws(
     draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn(
         "_pos", F.pmod(md5_long(seed, F.col("rep"), F.col("_slot")), F.col("_n"))
     )
-    drawn = lookup_join(draws.select(*group, "rep", "_pos"), base, [*group, "_pos"], "inner")
+    drawn = lookup_join(draws.select(*group, "rep", "_pos"), base, [*group, "_pos"], "inner", even=True)
     return drawn.drop("_pos"), largest
 
 

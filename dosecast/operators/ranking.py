@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosecast.functions.hashing import md5_key
-from dosecast.operators.lookup import fits_broadcast, lookup_join
+from dosecast.operators.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join
 from dosecast.session import materialize
 
-# A window over one group is used only while the group's rows are known to fit one task.
-WINDOW_ROWS = 500_000
+# One task orders a whole group only while all groups together are known to be this small.
+WINDOW_ROWS = BROADCAST_ROWS
 BUCKET_DIGITS = 4  # md5 prefix: 65,536 even buckets per group
 
 
@@ -61,7 +62,6 @@ def random_order(
 
 def sorted_order(df: DataFrame, order: Sequence[str], position: str = "row_no") -> DataFrame:
     """Number all rows 0..n-1 in the order of a unique key, range partition by range partition."""
-    spark = df.sparkSession
     ranged = (
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
     )
@@ -81,15 +81,22 @@ def sorted_order(df: DataFrame, order: Sequence[str], position: str = "row_no")
     )
 
 
-def value_counts_before(counts: DataFrame, value: str, group: Sequence[str], window_rows: int) -> DataFrame:
-    """Add ``_before``, the weight of all smaller values of the group.
+def value_counts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Rows per (group, value), written. A value that fills a third of the table is one
+    row from here on."""
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*group, value)
+    return materialize(rows.agg(F.count(F.lit(1)).alias("_count")), "value_counts")
 
-    ``counts`` is written, unique on (group, value), with its weight in ``_count``.
+
+def with_count_before(counts: DataFrame, value: str, group: Sequence[str], fits_task: bool) -> DataFrame:
+    """Add ``_before``, the number of rows with smaller values of the group.
+
+    ``fits_task`` says that all of ``counts`` is known to fit one task.
     """
     group = list(group)
     by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     preceding = (Window.unboundedPreceding, -1)
-    if fits_broadcast(counts, window_rows):
+    if fits_task:
         before = F.sum("_count").over(by_group.orderBy(value).rowsBetween(*preceding))
         return counts.withColumn("_before", F.coalesce(before, F.lit(0)))
 
@@ -113,29 +120,37 @@ def value_counts_before(counts: DataFrame, value: str, group: Sequence[str], win
     )
 
 
+@dataclass
+class RankTable:
+    """Average ranks per (group, value), ready to be joined to rows."""
+
+    ranks: DataFrame
+    counts: DataFrame
+    keys: list[str]
+    small: bool
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        if self.small:
+            return rows.join(F.broadcast(self.ranks), self.keys, "left")
+        return lookup_join(rows, self.ranks, self.keys, max_rows=0, key_counts=self.counts)
+
+
 def average_rank_table(
     df: DataFrame, value: str, group: Sequence[str] = (), rank: str = "rank", window_rows: int = WINDOW_ROWS
-) -> DataFrame:
-    """One row per (group, value) with the average rank that ties share.
-
-    Equal values are counted before any ordering, so a value that fills a third
-    of the table is one row from there on.
-    """
-    group = list(group)
-    counts = materialize(
-        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_count")), "counts"
-    )
-    ranked = value_counts_before(counts, value, group, window_rows)
-    table = ranked.select(*group, value, (F.col("_before") + (F.col("_count") + 1) / 2).alias(rank))
-    return materialize(table, "ranks")
+) -> RankTable:
+    """The average rank that equal values of a group share."""
+    counts = value_counts(df, value, group)
+    small = fits_broadcast(counts, window_rows)
+    ranked = with_count_before(counts, value, group, small)
+    ranks = ranked.select(*group, value, (F.col("_before") + (F.col("_count") + 1) / 2).alias(rank))
+    return RankTable(ranks if small else materialize(ranks, "ranks"), counts, [*group, value], small)
 
 
 def average_rank(
     df: DataFrame, value: str, group: Sequence[str] = (), rank: str = "rank", window_rows: int = WINDOW_ROWS
 ) -> DataFrame:
     """Add the average rank of ``value`` inside its group (ties share the mean)."""
-    table = average_rank_table(df, value, group, rank, window_rows)
-    return lookup_join(df, table, [*group, value])
+    return average_rank_table(df, value, group, rank, window_rows).attach(df)
 
 
 def exact_percentiles(
@@ -147,11 +162,9 @@ def exact_percentiles(
     distinct values, so no group is ever gathered.
     """
     group = list(group)
-    counts = materialize(
-        df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_count")), "counts"
-    )
+    counts = value_counts(df, value, group)
     sizes = materialize(counts.groupBy(*group).agg(F.sum("_count").alias("_n")), "sizes")
-    ordered = value_counts_before(counts, value, group, window_rows)
+    ordered = with_count_before(counts, value, group, fits_broadcast(counts, window_rows))
     if group:
         placed = lookup_join(ordered, sizes, group, "inner")
     else:

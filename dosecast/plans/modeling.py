@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,16 +118,18 @@ def predict_score(
 ) -> DataFrame:
     """Fit the models and return the written long table (model, cancer_type, split, row_id, y, p).
 
+    ``df`` is a written feature table: the split is recomputed in each scan, which is
+    cheaper than keeping a second copy of the vectors, and group filters reach the files.
+
     With ``groups`` every model is fitted inside each listed cancer type that has rows.
     """
     names = chosen_models(model)
     by_group = groups is not None
     rows = filter_groups(df, groups, columns.group) if by_group else df
-    rows = split_table(rows, columns, settings, by_group).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = split_table(rows, columns, settings, by_group)
     present = groups_with_rows(rows, groups) if by_group else []
     group = "cancer_type" if by_group else None
     scored = [materialize(MODELS[name](rows, group, present, settings), "predictions") for name in names]
-    rows.unpersist()
     return reduce(DataFrame.unionByName, scored)
 
 

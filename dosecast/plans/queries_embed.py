@@ -45,14 +45,21 @@ _LONG_DOCS = """long_docs AS (
     UNION ALL SELECT doc_id || '|source', coalesce(source, '') FROM v_docs)"""
 
 
-@query(
-    "embed_columns",
-    f"""{q.WITH('v_docs')}, {_LONG_DOCS}
+_LONG_SQL = f"""{q.WITH('v_docs')}, {_LONG_DOCS}
     SELECT CAST(split_part(id, '|', 1) AS BIGINT) AS doc_id, split_part(id, '|', 2) AS variant, position,
            round(CAST(value AS DOUBLE), 6) AS value
-    FROM ({hashed_sql('long_docs', 'id')})""",
-)
+    FROM ({hashed_sql('long_docs', 'id')})"""
+
+
+@query("embed_columns", _LONG_SQL)
 def embed_columns(spark, sf):
+    encoder = partial(embed.TokenHashEncoder, DIMS, TOKENS)
+    rows = embed.embed_columns(load(spark, sf, "v_docs"), "doc_id", ["text", "source"], encoder, batch_size=256)
+    return non_zero(rows, "doc_id", "variant")
+
+
+@query("embed_columns_sql", _LONG_SQL)
+def embed_columns_sql(spark, sf):
     prompts = embed.long_prompts(load(spark, sf, "v_docs"), "doc_id", ["text", "source"])
     return non_zero(
         embed.hash_embed_sql(prompts, ["doc_id", "variant"], "prompt", DIMS, TOKENS), "doc_id", "variant"

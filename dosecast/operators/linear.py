@@ -150,7 +150,7 @@ def predict_linear(
                     out[codes == code] = x[codes == code] @ coefficients + intercept
             return pa.array(out, from_pandas=True)
 
-        scored = keyed.withColumn(output, apply(F.col(by).cast("string"), F.col(features)))
+        scored = keyed.withColumn(output, apply.asNondeterministic()(F.col(by).cast("string"), F.col(features)))
     else:
         joined = lookup_join(keyed, model.select(by, "intercept", "coefficients"), [by])
         products = F.zip_with(features, "coefficients", lambda x, c: x.cast("double") * c)

@@ -16,6 +16,7 @@ from dosecast.session import materialize
 
 # Draws are ranked in one task per (group, replicate) only up to this many rows.
 REPLICATE_ROWS = 200_000
+DRAWS_PER_TASK = 5_000_000
 
 
 def mse(y: str = "y", p: str = "p") -> Column:
@@ -82,9 +83,12 @@ def bootstrap_draws(
     base = random_order(complete_pairs(pairs).select(*group, key, "y", "p"), key, seed, group, "_pos")
     base = materialize(base.select(*group, (F.col("_pos") - 1).alias("_pos"), "y", "p"), "bootstrap_rows")
     sizes = materialize(base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "bootstrap_sizes")
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    found = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
+    largest, total = found["largest"] or 0, found["total"] or 0
     slots = base.select(*group, F.col("_pos").alias("_slot"))
     slots = lookup_join(slots, sizes, group, "inner") if group else slots.withColumn("_n", F.lit(largest))
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, total * n_bootstrap // DRAWS_PER_TASK)
+    slots = slots.repartition(tasks, *group, "_slot")
     draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn(
         "_pos", F.pmod(md5_long(seed, F.col("rep"), F.col("_slot")), F.col("_n"))
     )

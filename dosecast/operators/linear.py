@@ -37,13 +37,14 @@ def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
     return values.reshape(-1, width).astype(np.float64)
 
 
-def vector_length(df: DataFrame, features: str = "features") -> int:
-    lengths = df.agg(F.min(F.size(features)).alias("low"), F.max(F.size(features)).alias("high")).first()
-    if not lengths["high"] or lengths["low"] != lengths["high"]:
-        raise ValueError(f"feature vectors must share one length, found {lengths['low']} to {lengths['high']}")
-    if lengths["high"] > MAX_FEATURES:
-        raise ValueError(f"least squares takes at most {MAX_FEATURES} features, found {lengths['high']}")
-    return lengths["high"]
+def vector_width(df: DataFrame, features: str = "features") -> int:
+    """Width of the first vector; a vector of another width fails in the task that meets it."""
+    first = df.filter(F.col(features).isNotNull()).select(F.size(features).alias("width")).first()
+    if first is None:
+        raise ValueError("there are no rows to fit on")
+    if first["width"] > MAX_FEATURES:
+        raise ValueError(f"at most {MAX_FEATURES} features are taken, found {first['width']}")
+    return first["width"]
 
 
 def moment_rows(df: DataFrame, group: str, features: str, target: str, width: int, shift: np.ndarray) -> DataFrame:
@@ -89,7 +90,7 @@ def fit_linear(
     """
     by = group or "_group"
     rows = (train if group else train.withColumn(by, F.lit("all"))).filter(F.col(target).isNotNull())
-    width = vector_length(rows, features)
+    width = vector_width(rows, features)
     means = rows.agg(
         Summarizer.mean(array_to_vector(features)).alias("x"), F.avg(target).alias("y")
     ).first()

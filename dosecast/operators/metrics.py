@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from dosecast.session import materialize
 # Draws are ranked in one task per (group, replicate) only up to this many rows.
 REPLICATE_ROWS = 200_000
 DRAWS_PER_TASK = 5_000_000
+BLOCK_DRAWS = 20_000_000_000  # draws written at a time
 
 
 def mse(y: str = "y", p: str = "p") -> Column:
@@ -71,38 +74,59 @@ def percentiles(value: str, points: Sequence[float]) -> Column:
     return F.percentile(value, F.array(*[F.lit(float(x)) for x in points]))
 
 
-def bootstrap_draws(
-    pairs: DataFrame, key: str, n_bootstrap: int, seed: int, group: Sequence[str] = ()
-) -> tuple[DataFrame, int]:
-    """n draws with replacement per replicate, rows (group, rep, y, p), and the largest n.
-
-    Draw i of replicate r takes the row at position md5(seed:r:i) mod n, where rows
-    are numbered from 0 in md5 order of their key.
-    """
+@dataclass
+class BootstrapRows:
+    """The rows to draw from, numbered from 0 in each group, and their sizes."""
+
+    rows: DataFrame
+    sizes: DataFrame
+    group: list[str]
+    largest: int
+    total: int
+    seed: int
+
+    def draws(self, replicates: range) -> DataFrame:
+        """n draws with replacement per replicate: rows (group, rep, y, p).
+
+        Draw i of replicate r takes the row at position md5(seed:r:i) mod n.
+        """
+        cores = self.rows.sparkSession.sparkContext.defaultParallelism
+        tasks = max(cores, self.total * len(replicates) // DRAWS_PER_TASK)
+        slots = self.rows.select(*self.group, F.col("_pos").alias("_slot")).repartition(tasks, *self.group, "_slot")
+        if self.group:
+            slots = lookup_join(slots, self.sizes, self.group, "inner")
+        else:
+            slots = slots.withColumn("_n", F.lit(self.largest))
+        draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(replicates[0]), F.lit(replicates[-1]))))
+        at = F.pmod(md5_long(self.seed, F.col("rep"), F.col("_slot")), F.col("_n")).alias("_pos")
+        return lookup_join(
+            draws.select(*self.group, "rep", at), self.rows, [*self.group, "_pos"], "inner", even=True
+        ).drop("_pos")
+
+
+def bootstrap_rows(pairs: DataFrame, key: str, seed: int, group: Sequence[str] = ()) -> BootstrapRows:
     group = list(group)
     base = random_order(complete_pairs(pairs).select(*group, key, "y", "p"), key, seed, group, "_pos")
     base = materialize(base.select(*group, (F.col("_pos") - 1).alias("_pos"), "y", "p"), "bootstrap_rows")
     sizes = materialize(base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "bootstrap_sizes")
     found = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
-    largest, total = found["largest"] or 0, found["total"] or 0
-    slots = base.select(*group, F.col("_pos").alias("_slot"))
-    slots = lookup_join(slots, sizes, group, "inner") if group else slots.withColumn("_n", F.lit(largest))
-    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, total * n_bootstrap // DRAWS_PER_TASK)
-    slots = slots.repartition(tasks, *group, "_slot")
-    draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn(
-        "_pos", F.pmod(md5_long(seed, F.col("rep"), F.col("_slot")), F.col("_n"))
-    )
-    drawn = lookup_join(draws.select(*group, "rep", "_pos"), base, [*group, "_pos"], "inner", even=True)
-    return drawn.drop("_pos"), largest
+    return BootstrapRows(base, sizes, group, found["largest"] or 0, found["total"] or 0, seed)
 
 
-def replicate_correlations(draws: DataFrame, group: Sequence[str], one_task: bool) -> DataFrame:
-    """Spearman per (group, rep). ``one_task``: each replicate is known to fit one task,
-    so one shuffle serves both rankings and the aggregate."""
-    by = [*group, "rep"]
-    if not one_task:
-        return spearman(draws, by)
-    ranked = draws.select(*by, "y", "p").repartition(*by)
+def replicate_correlations(base: BootstrapRows, n_bootstrap: int, replicate_rows: int = REPLICATE_ROWS) -> DataFrame:
+    """Spearman per (group, rep).
+
+    While every replicate is known to fit one task, one shuffle serves both rankings
+    and the aggregate. Larger replicates are ranked piece by piece, and in blocks that
+    bound the draws that are on disk at a time.
+    """
+    by = [*base.group, "rep"]
+    if base.largest > replicate_rows:
+        step = max(1, BLOCK_DRAWS // base.total)
+        blocks = [range(at, min(at + step, n_bootstrap)) for at in range(0, n_bootstrap, step)]
+        done = [materialize(spearman(materialize(base.draws(b), "draws"), by), "replicates") for b in blocks]
+        return reduce(DataFrame.unionByName, done)
+    ranked = base.draws(range(n_bootstrap)).repartition(*by)
     for value, rank in (("y", "_ry"), ("p", "_rp")):
         ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
         ranked = ranked.withColumn(rank, F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2)
@@ -126,8 +150,7 @@ def bootstrap_ci(
     """
     group = list(group)
     pairs = pairs.select(*group, key, F.col(y).alias("y"), F.col(p).alias("p"))
-    draws, largest = bootstrap_draws(pairs, key, n_bootstrap, seed, group)
-    reps = replicate_correlations(draws, group, one_task=largest <= replicate_rows)
+    reps = replicate_correlations(bootstrap_rows(pairs, key, seed, group), n_bootstrap, replicate_rows)
     bounds = percentiles("spearman", [alpha / 2, 1 - alpha / 2])
     return (
         reps.groupBy(*group)

@@ -14,6 +14,7 @@ from dosecast.session import materialize
 
 # One task orders a whole group only while all groups together are known to be this small.
 WINDOW_ROWS = BROADCAST_ROWS
+PIECE_ROWS = 2_000_000  # distinct values that one task orders beyond that
 BUCKET_DIGITS = 4  # md5 prefix: 65,536 even buckets per group
 
 
@@ -101,8 +102,10 @@ def with_count_before(counts: DataFrame, value: str, group: Sequence[str], fits_
         return counts.withColumn("_before", F.coalesce(before, F.lit(0)))
 
     # Range partitions cut every group, hot or not, into even pieces of its value order.
+    shuffle_partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(shuffle_partitions, -(-counts.count() // PIECE_ROWS))
     pieces = materialize(
-        counts.repartitionByRange(*group, value).withColumn("_pid", F.spark_partition_id()), "value_ranges"
+        counts.repartitionByRange(wanted, *group, value).withColumn("_pid", F.spark_partition_id()), "value_ranges"
     )
     in_piece = Window.partitionBy("_pid", *group).orderBy(value).rowsBetween(*preceding)
     local = pieces.withColumn("_local", F.coalesce(F.sum("_count").over(in_piece), F.lit(0)))

@@ -46,16 +46,30 @@ def _predictions(scored: DataFrame) -> DataFrame:
     return rounded(scored.select("row_id", "split", "y", "p"), "p")
 
 
-@query("fit_linear", f"{_linear_sql(None)} SELECT row_id, split, y, {r6('p')} AS p FROM scored")
-def linear(spark, sf):
-    rows = split_rows(spark, sf, TWO)
+def _linear_predictions(rows: DataFrame) -> DataFrame:
     return _predictions(predict_linear(fit_linear(rows.filter("split = 'train'")), rows.filter("split <> 'train'")))
 
 
-@query("fit_linear_wide")
-def linear_wide(spark, sf):
-    rows = split_rows(spark, sf)
-    return _predictions(predict_linear(fit_linear(rows.filter("split = 'train'")), rows.filter("split <> 'train'")))
+_ALL_FEATURES = f"""
+    features AS (SELECT vec_id AS row_id, AUC AS y, embedding AS x FROM v_features),
+    split_rows AS ({q.split('features', 'row_id', 0.2, 0.2, SEED)}),
+    train_rows AS (SELECT * FROM split_rows WHERE split = 'train'),
+    unseen AS (SELECT * FROM split_rows WHERE split <> 'train')"""
+
+
+@query(
+    "fit_linear",
+    f"""{q.WITH('v_features').replace('WITH', 'WITH RECURSIVE', 1)}, {_ALL_FEATURES},
+    {q.linear_all('train_rows', 'unseen', 64)}
+    SELECT row_id, split, y, {r6('p')} AS p FROM scored""",
+)
+def linear(spark, sf):
+    return _linear_predictions(split_rows(spark, sf))
+
+
+@query("fit_linear_two_features", f"{_linear_sql(None)} SELECT row_id, split, y, {r6('p')} AS p FROM scored")
+def linear_two(spark, sf):
+    return _linear_predictions(split_rows(spark, sf, TWO))
 
 
 @query("fit_boosted")

@@ -107,3 +107,28 @@ def linear_two(train: str, rows: str, group: str | None = None) -> str:
             FROM (SELECT {label}, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22,
                          covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y
                   FROM {train} GROUP BY {by})) ON {on}"""
+
+
+def linear_all(train: str, rows: str, width: int) -> str:
+    """CTEs ending in ``scored``: ``rows`` with ``p`` from least squares of y on all of ``x``.
+
+    The normal equations of the centred rows are eliminated column by column.
+    """
+    return f"""
+    cells AS (SELECT row_id, unnest(range(1, {width + 1})) AS i, CAST(unnest(x) AS DOUBLE) AS v FROM {train}),
+    centres AS (SELECT i, avg(v) AS m FROM cells GROUP BY i),
+    centred AS (SELECT row_id, i, v - m AS v FROM cells JOIN centres USING (i)
+                UNION ALL SELECT row_id, {width + 1}, y - (SELECT avg(y) FROM {train}) FROM {train}),
+    gram AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) AS s FROM centred a JOIN centred b USING (row_id)
+             WHERE a.i <= {width} GROUP BY ALL),
+    system AS (SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS line FROM gram GROUP BY i)),
+    steps AS (SELECT 0 AS k, m FROM system
+              UNION ALL
+              SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1
+                  THEN list_transform(line, lambda v: v / m[k + 1][k + 1])
+                  ELSE list_transform(line, lambda v, j: v - line[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+              FROM steps WHERE k < {width}),
+    solved AS (SELECT list_transform(m, lambda line: line[{width + 1}]) AS b FROM steps WHERE k = {width}),
+    fitted AS (SELECT b, (SELECT avg(y) FROM {train})
+                         - list_dot_product(b, (SELECT list(m ORDER BY i) FROM centres)) AS b0 FROM solved),
+    scored AS (SELECT r.*, b0 + list_dot_product(b, CAST(x AS DOUBLE[])) AS p FROM {rows} r CROSS JOIN fitted)"""

@@ -14,6 +14,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 TASK_BYTES = 128 << 20  # what a scan gives one task by default
 
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -63,7 +64,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody has used before."""
-    return f"{scratch_root(spark)}/dosecast-{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_root(spark)}/dosecast-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    return f"{folder}/{name}"
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete this process's intermediate tables, once the results built on them are written."""
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        dropped += bool(path.getFileSystem(configuration).delete(path, True))
+    return dropped
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -54,3 +54,28 @@ def test_variants_are_read_by_folder(spark):
     assert sorted(r["id"] for r in one.collect()) == list(range(1, 20, 2))
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(variant" in plan
+
+
+def test_scratch_is_dropped_on_request(spark, monkeypatch):
+    from dosecast import session
+
+    monkeypatch.setattr(session, "_scratch", [])
+    table = session.materialize(spark.range(3), "small")
+    assert table.count() == 3 and session.drop_scratch(spark) == 1 and session.drop_scratch(spark) == 0
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    from dosecast import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session())

@@ -60,8 +60,15 @@ def lookup_join(
 
 
 def shuffled_lookup(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, key_counts: DataFrame | None, even: bool
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    how: str,
+    key_counts: DataFrame | None = None,
+    even: bool = False,
+    written: bool = True,
 ) -> DataFrame:
+    """The shuffle join of ``lookup_join``; ``written=False`` for a lookup that is still a plan."""
     if even:
         return rows.join(lookup, keys, how)
     if key_counts is None:
@@ -70,6 +77,7 @@ def shuffled_lookup(
     hot_keys = materialize(key_counts.filter(F.col("_count") > total / HOT_FRACTION).select(*keys), "hot_keys")
     if hot_keys.isEmpty():
         return rows.join(lookup, keys, how)
+    lookup = lookup if written else materialize(lookup, "lookup")
     hot_lookup = lookup.join(F.broadcast(hot_keys), keys, "left_semi")
     hot_rows = rows.join(F.broadcast(hot_keys), keys, "left_semi").join(F.broadcast(hot_lookup), keys, how)
     cold_rows = rows.join(F.broadcast(hot_keys), keys, "left_anti").join(lookup, keys, how)

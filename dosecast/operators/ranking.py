@@ -8,27 +8,43 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosecast.functions.hashing import md5_key
-from dosecast.operators.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join
+from dosecast.functions.hashing import md5_long
+from dosecast.operators.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join, shuffled_lookup
 from dosecast.session import materialize
 
-# One task orders a whole group only while all groups together are known to be this small.
-WINDOW_ROWS = BROADCAST_ROWS
+# One task orders whole groups only while all groups together are known to be this small.
+WINDOW_ROWS = 1_000_000
 PIECE_ROWS = 2_000_000  # distinct values that one task orders beyond that
-BUCKET_DIGITS = 4  # md5 prefix: 65,536 even buckets per group
+BUCKET_ROWS = 2_000  # about the rows of the largest group that share an md5 bucket, up to 16 times more
+MAX_DIGITS = 5
+HASH_BITS = 60
 
 
-def hash_buckets(df: DataFrame, key: str, seed: int, group: Sequence[str] = ()) -> DataFrame:
-    """Add the md5 order key and its bucket (the leading hex digits)."""
-    return df.withColumn("_hash", md5_key(seed, F.col(key))).withColumn(
-        "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")) if group else df.agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits of the md5 that cut a group of ``rows`` rows into small even buckets."""
+    digits = 0
+    while digits < MAX_DIGITS and rows > BUCKET_ROWS * 16 ** (digits + 1):
+        digits += 1
+    return digits
+
+
+def hash_buckets(df: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
+    """Add the md5 order key (its leading 60 bits) and its bucket (its leading ``digits``)."""
+    return df.withColumn("_hash", md5_long(seed, F.col(key))).withColumn(
+        "_bucket", F.shiftright("_hash", HASH_BITS - 4 * digits).cast("int")
     )
 
 
 def bucket_offsets(hashed: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Rows per (group, bucket), rows in earlier buckets, and rows of the group.
 
-    Both windows run over at most 65,536 pre-aggregated buckets of a group.
+    Both windows run over the pre-aggregated buckets of a group, whose number is bounded.
     """
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -46,10 +62,10 @@ def random_order(
     """Number the rows 1..n of each group in md5 order of a unique key.
 
     Rows are sorted only inside even hash buckets, so a hot group is spread over
-    65,536 of them; the join to the bucket offsets reuses the window's shuffle.
+    all tasks; the join to the bucket offsets reuses the window's shuffle.
     """
     group = list(group)
-    hashed = hash_buckets(df, key, seed, group)
+    hashed = hash_buckets(df, key, seed, bucket_digits(largest_group(df.select(*group, key), group)))
     local = hashed.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_hash", key))
     )
@@ -89,21 +105,21 @@ def value_counts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     return materialize(rows.agg(F.count(F.lit(1)).alias("_count")), "value_counts")
 
 
-def with_count_before(counts: DataFrame, value: str, group: Sequence[str], fits_task: bool) -> DataFrame:
-    """Add ``_before``, the number of rows with smaller values of the group.
-
-    ``fits_task`` says that all of ``counts`` is known to fit one task.
-    """
+def with_count_before(
+    counts: DataFrame, value: str, group: Sequence[str], window_rows: int = WINDOW_ROWS
+) -> DataFrame:
+    """Add ``_before``, the number of rows with smaller values of the group, to written counts."""
     group = list(group)
     by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     preceding = (Window.unboundedPreceding, -1)
-    if fits_task:
+    distinct_values = counts.count()
+    if distinct_values <= window_rows:
         before = F.sum("_count").over(by_group.orderBy(value).rowsBetween(*preceding))
         return counts.withColumn("_before", F.coalesce(before, F.lit(0)))
 
     # Range partitions cut every group, hot or not, into even pieces of its value order.
     shuffle_partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(shuffle_partitions, -(-counts.count() // PIECE_ROWS))
+    wanted = max(shuffle_partitions, -(-distinct_values // PIECE_ROWS))
     pieces = materialize(
         counts.repartitionByRange(wanted, *group, value).withColumn("_pid", F.spark_partition_id()), "value_ranges"
     )
@@ -135,7 +151,7 @@ class RankTable:
     def attach(self, rows: DataFrame) -> DataFrame:
         if self.small:
             return rows.join(F.broadcast(self.ranks), self.keys, "left")
-        return lookup_join(rows, self.ranks, self.keys, max_rows=0, key_counts=self.counts)
+        return shuffled_lookup(rows, self.ranks, self.keys, "left", key_counts=self.counts, written=False)
 
 
 def average_rank_table(
@@ -143,10 +159,9 @@ def average_rank_table(
 ) -> RankTable:
     """The average rank that equal values of a group share."""
     counts = value_counts(df, value, group)
-    small = fits_broadcast(counts, window_rows)
-    ranked = with_count_before(counts, value, group, small)
+    ranked = with_count_before(counts, value, group, window_rows)
     ranks = ranked.select(*group, value, (F.col("_before") + (F.col("_count") + 1) / 2).alias(rank))
-    return RankTable(ranks if small else materialize(ranks, "ranks"), counts, [*group, value], small)
+    return RankTable(ranks, counts, [*group, value], fits_broadcast(counts, min(window_rows, BROADCAST_ROWS)))
 
 
 def average_rank(
@@ -167,7 +182,7 @@ def exact_percentiles(
     group = list(group)
     counts = value_counts(df, value, group)
     sizes = materialize(counts.groupBy(*group).agg(F.sum("_count").alias("_n")), "sizes")
-    ordered = with_count_before(counts, value, group, fits_broadcast(counts, window_rows))
+    ordered = with_count_before(counts, value, group, window_rows)
     if group:
         placed = lookup_join(ordered, sizes, group, "inner")
     else:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosecast.operators.lookup import lookup_join
-from dosecast.operators.ranking import bucket_offsets, hash_buckets
+from dosecast.operators.ranking import bucket_digits, bucket_offsets, hash_buckets, largest_group
 from dosecast.session import materialize
 
 ALL_ROWS = "_all"
@@ -28,31 +28,32 @@ def split_sizes(total: str, test_size: float, val_size: float) -> tuple[Column,
     return test, F.ceil(F.lit(relative) * (F.col(total) - test))
 
 
-def split_cuts(
-    df: DataFrame, key: str, test_size: float, val_size: float, seed: int, group: Sequence[str]
-) -> DataFrame:
+def split_cuts(hashed: DataFrame, key: str, test_size: float, val_size: float, group: Sequence[str]) -> DataFrame:
     """Per group: the (hash, key) of the last test row and of the last validation row."""
     group = list(group)
-    hashed = hash_buckets(df.select(*group, key), key, seed, group)
+    hashed = hashed.select(*group, key, "_hash", "_bucket")
     test, val = split_sizes("_total", test_size, val_size)
-    cut_positions = F.array(F.struct(F.lit(0).alias("cut"), test.alias("at")),
-                            F.struct(F.lit(1).alias("cut"), (test + val).alias("at")))
+    cuts = F.array(F.struct(F.lit(0).alias("cut"), test.alias("at")), F.struct(F.lit(1).alias("cut"), (test + val).alias("at")))
+    in_this_bucket = (F.col("_cut.at") > F.col("_before")) & (F.col("_cut.at") <= F.col("_before") + F.col("_in_bucket"))
     boundaries = (
         bucket_offsets(hashed.select(*group, "_bucket"), group)
-        .withColumn("_cut", F.explode(cut_positions))
-        .filter((F.col("_cut.at") > F.col("_before")) & (F.col("_cut.at") <= F.col("_before") + F.col("_in_bucket")))
-        .select(*group, "_bucket", F.col("_cut.cut").alias("_which"), (F.col("_cut.at") - F.col("_before")).alias("_at"))
+        .withColumn("_cut", F.explode(cuts))
+        .filter(in_this_bucket)
+        .groupBy(*group, "_bucket")
+        .agg(F.collect_list(F.struct("_cut.cut", (F.col("_cut.at") - F.col("_before")).alias("at"))).alias("_cuts"))
     )
-    in_bucket = Window.partitionBy(*group, "_bucket", "_which").orderBy("_hash", key)
+    # Only the rows of at most two buckets per group are ordered.
+    in_bucket = Window.partitionBy(*group, "_bucket").orderBy("_hash", key)
     cut_rows = (
-        hashed.join(boundaries, [*group, "_bucket"])
+        lookup_join(hashed, materialize(boundaries, "boundaries"), [*group, "_bucket"], "inner", even=True)
         .withColumn("_local", F.row_number().over(in_bucket))
-        .filter("_local = _at")
+        .withColumn("_cut", F.explode("_cuts"))
+        .filter(F.col("_local") == F.col("_cut.at"))
     )
     last = F.struct(F.col("_hash"), F.col(key).alias("_key"))
     return cut_rows.groupBy(*group).agg(
-        F.max(F.when(F.col("_which") == 0, last)).alias("_test_cut"),
-        F.max(F.when(F.col("_which") == 1, last)).alias("_val_cut"),
+        F.max(F.when(F.col("_cut.cut") == 0, last)).alias("_test_cut"),
+        F.max(F.when(F.col("_cut.cut") == 1, last)).alias("_val_cut"),
     )
 
 
@@ -68,8 +69,8 @@ def split_three_way(
     """Add ``split`` = train / val / test. ``key`` is unique; ``group`` is non-null."""
     grouped = df if group else df.withColumn(ALL_ROWS, F.lit(0))
     by = list(group) or [ALL_ROWS]
-    cuts = materialize(split_cuts(grouped, key, test_size, val_size, seed, by), "split_cuts")
-    hashed = hash_buckets(grouped, key, seed, by)
+    hashed = hash_buckets(grouped, key, seed, bucket_digits(largest_group(grouped.select(*by, key), by)))
+    cuts = materialize(split_cuts(hashed, key, test_size, val_size, by), "split_cuts")
     here = F.struct(F.col("_hash"), F.col(key).alias("_key"))
     name = F.when(here <= F.col("_test_cut"), "test").when(here <= F.col("_val_cut"), "val").otherwise("train")
     return (

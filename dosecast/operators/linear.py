@@ -18,12 +18,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosecast.operators.lookup import fits_broadcast, lookup_join
+from dosecast.operators.lookup import lookup_join
 from dosecast.session import materialize
 
 MAX_FEATURES = 4096
 HELD_CELLS = 16_000_000  # moment cells a task holds before it hands partial sums on
-SHIPPED_CELLS = 8_000_000  # coefficients that may travel with the tasks
+SHIPPED_MODELS = 1_000  # groups whose coefficients, at most MAX_FEATURES each, travel with the tasks
 RANK_TOLERANCE = 1e-11
 
 
@@ -37,14 +37,18 @@ def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
     return values.reshape(-1, width).astype(np.float64)
 
 
+def checked_width(width: int) -> int:
+    if width > MAX_FEATURES:
+        raise ValueError(f"at most {MAX_FEATURES} features are taken, found {width}")
+    return width
+
+
 def vector_width(df: DataFrame, features: str = "features") -> int:
     """Width of the first vector; a vector of another width fails in the task that meets it."""
     first = df.filter(F.col(features).isNotNull()).select(F.size(features).alias("width")).first()
     if first is None:
         raise ValueError("there are no rows to fit on")
-    if first["width"] > MAX_FEATURES:
-        raise ValueError(f"at most {MAX_FEATURES} features are taken, found {first['width']}")
-    return first["width"]
+    return checked_width(first["width"])
 
 
 def moment_rows(df: DataFrame, group: str, features: str, target: str, width: int, shift: np.ndarray) -> DataFrame:
@@ -90,10 +94,10 @@ def fit_linear(
     """
     by = group or "_group"
     rows = (train if group else train.withColumn(by, F.lit("all"))).filter(F.col(target).isNotNull())
-    width = vector_width(rows, features)
-    means = rows.agg(
-        Summarizer.mean(array_to_vector(features)).alias("x"), F.avg(target).alias("y")
-    ).first()
+    means = rows.agg(Summarizer.mean(array_to_vector(features)).alias("x"), F.avg(target).alias("y")).first()
+    if means["y"] is None:
+        raise ValueError("there are no rows to fit on")
+    width = checked_width(means["x"].size)
     shift = np.append(means["x"].toArray(), means["y"])
     partial = moment_rows(rows, by, features, target, width, shift)
     summed = partial.groupBy("_group", "_row").agg(
@@ -130,14 +134,15 @@ def predict_linear(
 ) -> DataFrame:
     """Add the prediction; rows of a group without a model get null.
 
-    Models of checked size travel with the tasks and are applied as matrix products.
-    Beyond that size the coefficients are joined to the rows by group.
+    Models of a bounded number of groups travel with the tasks and are applied as matrix
+    products. Beyond that the coefficients are joined to the rows by group.
     """
     by = group or "model_group"
     keyed = rows if group else rows.withColumn(by, F.lit("all"))
-    width = model.agg(F.max(F.size("coefficients"))).first()[0] or 1
-    if fits_broadcast(model, SHIPPED_CELLS // width):
-        fitted = {r[by]: (r["intercept"], np.array(r["coefficients"])) for r in model.collect()}
+    found = model.limit(SHIPPED_MODELS + 1).collect()
+    if found and len(found) <= SHIPPED_MODELS:
+        fitted = {r[by]: (r["intercept"], np.array(r["coefficients"])) for r in found}
+        width = len(found[0]["coefficients"])
         shipped = rows.sparkSession.sparkContext.broadcast(fitted)
 
         @F.arrow_udf("double")

@@ -105,21 +105,21 @@ def value_counts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     return materialize(rows.agg(F.count(F.lit(1)).alias("_count")), "value_counts")
 
 
-def with_count_before(
-    counts: DataFrame, value: str, group: Sequence[str], window_rows: int = WINDOW_ROWS
-) -> DataFrame:
-    """Add ``_before``, the number of rows with smaller values of the group, to written counts."""
+def with_count_before(counts: DataFrame, value: str, group: Sequence[str], fits_task: bool) -> DataFrame:
+    """Add ``_before``, the number of rows with smaller values of the group, to written counts.
+
+    ``fits_task`` says that all of ``counts`` is known to fit one task.
+    """
     group = list(group)
     by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     preceding = (Window.unboundedPreceding, -1)
-    distinct_values = counts.count()
-    if distinct_values <= window_rows:
+    if fits_task:
         before = F.sum("_count").over(by_group.orderBy(value).rowsBetween(*preceding))
         return counts.withColumn("_before", F.coalesce(before, F.lit(0)))
 
     # Range partitions cut every group, hot or not, into even pieces of its value order.
     shuffle_partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(shuffle_partitions, -(-distinct_values // PIECE_ROWS))
+    wanted = max(shuffle_partitions, -(-counts.count() // PIECE_ROWS))
     pieces = materialize(
         counts.repartitionByRange(wanted, *group, value).withColumn("_pid", F.spark_partition_id()), "value_ranges"
     )
@@ -159,9 +159,10 @@ def average_rank_table(
 ) -> RankTable:
     """The average rank that equal values of a group share."""
     counts = value_counts(df, value, group)
-    ranked = with_count_before(counts, value, group, window_rows)
+    small = fits_broadcast(counts, min(window_rows, BROADCAST_ROWS))
+    ranked = with_count_before(counts, value, group, small or counts.count() <= window_rows)
     ranks = ranked.select(*group, value, (F.col("_before") + (F.col("_count") + 1) / 2).alias(rank))
-    return RankTable(ranks, counts, [*group, value], fits_broadcast(counts, min(window_rows, BROADCAST_ROWS)))
+    return RankTable(ranks, counts, [*group, value], small)
 
 
 def average_rank(
@@ -182,7 +183,7 @@ def exact_percentiles(
     group = list(group)
     counts = value_counts(df, value, group)
     sizes = materialize(counts.groupBy(*group).agg(F.sum("_count").alias("_n")), "sizes")
-    ordered = with_count_before(counts, value, group, window_rows)
+    ordered = with_count_before(counts, value, group, counts.count() <= window_rows)
     if group:
         placed = lookup_join(ordered, sizes, group, "inner")
     else:

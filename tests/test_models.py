@@ -58,7 +58,7 @@ def test_large_models_are_joined_instead_of_shipped(planted, monkeypatch):
     rows = split_of(planted)
     model = linear.fit_linear(rows, "cancer_type")
     shipped = linear.predict_linear(model, rows, "cancer_type").select("row_id", "p").toPandas()
-    monkeypatch.setattr(linear, "SHIPPED_CELLS", 0)
+    monkeypatch.setattr(linear, "SHIPPED_MODELS", 0)
     joined = linear.predict_linear(model, rows, "cancer_type").select("row_id", "p").toPandas()
     both = shipped.merge(joined, on="row_id")
     assert len(both) == 900 and np.allclose(both["p_x"], both["p_y"])

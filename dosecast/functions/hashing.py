@@ -21,8 +21,13 @@ def md5_key(*parts) -> Column:
 
 
 def md5_long(*parts) -> Column:
-    """A non-negative 60-bit integer drawn from the parts."""
-    return F.conv(F.substring(md5_key(*parts), 1, _HEX_DIGITS), 16, 10).cast("bigint")
+    """A non-negative 60-bit integer drawn from the parts.
+
+    Never null, and said so: otherwise every join on it would digest the key a second
+    time to check.
+    """
+    drawn = F.conv(F.substring(md5_key(*parts), 1, _HEX_DIGITS), 16, 10).cast("bigint")
+    return F.coalesce(drawn, F.lit(0).cast("bigint"))
 
 
 def md5_unit(*parts) -> Column:

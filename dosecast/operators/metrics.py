@@ -98,10 +98,9 @@ class BootstrapRows:
         else:
             slots = slots.withColumn("_n", F.lit(self.largest))
         draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(replicates[0]), F.lit(replicates[-1]))))
-        at = F.pmod(md5_long(self.seed, F.col("rep"), F.col("_slot")), F.col("_n")).alias("_pos")
-        return lookup_join(
-            draws.select(*self.group, "rep", at), self.rows, [*self.group, "_pos"], "inner", even=True
-        ).drop("_pos")
+        at = F.coalesce(F.pmod(md5_long(self.seed, F.col("rep"), F.col("_slot")), F.col("_n")), F.lit(0))
+        drawn = draws.select(*self.group, "rep", at.alias("_pos"))
+        return lookup_join(drawn, self.rows, [*self.group, "_pos"], "inner", even=True).drop("_pos")
 
 
 def bootstrap_rows(pairs: DataFrame, key: str, seed: int, group: Sequence[str] = ()) -> BootstrapRows:
@@ -128,8 +127,9 @@ def replicate_correlations(base: BootstrapRows, n_bootstrap: int, replicate_rows
         return reduce(DataFrame.unionByName, done)
     ranked = base.draws(range(n_bootstrap)).repartition(*by)
     for value, rank in (("y", "_ry"), ("p", "_rp")):
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-        ranked = ranked.withColumn(rank, F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2)
+        in_order = Window.partitionBy(*by).orderBy(value)
+        up_to_ties = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = ranked.withColumn(rank, (F.rank().over(in_order) + F.count(F.lit(1)).over(up_to_ties)) / 2)
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), null_safe_corr("_ry", "_rp").alias("spearman"))
 
 

@@ -36,7 +36,8 @@ def hashed_sql(rows: str, key: str, limit: int = TOKENS) -> str:
 
 
 def non_zero(vectors: DataFrame, *keys: str) -> DataFrame:
-    cells = vectors.select(*keys, F.posexplode("vector").alias("position", "value")).filter("value <> 0")
+    # The outer form keeps the planner from computing every vector twice to see if it is empty.
+    cells = vectors.select(*keys, F.posexplode_outer("vector").alias("position", "value")).filter("value <> 0")
     return cells.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 

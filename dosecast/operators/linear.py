@@ -8,8 +8,6 @@ when a group has fewer independent rows than features.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa

@@ -19,7 +19,7 @@ from dosecast.session import materialize
 # Draws are ranked in one task per (group, replicate) only up to this many rows.
 REPLICATE_ROWS = 200_000
 DRAWS_PER_TASK = 5_000_000
-BLOCK_DRAWS = 20_000_000_000  # draws written at a time
+BLOCK_DRAWS = 20_000_000_000  # draws shuffled or written at a time
 
 
 def mse(y: str = "y", p: str = "p") -> Column:
@@ -113,19 +113,27 @@ def bootstrap_rows(pairs: DataFrame, key: str, seed: int, group: Sequence[str] =
 
 
 def replicate_correlations(base: BootstrapRows, n_bootstrap: int, replicate_rows: int = REPLICATE_ROWS) -> DataFrame:
-    """Spearman per (group, rep).
+    """Spearman per (group, rep), in blocks of replicates that bound the draws in flight.
 
-    While every replicate is known to fit one task, one shuffle serves both rankings
-    and the aggregate. Larger replicates are ranked piece by piece, and in blocks that
-    bound the draws that are on disk at a time.
+    Replicates known to fit one task are ranked there; larger ones piece by piece.
     """
     by = [*base.group, "rep"]
-    if base.largest > replicate_rows:
-        step = max(1, BLOCK_DRAWS // base.total)
-        blocks = [range(at, min(at + step, n_bootstrap)) for at in range(0, n_bootstrap, step)]
-        done = [materialize(spearman(materialize(base.draws(b), "draws"), by), "replicates") for b in blocks]
-        return reduce(DataFrame.unionByName, done)
-    ranked = base.draws(range(n_bootstrap)).repartition(*by)
+
+    def block(replicates: range) -> DataFrame:
+        if base.largest <= replicate_rows:
+            return spearman_in_task(base.draws(replicates), by)
+        return spearman(materialize(base.draws(replicates), "draws"), by)
+
+    step = max(1, BLOCK_DRAWS // max(base.total, 1))
+    blocks = [range(at, min(at + step, n_bootstrap)) for at in range(0, n_bootstrap, step)]
+    if len(blocks) == 1:
+        return block(blocks[0])
+    return reduce(DataFrame.unionByName, [materialize(block(b), "replicates") for b in blocks])
+
+
+def spearman_in_task(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``spearman`` for groups that each fit one task: one shuffle serves both rankings and the aggregate."""
+    ranked = pairs.select(*by, "y", "p").repartition(*by)
     for value, rank in (("y", "_ry"), ("p", "_rp")):
         in_order = Window.partitionBy(*by).orderBy(value)
         up_to_ties = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)

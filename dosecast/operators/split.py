@@ -33,14 +33,15 @@ def split_cuts(hashed: DataFrame, key: str, test_size: float, val_size: float, g
     group = list(group)
     hashed = hashed.select(*group, key, "_hash", "_bucket")
     test, val = split_sizes("_total", test_size, val_size)
-    cuts = F.array(F.struct(F.lit(0).alias("cut"), test.alias("at")), F.struct(F.lit(1).alias("cut"), (test + val).alias("at")))
-    in_this_bucket = (F.col("_cut.at") > F.col("_before")) & (F.col("_cut.at") <= F.col("_before") + F.col("_in_bucket"))
+    positions = enumerate((test, test + val))
+    cuts = F.array(*[F.struct(F.lit(i).alias("cut"), at.alias("at")) for i, at in positions])
+    within = F.col("_cut.at") - F.col("_before")
     boundaries = (
         bucket_offsets(hashed.select(*group, "_bucket"), group)
         .withColumn("_cut", F.explode(cuts))
-        .filter(in_this_bucket)
+        .filter((within > 0) & (within <= F.col("_in_bucket")))
         .groupBy(*group, "_bucket")
-        .agg(F.collect_list(F.struct("_cut.cut", (F.col("_cut.at") - F.col("_before")).alias("at"))).alias("_cuts"))
+        .agg(F.collect_list(F.struct("_cut.cut", within.alias("at"))).alias("_cuts"))
     )
     # Only the rows of at most two buckets per group are ordered.
     in_bucket = Window.partitionBy(*group, "_bucket").orderBy("_hash", key)

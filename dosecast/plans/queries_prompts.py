@@ -33,7 +33,8 @@ QUESTIONS = {
     "question_1": _question("drug_name", _token("cell_1")),
     "question_2": _question(_token("drug_2"), "cell_line_name"),
 }
-PROMPTS = {c.replace("question", "question_prompt"): f"({q.quoted(text.QUERY_PREFIX)} || {e})" for c, e in QUESTIONS.items()}
+PREFIX = q.quoted(text.QUERY_PREFIX)
+PROMPTS = {c.replace("question", "question_prompt"): f"({PREFIX} || {e})" for c, e in QUESTIONS.items()}
 CELL = (
     f"({q.quoted(text.CELL_HEAD)} || coalesce(cell_line_name, 'nan') || {q.quoted(text.CELL_MIDDLE)} "
     "|| coalesce(Cellline_desc, 'nan'))"

@@ -63,7 +63,8 @@ def metric_spearman_p(spark, sf):
 
 _DRAWS = f"""
     base AS (SELECT cancer_type, y, p, count(*) OVER (PARTITION BY cancer_type) AS n,
-                    row_number() OVER (PARTITION BY cancer_type ORDER BY {q.md5(str(SEED), 'vec_id')}, vec_id) - 1 AS pos
+                    row_number() OVER (PARTITION BY cancer_type
+                                       ORDER BY {q.md5(str(SEED), 'vec_id')}, vec_id) - 1 AS pos
              FROM v_pairs_keyed),
     draws AS (SELECT cancer_type, rep, {q.md5_long(str(SEED), 'rep', 'pos')} % n AS pos
               FROM base CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep)),
@@ -223,7 +224,8 @@ def split_order(spark, sf):
 
 
 def _split_query(name: str, test: float, val: float, group: str | None):
-    sql = f"{q.WITH('v_features')} {q.split('(SELECT vec_id, cancer_type FROM v_features)', 'vec_id', test, val, SEED, group)}"
+    source = "(SELECT vec_id, cancer_type FROM v_features)"
+    sql = f"{q.WITH('v_features')} {q.split(source, 'vec_id', test, val, SEED, group)}"
 
     @query(name, sql)
     def run(spark, sf):

@@ -174,7 +174,9 @@ def write_features_variants(long: DataFrame, path: str) -> None:
     long.write.partitionBy("dataset", "variant").parquet(path)
 
 
-def read_features_variant(spark: SparkSession, path: str, schema: T.StructType, variant: str, dataset: str) -> DataFrame:
+def read_features_variant(
+    spark: SparkSession, path: str, schema: T.StructType, variant: str, dataset: str
+) -> DataFrame:
     """One variant; the folder filter prunes all other files."""
     df = spark.read.schema(schema).parquet(path)
     return df.filter((F.col("variant") == variant) & (F.col("dataset") == dataset)).drop("variant", "dataset")
@@ -189,9 +191,10 @@ def write_trials(trials: DataFrame, path: str) -> None:
     write_text_table(trials.withColumn("hidden_dims", F.to_json("hidden_dims")), path, sep=",")
 
 
-def write_best_params(best: DataFrame, path: str, params: tuple[str, ...] = ("batch_size", "learning_rate", "hidden_dims")) -> None:
+def write_best_params(best: DataFrame, path: str) -> None:
     """The best trial's parameters as one JSON object."""
-    best.select(F.to_json(F.struct(*params)).alias("value")).write.text(path)
+    params = F.struct("batch_size", "learning_rate", "hidden_dims")
+    best.select(F.to_json(params).alias("value")).write.text(path)
 
 
 def read_best_params(spark: SparkSession, path: str) -> dict:

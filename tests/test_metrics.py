@@ -72,7 +72,7 @@ def test_t_tail(t, dof, want):
     assert math.isnan(two_sided_p(0.5, 2))
 
 
-def test_bootstrap_paths_agree_and_hold_the_estimate(spark):
+def test_bootstrap_paths_agree_and_hold_the_estimate(spark, monkeypatch):
     df = spark.createDataFrame(pairs_frame(200))
     one = metrics.bootstrap_ci(df, "id", ["g"], 60, seed=3).orderBy("g").collect()
     many = metrics.bootstrap_ci(df, "id", ["g"], 60, seed=3, replicate_rows=0).orderBy("g").collect()
@@ -82,6 +82,8 @@ def test_bootstrap_paths_agree_and_hold_the_estimate(spark):
     assert all(r["ci_lower"] < estimates[r["g"]] < r["ci_upper"] for r in one)
     shuffled = metrics.bootstrap_ci(df.repartition(9), "id", ["g"], 60, seed=3).orderBy("g").collect()
     assert shuffled == one
+    monkeypatch.setattr(metrics, "BLOCK_DRAWS", 5000)
+    assert metrics.bootstrap_ci(df, "id", ["g"], 60, seed=3).orderBy("g").collect() == one
 
 
 def test_bootstrap_counts_dropped_replicates(spark):

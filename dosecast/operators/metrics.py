@@ -28,12 +28,11 @@ def mse(y: str = "y", p: str = "p") -> Column:
 
 
 def r2(y: str = "y", p: str = "p") -> Column:
-    """1 - SSE/SST; a constant truth scores 1 when predicted exactly, else 0."""
+    """1 - SSE/SST; a constant truth scores 1 when predicted exactly, else 0; null below two rows."""
     residual = F.sum((F.col(y) - F.col(p)) * (F.col(y) - F.col(p)))
     spread = F.var_pop(y) * F.count(y)
-    return F.when(spread > 0, 1 - F.try_divide(residual, spread)).otherwise(
-        F.when(residual == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    )
+    score = F.when(spread > 0, 1 - F.try_divide(residual, spread)).when(residual == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(F.count(y) > 1, score)
 
 
 def complete_pairs(pairs: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -41,14 +40,20 @@ def complete_pairs(pairs: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 
 
 def spearman(pairs: DataFrame, group: Sequence[str] = (), y: str = "y", p: str = "p", **rank_args) -> DataFrame:
-    """Rank correlation with average ranks; one row per group (``n``, ``spearman``)."""
+    """Rank correlation with average ranks; one row per group (``n``, ``spearman``).
+
+    Null when a side is constant, NaN when a value of the group is NaN.
+    """
     group = list(group)
     pairs = complete_pairs(pairs, y, p).select(*group, y, p)
     tables = [average_rank_table(pairs, v, group, r, **rank_args) for v, r in ((y, "_ry"), (p, "_rp"))]
     ranked = tables[1].attach(tables[0].attach(pairs))
-    return ranked.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), null_safe_corr("_ry", "_rp").alias("spearman")
-    )
+    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), rank_corr(y, p).alias("spearman"))
+
+
+def rank_corr(y: str, p: str, ry: str = "_ry", rp: str = "_rp") -> Column:
+    broken = F.bool_or(F.isnan(y) | F.isnan(p))
+    return F.when(broken, F.lit(float("nan"))).otherwise(null_safe_corr(ry, rp))
 
 
 def spearman_t(r: str = "spearman", n: str = "n") -> Column:
@@ -138,7 +143,7 @@ def spearman_in_task(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
         in_order = Window.partitionBy(*by).orderBy(value)
         up_to_ties = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = ranked.withColumn(rank, (F.rank().over(in_order) + F.count(F.lit(1)).over(up_to_ties)) / 2)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), null_safe_corr("_ry", "_rp").alias("spearman"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rank_corr("y", "p").alias("spearman"))
 
 
 def bootstrap_ci(
@@ -154,11 +159,12 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile bootstrap interval of the rank correlation, one row per group.
 
-    Replicates without a correlation (a constant side) are dropped and counted.
+    Replicates without a correlation (a constant side, a NaN) are dropped and counted.
     """
     group = list(group)
     pairs = pairs.select(*group, key, F.col(y).alias("y"), F.col(p).alias("p"))
     reps = replicate_correlations(bootstrap_rows(pairs, key, seed, group), n_bootstrap, replicate_rows)
+    reps = reps.withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
     bounds = percentiles("spearman", [alpha / 2, 1 - alpha / 2])
     return (
         reps.groupBy(*group)

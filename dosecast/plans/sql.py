@@ -69,7 +69,7 @@ def spearman(source: str, group: str) -> str:
 
 MSE = "avg((y - p) * (y - p))"
 R2 = (
-    "CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) "
+    "CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y) > 0 THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) "
     "WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END"
 )
 

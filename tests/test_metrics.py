@@ -52,13 +52,16 @@ def test_spearman(spark, window_rows):
 def test_spearman_edges(spark):
     rows = [("constant", 1.0, float(i)) for i in range(5)] + [("pair", 0.0, 1.0), ("pair", 1.0, 0.0)]
     rows += [("perfect", float(i), float(i) ** 3) for i in range(6)] + [("null", None, 1.0)]
+    rows += [("broken", float(i), float("nan") if i == 2 else float(i)) for i in range(6)]
     df = spark.createDataFrame(rows, "g string, y double, p double")
     scored = metrics.with_spearman_p(metrics.spearman(df, ["g"]).withColumn("t", metrics.spearman_t()))
     got = {r["g"]: r for r in scored.collect()}
     assert got["constant"]["spearman"] is None
     assert got["pair"]["spearman"] == pytest.approx(-1) and got["pair"]["t"] is None
     assert got["perfect"]["spearman"] == pytest.approx(1) and got["perfect"]["spearman_p"] == pytest.approx(0, abs=1e-12)
-    assert "null" not in got
+    assert "null" not in got and math.isnan(got["broken"]["spearman"])
+    one = spark.createDataFrame([(1.0, 1.0)], "y double, p double").agg(metrics.r2().alias("r2")).first()
+    assert one["r2"] is None
 
 
 @pytest.mark.parametrize(

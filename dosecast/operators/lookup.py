@@ -19,7 +19,7 @@ def row_bytes(df: DataFrame) -> Column:
     """Estimated bytes of a row once it sits in a broadcast hash table."""
     total = F.lit(16)
     for field in df.schema:
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             total = total + 16 + F.coalesce(F.octet_length(field.name), F.lit(0))
         elif isinstance(field.dataType, T.ArrayType):
             total = total + 16 + 8 * F.greatest(F.size(field.name), F.lit(0))

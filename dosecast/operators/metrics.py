@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosecast.functions.hashing import md5_long
 from dosecast.functions.tdist import two_sided_p
 from dosecast.operators.lookup import lookup_join
-from dosecast.operators.ranking import average_rank_table, null_safe_corr, random_order
+from dosecast.operators.ranking import RankTable, average_rank_table, null_safe_corr, random_order
 from dosecast.session import materialize
 
 # Draws are ranked in one task per (group, replicate) only up to this many rows.
@@ -46,8 +48,14 @@ def spearman(pairs: DataFrame, group: Sequence[str] = (), y: str = "y", p: str =
     """
     group = list(group)
     pairs = complete_pairs(pairs, y, p).select(*group, y, p)
-    tables = [average_rank_table(pairs, v, group, r, **rank_args) for v, r in ((y, "_ry"), (p, "_rp"))]
-    ranked = tables[1].attach(tables[0].attach(pairs))
+
+    @inheritable_thread_target(pairs.sparkSession)
+    def rank_side(side: tuple[str, str]) -> RankTable:
+        return average_rank_table(pairs, side[0], group, side[1], **rank_args)
+
+    with ThreadPool(2) as pool:  # the two sides do not wait for each other
+        y_ranks, p_ranks = pool.map(rank_side, [(y, "_ry"), (p, "_rp")])
+    ranked = p_ranks.attach(y_ranks.attach(pairs))
     return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), rank_corr(y, p).alias("spearman"))
 
 

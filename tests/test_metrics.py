@@ -3,6 +3,8 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import functions as F
@@ -75,6 +77,18 @@ def test_t_tail(t, dof, want):
     assert math.isnan(two_sided_p(0.5, 2))
 
 
+@given(st.floats(-0.99, 0.99), st.integers(4, 3000))
+def test_t_tail_is_the_integral_of_the_density(r, n):
+    """The tail is the share of the integral of cos(u)^(n-3) over [0, pi/2] above asin|r|."""
+
+    def integral(low):
+        u = np.linspace(low, np.pi / 2, 20_001)
+        f = np.cos(u).clip(0) ** (n - 3)
+        return (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()) * (u[1] - u[0]) / 3
+
+    assert two_sided_p(r, n) == pytest.approx(integral(math.asin(abs(r))) / integral(0.0), abs=1e-7)
+
+
 def test_bootstrap_paths_agree_and_hold_the_estimate(spark, monkeypatch):
     df = spark.createDataFrame(pairs_frame(200))
     one = metrics.bootstrap_ci(df, "id", ["g"], 60, seed=3).orderBy("g").collect()

@@ -45,6 +45,15 @@ def test_least_squares_per_group_and_overall(planted):
             assert fitted["n"] == len(y) and fitted["rank"] == WIDTH
 
 
+def test_partial_moments_may_be_handed_on_early(planted, monkeypatch):
+    rows = split_of(planted)
+    whole = {r["cancer_type"]: r for r in linear.fit_linear(rows, "cancer_type").collect()}
+    monkeypatch.setattr(linear, "HELD_CELLS", 1)
+    for r in linear.fit_linear(rows, "cancer_type").collect():
+        want = whole[r["cancer_type"]]
+        assert np.allclose(r["coefficients"], want["coefficients"]) and r["n"] == want["n"]
+
+
 def test_too_few_rows_give_the_minimum_norm_fit(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(4, 10)), rng.normal(size=4)

@@ -42,8 +42,12 @@ def test_percentiles(skewed, window_rows):
     assert whole["mid"] == pytest.approx(np.percentile(frame["v"], 50))
 
 
-def test_random_order_is_a_stable_permutation_per_group(skewed):
+@pytest.mark.parametrize("bucket_rows", [ranking.BUCKET_ROWS, 2])
+def test_random_order_is_a_stable_permutation_per_group(skewed, monkeypatch, bucket_rows):
     _, df = skewed
+    unpatched = ranking.random_order(df, "id", 1, ["g"]).select("id", "g", "position")
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", bucket_rows)
+    assert ranking.random_order(df, "id", 1, ["g"]).select("id", "g", "position").exceptAll(unpatched).isEmpty()
     first = ranking.random_order(df, "id", 1, ["g"]).select("id", "g", "position").toPandas()
     again = ranking.random_order(df.repartition(11), "id", 1, ["g"]).select("id", "g", "position").toPandas()
     assert first.sort_values("id").reset_index(drop=True).equals(again.sort_values("id").reset_index(drop=True))

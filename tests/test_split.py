@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from dosecast.operators import ranking
 from dosecast.operators.split import split_three_way
 
 
@@ -21,7 +22,17 @@ def test_whole_table(spark, n, sizes):
     assert {r["id"]: r["split"] for r in rows} == expected(range(n), *sizes, 9)
 
 
-def test_groups_with_a_hot_one(spark):
+@pytest.mark.parametrize("n", [1, 5, 300, 5003])
+def test_many_buckets(spark, monkeypatch, n):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 2)
+    assert ranking.bucket_digits(5003) == 2 and ranking.bucket_digits(5) == 0
+    rows = split_three_way(spark.range(n), "id", 0.2, 0.2, seed=9).collect()
+    assert {r["id"]: r["split"] for r in rows} == expected(range(n), 0.2, 0.2, 9)
+
+
+@pytest.mark.parametrize("bucket_rows", [ranking.BUCKET_ROWS, 2])
+def test_groups_with_a_hot_one(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", bucket_rows)
     rows = spark.range(6000).withColumn("g", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(
         F.concat(F.lit("g"), F.col("id") % 50)))
     got = split_three_way(rows, "id", seed=4, group=["g"]).collect()

@@ -100,7 +100,9 @@ def chunk_edges(chunks: DataFrame, ranks_path: str, pattern: str, chunk: int, ov
                 starts = own.starts(text)
                 heads.append([s for s in starts if s < overlap])
                 # A start is sure when the match before it is: it must not have looked at the cut end.
-                tails.append([s - chunk for s in starts if s >= chunk and s + SAFE <= len(text)])
+                # Where white space precedes it, a slice that ends there would be split otherwise.
+                sure = (s for s in starts if s >= chunk and s + SAFE <= len(text))
+                tails.append([s - chunk for s in sure if not text[s - 1].isspace()])
             return [heads, tails]
 
         return work

@@ -11,7 +11,7 @@ from dosecast.llm.common import documents, labels
 from dosecast.session import ship_package
 
 #: Wanted shares of tokens by the label ``quality``.
-MIX_WEIGHTS = {1: 0.9, 0: 0.1}
+MIX_WEIGHTS = {1: 0.95, 0: 0.05}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 

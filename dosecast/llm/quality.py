@@ -3,9 +3,9 @@
 Every text is reduced to small histograms: characters by class, and a list of common words (all other
 words together). The histograms of each language, summed over all of its texts that pass the base rules,
 are its references. A text is kept unless it fails the base rules or one of its two Jensen-Shannon
-distances (square root of the divergence in bits, 0 to 1) to its language's reference passes a limit. The
-distance of words counts only from ``min_words`` words on, that of characters from ``min_chars`` on: short
-texts are far from any reference by chance.
+distances (square root of the divergence in bits, 0 to 1) to its language's reference passes a limit. Short
+texts are far from any reference by chance, so a limit is wider by ``slack / sqrt(length)``, and below a
+least length (words, characters) a distance does not count.
 
 Defined cases: a null text has no words and fails; a null or unseen language, or one beyond the
 ``MAX_LANGUAGES`` with most words, is held against all references and the nearest counts; without any
@@ -27,8 +27,8 @@ from dosecast.session import materialize
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 MAX_LANGUAGES = 64  # references that are sent to the workers
-MAX_CLASS_DISTANCE = 0.2
-MAX_WORD_DISTANCE = 0.5
+MAX_CLASS_DISTANCE, CLASS_SLACK = 0.14, 1.5
+MAX_WORD_DISTANCE, WORD_SLACK = 0.22, 1.2
 GUARD_WORDS, GUARD_CHARS = 50, 200
 
 # Frequent words of four languages.
@@ -177,7 +177,8 @@ def quality(
         "_histograms", F.struct("_language", "classes", "common")
     )
     scored = add_columns(packed, "_histograms", make, [field("class_distance", "double"), field("word_distance", "double")], keep)
-    far = ((F.col("_chars") >= guard_chars) & (F.col("class_distance") > max_class_distance)) | (
-        (F.col("n_words") >= guard_words) & (F.col("word_distance") > max_word_distance)
-    )
+    limit = lambda base, slack, length: base + slack / F.sqrt(F.greatest(F.col(length), F.lit(1)))
+    far_classes = F.col("class_distance") > limit(max_class_distance, CLASS_SLACK, "_chars")
+    far_words = F.col("word_distance") > limit(max_word_distance, WORD_SLACK, "n_words")
+    far = ((F.col("_chars") >= guard_chars) & far_classes) | ((F.col("n_words") >= guard_words) & far_words)
     return scored.withColumn("kept", ~F.col("base_failed") & ~far).drop("_chars")

@@ -17,6 +17,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -74,16 +75,12 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return _codecs[ranks_path, pattern]
 
 
-def ids_bytes(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
-
-
 def encode_slices(df: DataFrame, slice_: str, keep: list[str], ranks_path: str, pattern: str) -> DataFrame:
     """The ``keep`` columns and ``ids``, the token ids of a text that starts and ends at a boundary."""
 
     def make():
         own = codec(ranks_path, pattern)
-        return lambda texts: [[own.encode(t or "") for t in texts]]
+        return lambda texts: [[np.array(own.encode(t or ""), dtype=np.int32) for t in texts]]
 
     return add_columns(df, slice_, make, [field("ids", "array<int>")], keep)
 
@@ -118,7 +115,7 @@ def slices_of_long(long: DataFrame, ranks_path: str, pattern: str, chunk: int, o
     chunks = long.select("row", "text", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk")).select(
         "row", "chunk", F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + overlap})").alias("piece")
     )
-    edges = chunk_edges(chunks.repartition(cores * 2, "row", "chunk"), ranks_path, pattern, chunk, overlap)
+    edges = materialize(chunk_edges(chunks.repartition(cores * 2, "row", "chunk"), ranks_path, pattern, chunk, overlap), "edges")
     after = edges.select("row", (F.col("chunk") - 1).alias("chunk"), F.col("head").alias("next_head"))
     shared = F.array_min(F.array_intersect("tail", "next_head"))
     found = (
@@ -142,21 +139,40 @@ def slices_of_long(long: DataFrame, ranks_path: str, pattern: str, chunk: int, o
     )
 
 
-def encode_texts(
-    df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP
-) -> DataFrame:
-    """(key, ids) for every text; see the module for the method and the defined cases."""
+def parted(df: DataFrame, key: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Texts up to a chunk (key, text), and longer ones (row, key, text), which are few and written down.
+
+    Written, the number of a row stays the same when a lost task runs again.
+    """
+    rows = df.select(df[f"`{key}`"].alias(key), F.coalesce(df[f"`{text}`"], F.lit("")).alias("text"))
+    long = rows.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    return rows.filter(F.length("text") <= chunk), materialize(long, "long_texts")
+
+
+def long_ids(long: DataFrame, key: str, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+    """(key, ids) of long texts, by way of their slices."""
     if not 0 < overlap <= chunk:
         raise ValueError("an overlap is at least one code point and at most a chunk")
-    rows = df.select(df[f"`{key}`"].alias(key), F.coalesce(df[f"`{text}`"], F.lit("")).alias("text"))
-    short = encode_slices(rows.filter(F.length("text") <= chunk), "text", [key], ranks_path, pattern)
-    # The few long texts get a number each; written down, so that a retry cannot number them anew.
-    long = materialize(rows.filter(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long_texts")
     slices = slices_of_long(long.select("row", "text"), ranks_path, pattern, chunk, overlap)
     encoded = encode_slices(slices, "piece", ["row", "slice"], ranks_path, pattern)
     joined = encoded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("slice", "ids"))).alias("parts"))
     whole = joined.select("row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(long.select("row", key).join(whole, "row").select(key, "ids"))
+    return long.select("row", key).join(whole, "row").select(key, "ids")
+
+
+def encode_texts(
+    df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
+    """(key, ids) for every text; see the module for the method and the defined cases."""
+    short, long = parted(df, key, text, chunk)
+    return encode_slices(short, "text", [key], ranks_path, pattern).unionByName(long_ids(long, key, ranks_path, pattern, chunk, overlap))
+
+
+def _lists(ids: pa.ListArray):
+    """The lists of an Arrow array as NumPy arrays; a null counts as empty."""
+    offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    present = ids.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[a:b] if p else flat[:0] for a, b, p in zip(offsets, offsets[1:], present)]
 
 
 def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -164,26 +180,32 @@ def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", k
 
     def make():
         own = codec(ranks_path, pattern)
-        return lambda lists: [[own.decode(x or ()) for x in lists]]
+        return lambda lists: [[own.decode(x.tolist()) for x in _lists(lists)]]
 
-    return add_columns(df, ids, make, [field("decoded", "binary")], list(keep))
+    return add_columns(df, ids, make, [field("decoded", "binary")], list(keep), as_arrow=True)
 
 
-def encoding_digest(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
+def digest(own: Codec, lists) -> list[list]:
+    """Token counts, digests of the ids, and digests of the bytes that they decode to."""
+    arrays = [np.asarray(x, dtype="<u4") for x in lists]
+    decoded = (own.decode(x.tolist()) for x in arrays)
+    return [[len(x) for x in arrays], [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], [hashlib.sha256(d).hexdigest() for d in decoded]]
+
+
+def encoding_digest(
+    df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
     """One row per text: token count, a digest of the ids and one of the bytes they decode to."""
+    fields = [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")]
 
-    def make():
+    def of_texts():
         own = codec(ranks_path, pattern)
+        return lambda texts: digest(own, [np.array(own.encode(t), dtype="<u4") for t in texts])
 
-        def work(lists):
-            ids = [x or () for x in lists]
-            return [
-                [len(x) for x in ids],
-                [hashlib.sha256(ids_bytes(x)).hexdigest() for x in ids],
-                [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
-            ]
-
-        return work
+    def of_ids():
+        own = codec(ranks_path, pattern)
+        return lambda ids: digest(own, _lists(ids))
 
-    fields = [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")]
-    return add_columns(encode_texts(df, ranks_path, pattern, key, text, **sizes), "ids", make, fields, [key])
+    short, long = parted(df, key, text, chunk)
+    ids = long_ids(long, key, ranks_path, pattern, chunk, overlap)
+    return add_columns(short, "text", of_texts, fields, [key]).unionByName(add_columns(ids, "ids", of_ids, fields, [key], as_arrow=True))

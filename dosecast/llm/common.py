@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 Work = Callable[[list], Sequence]
 
+ROWS_AT_ONCE = 1_000  # rows of a batch whose Python values are held together
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -29,11 +31,11 @@ def key_remainder(key: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def add_columns(df: DataFrame, column: str, make: Callable[[], Work], fields: Sequence[T.StructField], keep: Sequence[str]) -> DataFrame:
-    """The ``keep`` columns of ``df`` and new ones computed from ``column``, one Arrow batch at a time.
+def add_columns(df: DataFrame, column: str, make: Callable[[], Work], fields: Sequence[T.StructField], keep: Sequence[str], as_arrow: bool = False) -> DataFrame:
+    """The ``keep`` columns of ``df`` and new ones computed from ``column``, some rows of an Arrow batch at a time.
 
     ``make`` runs once in each task and returns a function from the values of a batch to one
-    sequence of results per field. A kept column with the name of a field gives way to the field.
+    sequence of results per field; with ``as_arrow`` it gets them as an Arrow array. A kept column with the name of a field gives way to the field.
     """
     taken = {f.name.lower() for f in fields}
     names = [c for c in keep if c.lower() not in taken]
@@ -43,10 +45,13 @@ def add_columns(df: DataFrame, column: str, make: Callable[[], Work], fields: Se
 
     def run(batches):
         work = make()
-        for batch in batches:
-            results = work(batch.column(batch.num_columns - 1).to_pylist())
-            added = [pa.array(r, type=f.type, from_pandas=False) for r, f in zip(results, types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*names, *types.names])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                values = batch.column(batch.num_columns - 1)
+                results = work(values if as_arrow else values.to_pylist())
+                added = [pa.array(r, type=f.type, from_pandas=False) for r, f in zip(results, types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*names, *types.names])
 
     return source.mapInArrow(run, schema)
 

@@ -197,3 +197,11 @@ def test_bpe_defined_cases(spark, edges):
     got = bpe.encoding_digest(edges, catalog.RANKS, public_tokenizers.PATTERN)
     assert got.count() == edges.count() and got.filter("n_tokens = 0").count() == 2
     assert bpe.encoding_digest(edges.limit(0), catalog.RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_bpe_ids_decode_to_the_text(spark):
+    texts = ["Some words, and ünïcode 字.", "", None, "x y " * 200]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = bpe.encode_texts(docs, catalog.RANKS, public_tokenizers.PATTERN, chunk=100, overlap=20)
+    back = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode_ids(ids, catalog.RANKS, public_tokenizers.PATTERN).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}

@@ -39,6 +39,7 @@ SEGMENTS = 64
 FREQUENT = 300_000  # words whose exact counts are broadcast, 24 bytes each
 MIN_PAIR = 2  # a pair seen once says no more than its words
 MIX = 0.5  # weight of the pair's share
+COUNTED_AT_ONCE = 4_000  # rows whose words are counted together before they are handed on
 END = b"\n"  # no word: it is white space
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -100,9 +101,10 @@ class Batch:
 
 
 def partial_counts(batches):
-    """(kind, high, low, n) of every distinct word (0) and pair (1) of a batch."""
-    for batch in batches:
-        b = Batch(batch.column(0).to_pylist())
+    """(kind, high, low, n) of every distinct word (0) and pair (1) of some rows."""
+    pieces = (batch.slice(start, COUNTED_AT_ONCE) for batch in batches for start in range(0, batch.num_rows, COUNTED_AT_ONCE))
+    for piece in pieces:
+        b = Batch(piece.column(0).to_pylist())
         words, n_words = np.unique(b.ids, return_counts=True)
         pairs, n_pairs = np.unique(b.before() * (len(b.high) + 1) + b.ids, return_counts=True)
         keys = pair_keys(b.high[pairs // (len(b.high) + 1)], b.high[pairs % (len(b.high) + 1)])

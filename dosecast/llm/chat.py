@@ -19,13 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dosecast.session import materialize
+
 # The markers of a rendered turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 
 
 def turns(df: DataFrame, pair: str, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(pair, turn, copy, role, text): ``copy`` numbers the rows that share a pair and a turn."""
+    """(pair, turn, copy, role, text, digest): ``copy`` numbers the rows that share a pair and a turn; written down.
+
+    ``digest`` stands for role and text where turns are compared, so that texts need not travel for it.
+    """
     rows = df.filter(df[f"`{pair}`"].isNotNull()).select(
         df[f"`{pair}`"].alias("pair"),
         F.coalesce(df[f"`{turn}`"].cast("long"), F.lit(-1)).alias("turn"),
@@ -37,7 +42,12 @@ def turns(df: DataFrame, pair: str, turn: str = "turn", role: str = "role", text
     order = Window.partitionBy("pair", "turn").orderBy("role", "text").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.withColumn("_before", F.coalesce(F.sum("_times").over(order), F.lit(0)))
     copies = first.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy"))
-    return copies.select("pair", "turn", (F.col("_before") + F.col("_copy")).alias("copy"), "role", "text")
+    numbered = copies.select("pair", "turn", (F.col("_before") + F.col("_copy")).alias("copy"), "role", "text")
+    return materialize(numbered.withColumn("digest", digest(F.col("role"), F.col("text"))), "turns")
+
+
+def digest(role: Column, text: Column) -> Column:
+    return F.unhex(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256))
 
 
 def render(role: Column, text: Column) -> Column:
@@ -51,22 +61,21 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame, trained_role: st
     where a turn is trained on.
     """
     place = ["pair", "turn", "copy"]
-    left = chosen.select(*place, F.struct("role", "text").alias("mine"))
-    right = rejected.select(*place, F.struct("role", "text").alias("theirs"))
-    both = left.join(right, place, "full_outer")
+    left = chosen.select(*place, F.col("digest").alias("mine"))
+    right = rejected.select(*place, F.col("digest").alias("theirs"))
     at = F.struct("turn", "copy")
-    differs = ~F.col("mine").eqNullSafe(F.col("theirs"))
-    marked = both.select(*place, "mine", "theirs", differs.alias("differs"))
-    ends = marked.filter("differs").groupBy("pair").agg(F.min(at).alias("end"))
-    placed = marked.join(ends, "pair", "left")
-    common = F.col("end").isNull() | (at < F.col("end"))
-    sides = F.when(common, F.array(F.struct(F.lit("prompt").alias("part"), F.col("mine").alias("turn_of")))).otherwise(
-        F.array(F.struct(F.lit("chosen").alias("part"), F.col("mine").alias("turn_of")), F.struct(F.lit("rejected").alias("part"), F.col("theirs").alias("turn_of")))
-    )
-    rows = placed.select(*place, F.explode(sides).alias("side")).filter("side.turn_of IS NOT NULL")
-    role, text = F.col("side.turn_of.role"), F.col("side.turn_of.text")
-    trained = (F.col("side.part") != "prompt") & (role == trained_role)
-    return rows.select(*place, F.col("side.part").alias("part"), role.alias("role"), render(role, text).alias("segment"), trained.cast("int").alias("mask"))
+    differing = left.join(right, place, "full_outer").filter(~F.col("mine").eqNullSafe(F.col("theirs")))
+    ends = materialize(differing.groupBy("pair").agg(F.min(at).alias("end")), "prompt_ends")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        after = at >= F.col("end")  # null where the two sides never differ
+        part = F.when(after, F.lit(name)).otherwise(F.lit("prompt"))
+        return rows.join(ends, "pair", "left").select(*place, part.alias("part"), "role", render(F.col("role"), F.col("text")).alias("segment"))
+
+    # The prompt is the same on both sides: the chosen side renders it.
+    rows = side(chosen, "chosen").unionByName(side(rejected, "rejected").filter("part <> 'prompt'"))
+    trained = (F.col("part") != "prompt") & (F.col("role") == trained_role)
+    return rows.select(*place, "part", "role", "segment", trained.cast("int").alias("mask"))
 
 
 def pair_records(segments: DataFrame) -> DataFrame:
@@ -94,10 +103,11 @@ def swapped_replies(own: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFra
     neighbour lacks is left out.
     """
     replies = own.filter(F.col("role") == trained_role)
-    last = replies.groupBy("pair").agg(F.max(F.struct("turn", "copy", "text")).alias("last"))
-    lent = last.select(F.col("pair").bitwiseXOR(F.lit(1).cast("long")).alias("pair"), F.col("last.text").alias("lent"))
-    ends = last.select("pair", F.col("last.turn").alias("last_turn"), F.col("last.copy").alias("last_copy")).join(lent, "pair", "left")
-    joined = own.join(ends, "pair", "left")
-    is_last = F.coalesce((F.col("turn") == F.col("last_turn")) & (F.col("copy") == F.col("last_copy")), F.lit(False))
-    text = F.when(is_last, F.col("lent")).otherwise(F.col("text"))
-    return joined.select("pair", "turn", "copy", "role", text.alias("text")).filter("text IS NOT NULL")
+    last = replies.groupBy("pair").agg(F.max(F.struct("turn", "copy")).alias("last")).select("pair", "last.turn", "last.copy")
+    given = replies.join(last, ["pair", "turn", "copy"])
+    lent = given.select(F.col("pair").bitwiseXOR(F.lit(1).cast("long")).alias("pair"), F.col("text").alias("lent"), F.col("digest").alias("lent_digest"))
+    # One row for each conversation with a reply: its place, and the neighbour's text.
+    swaps = last.join(lent, "pair", "left").withColumn("swapped", F.lit(True))
+    joined = own.join(swaps, ["pair", "turn", "copy"], "left")
+    swapped = lambda mine, theirs: F.when(F.col("swapped"), F.col(theirs)).otherwise(F.col(mine)).alias(mine)
+    return joined.select("pair", "turn", "copy", "role", swapped("text", "lent"), swapped("digest", "lent_digest")).filter("digest IS NOT NULL")

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees are grown on a bounded sample: every inner node splits its sample at the median along a random direction,
-down to ``leaf_rows`` rows of the whole table. All distinct vectors are then dealt to their leaf in each tree.
+down to ``leaves`` leaves whatever the table's size, so that what a query passes on from its leaves does not
+grow with the table. All distinct vectors are then dealt to their leaf in each tree.
 A query walks all trees at once through one priority queue, nearest branch first (squared margins of the
 planes it has crossed), until it has ``searched`` of one tree's leaves and enough vectors in them. Leaves and
 their queries meet in blocks of bounded size, are ranked there by the exact measure in double precision, and
@@ -31,10 +32,10 @@ from dosecast.session import materialize
 
 TREES = 4
 SAMPLE = 20_000  # distinct vectors that the trees are grown on, at most
-LEAF_ROWS = 400
-LEAST_SAMPLE = 16  # vectors of the sample in a leaf, at least: bounds the number of leaves
+LEAVES = 64  # of each tree
+LEAST_ROWS = 50  # vectors of the sample in a leaf, at least
 SEARCHED = 0.85  # leaves that a query visits, in leaves of one tree
-BLOCK = 4_096  # rows, and queries, that meet in one block
+BLOCK = 8_192  # rows, and queries, that meet in one block
 K = 20
 SEED = 7
 
@@ -143,11 +144,10 @@ def distinct_vectors(rows: DataFrame, ids: int) -> DataFrame:
     return materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
 
-def fit_forest(nodes: DataFrame, width: int, trees: int, leaf_rows: int, sample: int) -> Forest:
-    total = nodes.count()
+def fit_forest(nodes: DataFrame, width: int, trees: int, leaves: int, sample: int) -> Forest:
     chosen = nodes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).toArrow()
     x = _matrix(chosen.column("vector").combine_chunks(), width) if len(chosen) else np.zeros((0, width))
-    per_leaf = max(LEAST_SAMPLE, round(leaf_rows * len(x) / max(1, total))) if total > len(x) else leaf_rows
+    per_leaf = max(LEAST_ROWS, -(-len(x) // leaves))
     rng = np.random.default_rng(SEED)
     return Forest([grow(x, per_leaf, rng) for _ in range(trees)])
 
@@ -159,7 +159,7 @@ def nearest(
     vector: str = "embedding",
     k: int = K,
     trees: int = TREES,
-    leaf_rows: int = LEAF_ROWS,
+    leaves: int = LEAVES,
     searched: float = SEARCHED,
     sample: int = SAMPLE,
     block: int = BLOCK,
@@ -169,9 +169,9 @@ def nearest(
     nodes = distinct_vectors(rows, k + 1)
     one = nodes.select(F.size("vector").alias("width")).first()
     width = one["width"] if one else 1
-    forest = fit_forest(nodes, width, trees, leaf_rows, sample)
+    forest = fit_forest(nodes, width, trees, leaves, sample)
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(forest)  # planes of at most sample / LEAST_SAMPLE leaves in each tree
+    held = spark.sparkContext.broadcast(forest)  # the planes between at most 2 * leaves leaves in each tree
     element = nodes.schema["vector"].dataType.simpleString()
 
     def deal(batches):

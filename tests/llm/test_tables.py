@@ -95,7 +95,7 @@ def test_neighbours_recall(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(size=32).astype(np.float32)) for i in range(3000)]
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in vectors], "vec_id long, embedding array<float>, label int")
-    got = found_of(ann.nearest(df, F.col("id") % 20 == 0, leaf_rows=60, block=64))
+    got = found_of(ann.nearest(df, F.col("id") % 20 == 0, block=64))
     exact = [(i, v.astype(np.float64)) for i, v in vectors]
     want = plain_nearest(exact, range(0, 3000, 20), 20)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())

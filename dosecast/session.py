@@ -69,13 +69,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete this process's intermediate tables, once the results built on them are written."""
+def scratch_folders() -> list[str]:
+    """The folders of this process's intermediate tables, oldest first."""
+    return list(_scratch)
+
+
+def drop_scratch(spark: SparkSession, folders: list[str] | None = None) -> int:
+    """Delete intermediate tables (all of this process by default), once the results built on them are written."""
     jvm = spark.sparkContext._jvm
     configuration = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for folder in scratch_folders() if folders is None else folders:
+        if folder not in _scratch:
+            continue
+        _scratch.remove(folder)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         dropped += bool(path.getFileSystem(configuration).delete(path, True))
     return dropped
 

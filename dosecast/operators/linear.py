@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from dosecast.operators.lookup import lookup_join
 from dosecast.session import materialize
 
-MAX_FEATURES = 4096
-HELD_CELLS = 16_000_000  # moment cells a task holds before it hands partial sums on
-SHIPPED_MODELS = 1_000  # groups whose coefficients, at most MAX_FEATURES each, travel with the tasks
+HELD_CELLS = 16_000_000  # moment cells a task holds before another group makes it hand its sums on
+FOLDS_PER_CORE = 2  # tasks that fold: each hands on a whole matrix, so few and large ones
+SORTED_BELOW = 16  # groups in hand below which rows are ordered by group before folding
+SHIPPED_CELLS = 4_000_000  # coefficients that travel with the tasks
 RANK_TOLERANCE = 1e-11
 
 
@@ -35,18 +37,12 @@ def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
     return values.reshape(-1, width).astype(np.float64)
 
 
-def checked_width(width: int) -> int:
-    if width > MAX_FEATURES:
-        raise ValueError(f"at most {MAX_FEATURES} features are taken, found {width}")
-    return width
-
-
 def vector_width(df: DataFrame, features: str = "features") -> int:
     """Width of the first vector; a vector of another width fails in the task that meets it."""
     first = df.filter(F.col(features).isNotNull()).select(F.size(features).alias("width")).first()
     if first is None:
         raise ValueError("there are no rows to fit on")
-    return checked_width(first["width"])
+    return first["width"]
 
 
 def moment_rows(df: DataFrame, group: str, features: str, target: str, width: int, shift: np.ndarray) -> DataFrame:
@@ -74,12 +70,15 @@ def moment_rows(df: DataFrame, group: str, features: str, target: str, width: in
             codes, names = pd.factorize(batch.column("_group").to_pandas())
             for code, name in enumerate(names):
                 part = z[codes == code] if len(names) > 1 else z
-                sums[name] = sums.get(name, 0.0) + part.T @ part
-                if len(sums) >= held:
+                if name not in sums and len(sums) >= held:
                     yield from release()
+                sums[name] = sums.get(name, 0.0) + part.T @ part
         yield from release()
 
     rows = df.select(F.col(group).cast("string").alias("_group"), features, target)
+    rows = rows.coalesce(FOLDS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    if held < SORTED_BELOW:
+        rows = rows.sortWithinPartitions("_group")
     return rows.mapInArrow(fold, "_group string, _row int, _cells array<double>")
 
 
@@ -95,7 +94,7 @@ def fit_linear(
     means = rows.agg(Summarizer.mean(array_to_vector(features)).alias("x"), F.avg(target).alias("y")).first()
     if means["y"] is None:
         raise ValueError("there are no rows to fit on")
-    width = checked_width(means["x"].size)
+    width = means["x"].size
     shift = np.append(means["x"].toArray(), means["y"])
     partial = moment_rows(rows, by, features, target, width, shift)
     summed = partial.groupBy("_group", "_row").agg(
@@ -130,34 +129,39 @@ def fit_linear(
 def predict_linear(
     model: DataFrame, rows: DataFrame, group: str | None = None, features: str = "features", output: str = "p"
 ) -> DataFrame:
-    """Add the prediction; rows of a group without a model get null.
+    """Add the prediction; rows of a group without a model, or without a vector of its width, get null.
 
-    Models of a bounded number of groups travel with the tasks and are applied as matrix
-    products. Beyond that the coefficients are joined to the rows by group.
+    Coefficients of a bounded number travel with the tasks and are applied as matrix
+    products. Beyond that they are joined to the rows by group.
     """
     by = group or "model_group"
     keyed = rows if group else rows.withColumn(by, F.lit("all"))
-    found = model.limit(SHIPPED_MODELS + 1).collect()
-    if found and len(found) <= SHIPPED_MODELS:
+    cells = model.agg(F.sum(F.size("coefficients"))).first()[0] or 0
+    found = model.collect() if cells <= SHIPPED_CELLS else []
+    if found:
         fitted = {r[by]: (r["intercept"], np.array(r["coefficients"])) for r in found}
         width = len(found[0]["coefficients"])
         shipped = rows.sparkSession.sparkContext.broadcast(fitted)
 
         @F.arrow_udf("double")
         def apply(names: pa.Array, vectors: pa.Array) -> pa.Array:
-            x = feature_matrix(vectors, width)
-            out = np.full(len(x), np.nan)
-            codes, found = pd.factorize(names.to_pandas())
+            fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+            at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+            x = feature_matrix(vectors.filter(fits), width)
+            out, missing = np.zeros(len(vectors)), np.ones(len(vectors), bool)
+            codes, found = pd.factorize(names.filter(fits).to_pandas())
             for code, name in enumerate(found):
                 if name in shipped.value:
                     intercept, coefficients = shipped.value[name]
-                    out[codes == code] = x[codes == code] @ coefficients + intercept
-            return pa.array(out, from_pandas=True)
+                    here = at[codes == code]
+                    out[here] = x[codes == code] @ coefficients + intercept
+                    missing[here] = False
+            return pa.array(out, mask=missing)
 
         scored = keyed.withColumn(output, apply.asNondeterministic()(F.col(by).cast("string"), F.col(features)))
     else:
         joined = lookup_join(keyed, model.select(by, "intercept", "coefficients"), [by])
         products = F.zip_with(features, "coefficients", lambda x, c: x.cast("double") * c)
-        dot = F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
+        dot = F.aggregate(products, F.lit(0.0), lambda s, v: s + v)  # a vector of another width gives null
         scored = joined.withColumn(output, F.col("intercept") + dot).drop("intercept", "coefficients")
     return scored if group else scored.drop(by)

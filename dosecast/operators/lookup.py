@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from dosecast.session import materialize
 BROADCAST_ROWS = 250_000
 BROADCAST_BYTES = 64 << 20
 HOT_FRACTION = 1000  # a key is hot when it holds more than 1/1000 of the rows
+SALTS = 64  # copies of hot lookup rows that are too large to broadcast
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -48,7 +50,9 @@ def lookup_join(
 
     A lookup of checked size is broadcast. A larger one is joined by shuffle, but
     rows of hot keys are answered by broadcasting their lookup rows only: fewer
-    than ``HOT_FRACTION`` keys can each hold more than that share of the rows.
+    than ``HOT_FRACTION`` keys can each hold more than that share of the rows. Where even
+    those are too large, they are copied ``SALTS`` times and met by salted rows. Rows with
+    a null key match nothing and stay spread as they came.
 
     ``how`` is ``left`` or ``inner``. ``key_counts`` (keys, ``_count``) saves a pass
     over the rows where the counts are known; ``even`` says that no key is hot.
@@ -76,9 +80,24 @@ def shuffled_lookup(
     total = key_counts.agg(F.sum("_count")).first()[0] or 0
     hot_keys = materialize(key_counts.filter(F.col("_count") > total / HOT_FRACTION).select(*keys), "hot_keys")
     if hot_keys.isEmpty():
-        return rows.join(lookup, keys, how)
+        return cold_lookup(rows, lookup, keys, how)
     lookup = lookup if written else materialize(lookup, "lookup")
     hot_lookup = lookup.join(F.broadcast(hot_keys), keys, "left_semi")
-    hot_rows = rows.join(F.broadcast(hot_keys), keys, "left_semi").join(F.broadcast(hot_lookup), keys, how)
-    cold_rows = rows.join(F.broadcast(hot_keys), keys, "left_anti").join(lookup, keys, how)
-    return hot_rows.unionByName(cold_rows)
+    hot_rows = rows.join(F.broadcast(hot_keys), keys, "left_semi")
+    if fits_broadcast(hot_lookup):
+        hot_rows = hot_rows.join(F.broadcast(hot_lookup), keys, how)
+    else:
+        copies = hot_lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = hot_rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        hot_rows = salted.join(copies.hint("shuffle_merge"), [*keys, "_salt"], how).drop("_salt")
+    cold_rows = rows.join(F.broadcast(hot_keys), keys, "left_anti")
+    return hot_rows.unionByName(cold_lookup(cold_rows, lookup, keys, how))
+
+
+def cold_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A shuffle join without hot keys; rows with a null key go on by their partition instead of all to one task."""
+    if how != "left":
+        return rows.join(lookup, keys, how)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    spread = rows.withColumn("_spread", F.when(missing, F.spark_partition_id()).otherwise(F.lit(0)))
+    return spread.join(lookup.withColumn("_spread", F.lit(0)), [*keys, "_spread"], how).drop("_spread")

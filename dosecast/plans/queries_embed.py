@@ -15,24 +15,24 @@ from dosecast.plans.catalog import query
 from dosecast.plans.views import load
 
 DIMS = 64
-TOKENS = 2000
 LONG_TEXT = 300
 PROJECTED = 16
 SPACES_SQL = r"'[ \t\n\x0B\f\r]+'"
 
 
-def _token_list(text: str, limit: int) -> str:
-    return f"list_filter(string_split_regex(lower({text}), {SPACES_SQL}), lambda w: w <> '')[1:{limit}]"
+def _token_list(text: str, limit: int | None = None) -> str:
+    words = f"list_filter(string_split_regex(lower({text}), {SPACES_SQL}), lambda w: w <> '')"
+    return words if limit is None else f"{words}[1:{limit}]"
 
 
-def hashed_sql(rows: str, key: str, limit: int = TOKENS) -> str:
+def hashed_sql(rows: str, key: str) -> str:
     """(key, position, value): the token-hash vectors of ``rows`` (key, text), without zeros."""
     return f"""
         SELECT {key}, position, round(CAST(count / sqrt(sum(count * count) OVER (PARTITION BY {key})) AS FLOAT), 6)
                AS value
         FROM (SELECT {key}, CAST(('0x' || substr(md5(word), 1, 15))::BIGINT % {DIMS} AS INT) AS position,
                      CAST(count(*) AS DOUBLE) AS count
-              FROM (SELECT {key}, unnest({_token_list('text', limit)}) AS word FROM {rows}) GROUP BY ALL)"""
+              FROM (SELECT {key}, unnest({_token_list('text')}) AS word FROM {rows}) GROUP BY ALL)"""
 
 
 def non_zero(vectors: DataFrame, *keys: str) -> DataFrame:
@@ -54,7 +54,7 @@ _LONG_SQL = f"""{q.WITH('v_docs')}, {_LONG_DOCS}
 
 @query("embed_columns", _LONG_SQL)
 def embed_columns(spark, sf):
-    encoder = partial(embed.TokenHashEncoder, DIMS, TOKENS)
+    encoder = partial(embed.TokenHashEncoder, DIMS)
     rows = embed.embed_columns(load(spark, sf, "v_docs"), "doc_id", ["text", "source"], encoder, batch_size=256)
     return non_zero(rows, "doc_id", "variant")
 
@@ -63,7 +63,7 @@ def embed_columns(spark, sf):
 def embed_columns_sql(spark, sf):
     prompts = embed.long_prompts(load(spark, sf, "v_docs"), "doc_id", ["text", "source"])
     return non_zero(
-        embed.hash_embed_sql(prompts, ["doc_id", "variant"], "prompt", DIMS, TOKENS), "doc_id", "variant"
+        embed.hash_embed_sql(prompts, ["doc_id", "variant"], "prompt", DIMS), "doc_id", "variant"
     )
 
 
@@ -73,7 +73,7 @@ def embed_columns_sql(spark, sf):
     SELECT doc_id, position, round(CAST(value AS DOUBLE), 6) AS value FROM ({hashed_sql('v_docs', 'doc_id')})""",
 )
 def embed_batch(spark, sf):
-    encoder = partial(embed.TokenHashEncoder, DIMS, TOKENS)
+    encoder = partial(embed.TokenHashEncoder, DIMS)
     return non_zero(embed.embed_prompts(load(spark, sf, "v_docs"), encoder, "text", embed.BATCH_SIZE), "doc_id")
 
 
@@ -83,7 +83,7 @@ def embed_batch(spark, sf):
     SELECT doc_id, position, round(CAST(value AS DOUBLE), 6) AS value FROM ({hashed_sql('v_docs', 'doc_id')})""",
 )
 def embed_distinct(spark, sf):
-    encoder = partial(embed.TokenHashEncoder, DIMS, TOKENS)
+    encoder = partial(embed.TokenHashEncoder, DIMS)
     rows = embed.embed_prompts(load(spark, sf, "v_docs"), encoder, "text", embed.BATCH_SIZE, distinct=True)
     return non_zero(rows, "doc_id")
 
@@ -162,11 +162,11 @@ def _half_sql(x: str) -> str:
         SELECT doc_id, position, CAST(count / sqrt(sum(count * count) OVER (PARTITION BY doc_id)) AS FLOAT)::DOUBLE AS x
         FROM (SELECT doc_id, CAST(('0x' || substr(md5(word), 1, 15))::BIGINT % {DIMS} AS INT) AS position,
                      CAST(count(*) AS DOUBLE) AS count
-              FROM (SELECT doc_id, unnest({_token_list('text', TOKENS)}) AS word FROM v_docs) GROUP BY ALL))
+              FROM (SELECT doc_id, unnest({_token_list('text')}) AS word FROM v_docs) GROUP BY ALL))
     SELECT doc_id, position, round({_half_sql('x')}, 6) AS value FROM vectors""",
 )
 def embed_half(spark, sf):
-    encoder = partial(embed.TokenHashEncoder, DIMS, TOKENS)
+    encoder = partial(embed.TokenHashEncoder, DIMS)
     rows = embed.embed_prompts(load(spark, sf, "v_docs"), encoder, "text", batch_size=256, half=True)
     return non_zero(rows, "doc_id")
 

@@ -130,5 +130,5 @@ def by_group_networks(spark, sf):
 
 @query("run_search")
 def search(spark, sf):
-    found = run_search(features(spark, sf), n_trials=8, seed=SEED, columns=COLUMNS, epochs=20, patience=5)
+    found = run_search(features(spark, sf), seed=SEED, columns=COLUMNS)
     return found.trials.withColumn("hidden_dims", F.array_join("hidden_dims", "-"))

@@ -126,3 +126,15 @@ def test_metrics_table_has_one_row_per_model(spark):
     hot = table[table["model"] == "hot"].iloc[0]
     assert hot["test_spearman"] == pytest.approx(rank_corr(want))
     assert hot["test_ci_lower"] < hot["test_spearman"] < hot["test_ci_upper"]
+
+
+@pytest.mark.parametrize("n", [1e9, 1e12, 1e13, 1e14])
+@pytest.mark.parametrize("z", [0.0, 0.5, 2.0, 6.0])
+def test_tail_over_many_rows_is_the_normal_one(n, z):
+    assert two_sided_p(z / math.sqrt(n), n) == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)
+
+
+def test_tail_has_no_step_where_the_method_changes():
+    for z in (0.5, 2.0, 6.0):
+        below, above = (two_sided_p(z / math.sqrt(n), n) for n in (1e6, 1e6 + 1))
+        assert below == pytest.approx(above, rel=1e-7)

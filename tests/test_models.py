@@ -67,7 +67,7 @@ def test_large_models_are_joined_instead_of_shipped(planted, monkeypatch):
     rows = split_of(planted)
     model = linear.fit_linear(rows, "cancer_type")
     shipped = linear.predict_linear(model, rows, "cancer_type").select("row_id", "p").toPandas()
-    monkeypatch.setattr(linear, "SHIPPED_MODELS", 0)
+    monkeypatch.setattr(linear, "SHIPPED_CELLS", 0)
     joined = linear.predict_linear(model, rows, "cancer_type").select("row_id", "p").toPandas()
     both = shipped.merge(joined, on="row_id")
     assert len(both) == 900 and np.allclose(both["p_x"], both["p_y"])
@@ -98,13 +98,12 @@ def test_gradient_matches_finite_differences():
     assert np.allclose(state.first / (1 - neural.DECAY_1), numeric, atol=1e-5)
 
 
-@pytest.mark.parametrize("part_cells", [neural.PART_CELLS, 1000])
-def test_networks_learn_planted_signal(planted, monkeypatch, part_cells):
-    monkeypatch.setattr(neural, "PART_CELLS", part_cells)
+@pytest.mark.parametrize("rows_per_part", [neural.NetSpec.rows_per_part, 160])
+def test_networks_learn_planted_signal(planted, rows_per_part):
     rows = split_of(planted)
     specs = [
-        neural.NetSpec("deep", hidden=(32, 16), batch_size=32, max_epochs=25, learning_rate=5e-3),
-        neural.mlp_spec("flat", max_epochs=25, learning_rate=1e-2, batch_size=32),
+        neural.NetSpec("deep", hidden=(32, 16), batch_size=32, max_epochs=25, learning_rate=5e-3, rows_per_part=rows_per_part),
+        neural.mlp_spec("flat", max_epochs=25, learning_rate=1e-2, batch_size=32, rows_per_part=rows_per_part),
     ]
     models = neural.fit_networks(rows, specs, "row_id")
     scored = neural.predict_networks(rows.filter("split = 'test'"), models, "row_id").toPandas()
@@ -116,11 +115,10 @@ def test_networks_learn_planted_signal(planted, monkeypatch, part_cells):
     assert losses[-1]["val_loss"] < losses[0]["val_loss"]
 
 
-@pytest.mark.parametrize("part_cells", [neural.PART_CELLS, 1000])
-def test_early_stopping_follows_the_recorded_losses(planted, monkeypatch, part_cells):
-    monkeypatch.setattr(neural, "PART_CELLS", part_cells)
+@pytest.mark.parametrize("rows_per_part", [neural.NetSpec.rows_per_part, 160])
+def test_early_stopping_follows_the_recorded_losses(planted, rows_per_part):
     rows = split_of(planted)
-    spec = neural.NetSpec("m", hidden=(16,), batch_size=64, max_epochs=60, learning_rate=0.05, patience=3)
+    spec = neural.NetSpec("m", hidden=(16,), batch_size=64, max_epochs=60, learning_rate=0.05, patience=3, rows_per_part=rows_per_part)
     models = neural.fit_networks(rows, [spec], "row_id")
     losses = neural.epoch_losses(rows.sparkSession, models)
     stop = early_stop_epoch(losses, ["model"], 3, loss="val_loss").first()
@@ -140,6 +138,69 @@ def test_training_is_repeatable_and_survives_saving(spark, planted):
     assert loaded.spec == first.spec and np.array_equal(loaded.theta, first.theta)
 
 
+@pytest.mark.parametrize("rows_per_part", [neural.NetSpec.rows_per_part, 160])
+def test_weights_depend_on_neither_tasks_nor_batches(spark, planted, monkeypatch, rows_per_part):
+    rows = split_of(planted)
+    spec = neural.NetSpec("m", hidden=(8,), batch_size=32, max_epochs=4, rows_per_part=rows_per_part)
+    want = neural.fit_networks(rows, [spec], "row_id")["m"].theta
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "50")
+        monkeypatch.setattr(neural, "TASKS_PER_CORE", 0)  # a single task for all parts
+        got = neural.fit_networks(rows.repartition(3), [spec], "row_id")["m"].theta
+    finally:
+        spark.conf.set(batch, before)
+    assert np.allclose(got, want, rtol=0, atol=1e-6)
+
+
+def test_many_networks_are_applied_in_several_scans(planted, monkeypatch):
+    rows = split_of(planted)
+    specs = [neural.NetSpec(str(i), hidden=(4,), max_epochs=1, seed=i) for i in range(3)]
+    models = neural.fit_networks(rows, specs, "row_id")
+    at_once = neural.predict_networks(rows, models, "row_id").toPandas()
+    monkeypatch.setattr(neural, "DRIVER_CELLS", 1)
+    in_waves = neural.predict_networks(rows, models, "row_id").toPandas()
+    order = ["model", "row_id"]
+    assert at_once.sort_values(order, ignore_index=True).equals(in_waves.sort_values(order, ignore_index=True))
+
+
+def test_predictions_without_a_vector_or_model_are_null_either_way(spark, planted, monkeypatch):
+    model = linear.fit_linear(split_of(planted), "cancer_type")
+    rows = spark.createDataFrame(
+        [
+            (0, [1.0] * WIDTH, "Lung Cancer"),
+            (1, None, "Lung Cancer"),
+            (2, [1.0], "Lung Cancer"),
+            (3, [1.0] * WIDTH, "Unseen"),
+            (4, [float("nan")] * WIDTH, "Lung Cancer"),
+            (5, [1.0] * WIDTH, None),
+        ],
+        "row_id long, features array<float>, cancer_type string",
+    )
+    found = []
+    for cells in (linear.SHIPPED_CELLS, 0):
+        monkeypatch.setattr(linear, "SHIPPED_CELLS", cells)
+        got = {r["row_id"]: r["p"] for r in linear.predict_linear(model, rows, "cancer_type").collect()}
+        assert [k for k in sorted(got) if got[k] is None] == [1, 2, 3, 5] and np.isnan(got[4])
+        found.append(got[0])
+    assert np.isclose(*found)
+
+
+def test_wide_moments_are_handed_on_once_per_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(x.tolist(), float(x[0]), f"g{i % 3}") for i, x in enumerate(rng.normal(size=(90, 4)))]
+    df = spark.createDataFrame(rows, "features array<double>, y double, kind string").repartition(2)
+    monkeypatch.setattr(linear, "HELD_CELLS", 1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        handed = linear.moment_rows(df, "kind", "features", "y", 4, np.zeros(5)).filter("_row = 0").count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert handed <= 2 * 3
+
+
 def test_early_stop_epoch(spark):
     losses = {"a": [5, 4, 4, 4.5, 3], "b": [5, 4, 3, 2], "c": [1, 2, 3, 0.5]}
     rows = [(k, i + 1, float(v)) for k, vs in losses.items() for i, v in enumerate(vs)]

@@ -205,8 +205,9 @@ def score_predictions(
 
 
 def metrics_table(scores: DataFrame, group: Sequence[str], split: str = "split") -> DataFrame:
-    """One row per model (and group): validation and test metrics side by side."""
-    values = [c for c in ("mse", "r2", "spearman", "spearman_p", "ci_lower", "ci_upper") if c in scores.columns]
+    """One row per model (and group): validation and test metrics side by side, and the replicates intervals rest on."""
+    names = ("mse", "r2", "spearman", "spearman_p", "ci_lower", "ci_upper", "replicates", "dropped_replicates")
+    values = [c for c in names if c in scores.columns]
     picks = [
         F.max(F.when(F.col(split) == short, F.col(v))).alias(f"{long}_{v}")
         for short, long in (("val", "validation"), ("test", "test"))

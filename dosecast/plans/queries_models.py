@@ -19,6 +19,7 @@ from dosecast.session import materialize
 COLUMNS = modeling.Columns(key="vec_id", features="embedding")
 TWO = modeling.Columns(key="vec_id", features="two")
 SETTINGS = modeling.Settings(seed=SEED)
+WIDTH = 64
 
 _FEATURES = """
     features AS (SELECT vec_id AS row_id, cancer_type, AUC AS y, CAST(embedding[1] AS DOUBLE) AS x1,
@@ -33,6 +34,14 @@ def _linear_sql(group: str | None) -> str:
     scored AS ({q.linear_two('train_rows', 'unseen', group)})"""
 
 
+_BY_GROUP = f"""{q.WITH('v_features').replace('WITH', 'WITH RECURSIVE', 1)},
+    features AS (SELECT vec_id AS row_id, cancer_type, AUC AS y, embedding AS x FROM v_features),
+    split_rows AS ({q.split('features', 'row_id', 0.2, 0.2, SEED, 'cancer_type')}),
+    train_rows AS (SELECT * FROM split_rows WHERE split = 'train'),
+    unseen AS (SELECT * FROM split_rows WHERE split <> 'train'),
+    {q.linear_groups('train_rows', 'unseen', WIDTH, 'cancer_type')}"""
+
+
 def features(spark, sf) -> DataFrame:
     """The feature table with a second vector column of the first two features only."""
     return load(spark, sf, "v_features").withColumn("two", F.slice("embedding", 1, 2))
@@ -60,7 +69,7 @@ _ALL_FEATURES = f"""
 @query(
     "fit_linear",
     f"""{q.WITH('v_features').replace('WITH', 'WITH RECURSIVE', 1)}, {_ALL_FEATURES},
-    {q.linear_all('train_rows', 'unseen', 64)}
+    {q.linear_all('train_rows', 'unseen', WIDTH)}
     SELECT row_id, split, y, {r6('p')} AS p FROM scored""",
 )
 def linear(spark, sf):
@@ -96,26 +105,25 @@ def dnn(spark, sf):
 
 @query(
     "predict_score",
-    f"""{_linear_sql('cancer_type')}
+    f"""{_BY_GROUP}
     SELECT 'linear' AS model, cancer_type, split, row_id, y, {r6('p')} AS p FROM scored""",
 )
 def predict_score(spark, sf):
-    return rounded(modeling.predict_score(features(spark, sf), "linear", CANCER_TYPES, TWO, SETTINGS), "p")
+    return rounded(modeling.predict_score(features(spark, sf), "linear", CANCER_TYPES, COLUMNS, SETTINGS), "p")
 
 
 _METRICS = [f"{s}_{m}" for s in ("validation", "test") for m in METRIC_NAMES]
-_FLAGSHIP = modeling.Settings(seed=SEED, n_bootstrap=0)
 
 
 @query(
     "run_models_by_group",
-    f"""{_linear_sql('cancer_type')}, named AS (SELECT 'linear' AS model_name, * FROM scored),
-    {metric_columns_sql('named', ['model_name', 'cancer_type'])}
+    f"""{_BY_GROUP}, named AS (SELECT 'linear' AS model_name, * FROM scored),
+    {metric_columns_sql('named', ['model_name', 'cancer_type'], 'row_id')}
     SELECT model_name, 'LinearRegression' AS model_label, cancer_type, {metric_picks_sql()}
     FROM scores GROUP BY model_name, cancer_type""",
 )
 def by_group(spark, sf):
-    return rounded(modeling.run_models(features(spark, sf), "linear", CANCER_TYPES, TWO, _FLAGSHIP), *_METRICS)
+    return rounded(modeling.run_models(features(spark, sf), "linear", CANCER_TYPES, COLUMNS, SETTINGS), *_METRICS)
 
 
 @query("run_models")

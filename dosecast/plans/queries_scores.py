@@ -135,12 +135,12 @@ _MODELLED = f"""
                         CAST(embedding[2] AS DOUBLE) AS x2 FROM v_features),
     split_rows AS ({q.split('features', 'vec_id', 0.2, 0.2, SEED, 'cancer_type')}),
     predictions AS (
-        SELECT 'first' AS model_name, cancer_type, split, y, x1 AS p FROM split_rows WHERE split <> 'train'
-        UNION ALL SELECT 'second', cancer_type, split, y, x2 FROM split_rows WHERE split <> 'train')"""
+        SELECT 'first' AS model_name, vec_id, cancer_type, split, y, x1 AS p FROM split_rows WHERE split <> 'train'
+        UNION ALL SELECT 'second', vec_id, cancer_type, split, y, x2 FROM split_rows WHERE split <> 'train')"""
 
 
-def metric_columns_sql(source: str, by: list[str], ci: bool = False) -> str:
-    """CTEs that score ``source`` per (by, split), ending in ``scores``."""
+def metric_columns_sql(source: str, by: list[str], key_column: str) -> str:
+    """CTEs that score ``source`` per (by, split) with bootstrap intervals, ending in ``scores``."""
     key = " || '|' || ".join([*by, "split"])
     columns = ", ".join([*by, "split"])
     return f"""
@@ -148,18 +148,29 @@ def metric_columns_sql(source: str, by: list[str], ci: bool = False) -> str:
     errors AS (SELECT g, {columns}, {q.MSE} AS mse, {q.R2} AS r2 FROM keyed GROUP BY g, {columns}),
     ranks AS ({q.spearman('keyed', 'g')}),
     tails AS ({q.spearman_p('ranks', 'g')}),
-    scores AS (SELECT errors.*, n, spearman, spearman_p FROM errors JOIN tails USING (g))"""
+    base AS (SELECT g, y, p, count(*) OVER (PARTITION BY g) AS n,
+                    row_number() OVER (PARTITION BY g ORDER BY {q.md5(str(SEED), key_column)}, {key_column}) - 1 AS pos
+             FROM keyed),
+    draws AS (SELECT g, rep, {q.md5_long(str(SEED), 'rep', 'pos')} % n AS pos
+              FROM base CROSS JOIN (SELECT unnest(range({REPLICATES})) AS rep)),
+    drawn AS (SELECT d.g || ':' || rep AS g, y, p FROM draws d JOIN base USING (g, pos)),
+    reps AS (SELECT split_part(g, ':', 1) AS g, spearman FROM ({q.spearman('drawn', 'g')})),
+    intervals AS (SELECT g, quantile_cont(spearman, 0.025) AS ci_lower, quantile_cont(spearman, 0.975) AS ci_upper,
+                         count(spearman) AS replicates, count(*) FILTER (spearman IS NULL) AS dropped_replicates
+                  FROM reps GROUP BY g),
+    scores AS (SELECT errors.*, n, spearman, spearman_p, ci_lower, ci_upper, replicates, dropped_replicates
+               FROM errors JOIN tails USING (g) JOIN intervals USING (g))"""
 
 
-METRIC_NAMES = ("mse", "r2", "spearman", "spearman_p")
+METRIC_NAMES = ("mse", "r2", "spearman", "spearman_p", "ci_lower", "ci_upper")
+COUNT_NAMES = ("replicates", "dropped_replicates")
 
 
 def metric_picks_sql() -> str:
-    return ", ".join(
-        f"{r6(f'''max({m}) FILTER (split = '{s}')''')} AS {name}_{m}"
-        for s, name in (("val", "validation"), ("test", "test"))
-        for m in METRIC_NAMES
-    )
+    sides = (("val", "validation"), ("test", "test"))
+    values = [f"{r6(f'''max({m}) FILTER (split = '{s}')''')} AS {n}_{m}" for s, n in sides for m in METRIC_NAMES]
+    counts = [f"max({m}) FILTER (split = '{s}') AS {n}_{m}" for s, n in sides for m in COUNT_NAMES]
+    return ", ".join(values + counts)
 
 
 def rounded_metrics(table: DataFrame) -> DataFrame:
@@ -168,7 +179,8 @@ def rounded_metrics(table: DataFrame) -> DataFrame:
 
 @query(
     "metrics_table",
-    f"""{q.WITH('v_features')}, {_MODELLED}, {metric_columns_sql('predictions', ['model_name', 'cancer_type'])}
+    f"""{q.WITH('v_features')}, {_MODELLED},
+    {metric_columns_sql('predictions', ['model_name', 'cancer_type'], 'vec_id')}
     SELECT model_name, cancer_type, {metric_picks_sql()} FROM scores GROUP BY model_name, cancer_type""",
 )
 def metrics_table(spark, sf):
@@ -182,7 +194,7 @@ def metrics_table(spark, sf):
     )
     predictions = materialize(rows.select("vec_id", "cancer_type", "split", "y", F.inline(models)), "predictions")
     by = ["model_name", "cancer_type"]
-    scores = metrics.score_predictions(predictions, [*by, "split"], "vec_id", n_bootstrap=0)
+    scores = metrics.score_predictions(predictions, [*by, "split"], "vec_id", REPLICATES, seed=SEED)
     return rounded_metrics(metrics.metrics_table(scores, by))
 
 

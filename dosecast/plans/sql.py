@@ -109,6 +109,45 @@ def linear_two(train: str, rows: str, group: str | None = None) -> str:
                   FROM {train} GROUP BY {by})) ON {on}"""
 
 
+def linear_groups(train: str, rows: str, width: int, group: str) -> str:
+    """CTEs ending in ``scored``: ``rows`` with ``p`` from least squares of y on all of ``x`` inside each group.
+
+    Groups of at most ``width`` rows take the minimum-norm fit: with centred rows X, (X X' + J / n) a = y - mean(y)
+    is eliminated and X' a are the coefficients. Larger groups solve the normal equations.
+    """
+    return f"""
+    numbered AS (SELECT {group} AS _g, y, x, row_number() OVER (PARTITION BY {group} ORDER BY row_id) AS r,
+                        count(*) OVER (PARTITION BY {group}) AS n FROM {train}),
+    cells AS (SELECT _g, r, n, unnest(range(1, {width + 1})) AS i, CAST(unnest(x) AS DOUBLE) AS v FROM numbered),
+    centres AS (SELECT _g, i, avg(v) AS m FROM cells GROUP BY _g, i),
+    centred AS (SELECT _g, r, n, i, v - m AS v FROM cells JOIN centres USING (_g, i)),
+    means AS (SELECT _g, avg(y) AS my FROM numbered GROUP BY _g),
+    targets AS (SELECT _g, r, n, y - my AS t FROM numbered JOIN means USING (_g)),
+    gram AS (SELECT a._g AS _g, a.r AS i, b.r AS j, sum(a.v * b.v) + 1.0 / any_value(a.n) AS s
+             FROM centred a JOIN centred b ON a._g = b._g AND a.i = b.i WHERE a.n <= {width} GROUP BY a._g, a.r, b.r
+             UNION ALL SELECT _g, r, n + 1, t FROM targets WHERE n <= {width}
+             UNION ALL SELECT a._g, a.i, b.i, sum(a.v * b.v)
+             FROM centred a JOIN centred b ON a._g = b._g AND a.r = b.r WHERE a.n > {width} GROUP BY a._g, a.i, b.i
+             UNION ALL SELECT c._g, c.i, {width + 1}, sum(c.v * t.t)
+             FROM centred c JOIN targets t ON c._g = t._g AND c.r = t.r WHERE c.n > {width} GROUP BY c._g, c.i),
+    lines AS (SELECT _g, i, list(s ORDER BY j) AS line FROM gram GROUP BY _g, i),
+    system AS (SELECT _g, list(line ORDER BY i) AS m FROM lines GROUP BY _g),
+    steps AS (SELECT _g, 0 AS k, m FROM system
+              UNION ALL
+              SELECT _g, k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1
+                  THEN list_transform(line, lambda v: v / m[k + 1][k + 1])
+                  ELSE list_transform(line, lambda v, j: v - line[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+              FROM steps WHERE k < len(m)),
+    solved AS (SELECT _g, list_transform(m, lambda line: line[-1]) AS a FROM steps WHERE k = len(m)),
+    slopes AS (SELECT _g, i, sum(v * a[r]) AS b FROM centred JOIN solved USING (_g) WHERE n <= {width} GROUP BY _g, i
+               UNION ALL SELECT _g, unnest(range(1, {width + 1})), unnest(a) FROM solved
+               WHERE _g IN (SELECT _g FROM numbered WHERE n > {width})),
+    fitted AS (SELECT _g, any_value(my) - sum(b * m) AS b0, list(b ORDER BY i) AS b
+               FROM slopes JOIN centres USING (_g, i) JOIN means USING (_g) GROUP BY _g),
+    scored AS (SELECT r.*, b0 + list_dot_product(b, CAST(x AS DOUBLE[])) AS p
+               FROM {rows} r JOIN fitted ON _g = r.{group})"""
+
+
 def linear_all(train: str, rows: str, width: int) -> str:
     """CTEs ending in ``scored``: ``rows`` with ``p`` from least squares of y on all of ``x``.
 

@@ -125,21 +125,19 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str
     base = base_spans(text)
     extra = []
     if _DIGIT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
+        taken = bytearray(len(text))  # marks code points, so a span is tried in time of its own length
+        for _, a, b in base:
+            taken[a:b] = b"\x01" * (b - a)
         for kind, pattern in zip(EXTRA, (_IBAN, _SSN, _TEL)):
             for m in pattern.finditer(text):
                 a, b = m.span()
                 if kind == "iban" and not mod97(m.group()):
                     continue
-                if any(x < b and a < y for x, y in taken) or score(text, kind, a, b) < threshold:
+                # a number may be proposed twice: the kind listed first keeps it
+                if 1 in taken[a:b] or score(text, kind, a, b) < threshold:
                     continue
+                taken[a:b] = b"\x01" * (b - a)
                 extra.append((kind, a, b))
-        # a number may be proposed twice: the kind listed first keeps it
-        kept: list[tuple[str, int, int]] = []
-        for span in extra:
-            if not any(x < span[2] and span[1] < y for _, x, y in kept):
-                kept.append(span)
-        extra = kept
     return [(k, a, b, score(text, k, a, b)) for k, a, b in base + extra]
 
 

@@ -40,6 +40,7 @@ FREQUENT = 300_000  # words whose exact counts are broadcast, 24 bytes each
 MIN_PAIR = 2  # a pair seen once says no more than its words
 MIX = 0.5  # weight of the pair's share
 COUNTED_AT_ONCE = 4_000  # rows whose words are counted together before they are handed on
+SENT_AT_ONCE = 50_000  # counts of an Arrow batch, which the JVM holds outside its heap
 END = b"\n"  # no word: it is white space
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -112,7 +113,8 @@ def partial_counts(batches):
         high = np.concatenate([b.high[words], keys]).view(np.int64)
         low = np.concatenate([b.low[words], np.zeros(len(pairs), dtype=np.uint64)]).view(np.int64)
         n = np.concatenate([n_words, n_pairs]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, high, low, n)], names=["kind", "high", "low", "n"])
+        counted = pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, high, low, n)], names=["kind", "high", "low", "n"])
+        yield from (counted.slice(start, SENT_AT_ONCE) for start in range(0, counted.num_rows, SENT_AT_ONCE))
 
 
 def ngram_counts(texts: DataFrame) -> DataFrame:
@@ -156,8 +158,8 @@ def positions(keys: np.ndarray, levels: np.ndarray, bits: int):
             yield ((h + np.uint64(i) * step) >> np.uint64(1)) % np.uint64(bits)
 
 
-def build_filter(counts: DataFrame, shape: Shape) -> list[bytes]:
-    """The filter's segments: each is filled by one task from the n-grams that belong to it."""
+def build_filter(counts: DataFrame, shape: Shape) -> bytes:
+    """The filter's segments, one after the other: each is filled by one task from the n-grams that belong to it."""
 
     def fill(batches):
         own: dict[int, np.ndarray] = {}
@@ -177,17 +179,18 @@ def build_filter(counts: DataFrame, shape: Shape) -> list[bytes]:
 
     held = counts.filter(F.col("n") >= shape.least).withColumn("segment", F.pmod("high", F.lit(SEGMENTS)).cast("int"))
     parts = held.select("kind", "high", "n", "segment").repartition(SEGMENTS, "segment").mapInArrow(fill, "segment int, bits binary")
-    segments = [bytes(shape.segment_bits // 8)] * SEGMENTS
+    size = shape.segment_bits // 8
+    whole = bytearray(size * SEGMENTS)
     for r in parts.toLocalIterator():  # at most MAX_FILTER_BYTES in all
-        segments[r["segment"]] = bytes(r["bits"])
-    return segments
+        whole[r["segment"] * size : (r["segment"] + 1) * size] = r["bits"]
+    return bytes(whole)
 
 
 class Filter:
     """Levels of n-grams by repeated membership probes."""
 
-    def __init__(self, segments: list[bytes], shape: Shape):
-        self.bits = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    def __init__(self, segments: bytes, shape: Shape):
+        self.bits = np.frombuffer(segments, dtype=np.uint8)  # the broadcast bytes themselves, no second copy
         self.shape = shape
 
     def _held(self, keys: np.ndarray, offset: np.ndarray, level: int) -> np.ndarray:

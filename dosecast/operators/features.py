@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +63,15 @@ def features_target(df: DataFrame, target: str = "AUC", dropped: Sequence[str] =
     return df.select(F.array(*[F.col(c).cast("double") for c in names]).alias("features"), F.col(target).alias("y"))
 
 
-def as_ml_vector(df: DataFrame, features: str = "features", output: str = "vector") -> DataFrame:
-    return df.withColumn(output, array_to_vector(F.col(features)))
+def content_keys(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Rows that came without a key get one: the digest of their cells, and which of its equals a row is.
+
+    Equal rows are counted before they are numbered, so a row repeated without end is one row in the shuffle.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_times"))
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    digest = F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))
+    return copies.select(F.concat_ws(":", digest, "_copy").alias(key), *df.columns)
 
 
 def filter_groups(df: DataFrame, groups: Sequence[str], column: str = "cancer_type") -> DataFrame:

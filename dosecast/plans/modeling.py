@@ -8,7 +8,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosecast.operators.boosted import fit_boosted, predict_boosted
@@ -58,9 +58,16 @@ def chosen_models(model: str | Sequence[str]) -> list[str]:
     return names
 
 
+def unusable(columns: Columns) -> Column:
+    """Rows that no model can take: a missing vector, a missing or NaN cell in it, a missing or NaN target."""
+    vector, target = F.col(columns.features), F.col(columns.target).cast("double")
+    bad_cells = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    return F.coalesce(vector.isNull() | bad_cells | target.isNull() | F.isnan(target), F.lit(True))
+
+
 def split_table(df: DataFrame, columns: Columns, settings: Settings, by_group: bool) -> DataFrame:
-    """(row_id, features, y, group, split), the one table that every model reads."""
-    rows = df.select(
+    """(row_id, features, y, group, split), the one table that every model reads; ``unusable`` rows stay out."""
+    rows = df.filter(~unusable(columns)).select(
         F.col(columns.key).alias("row_id"),
         F.col(columns.features).alias("features"),
         F.col(columns.target).cast("double").alias("y"),
@@ -146,9 +153,14 @@ def run_models(
     columns: Columns = Columns(),
     settings: Settings = Settings(),
 ) -> DataFrame:
-    """Results, one row per model (and cancer type): validation and test metrics and both names."""
+    """Results, one row per model (and cancer type): validation and test metrics, both names, ``quarantined`` rows."""
     predictions = predict_score(df, model, groups, columns, settings)
-    return results_table(predictions, groups is not None, settings)
+    results = results_table(predictions, groups is not None, settings)
+    bad = df.filter(unusable(columns))
+    if groups is None:
+        return results.withColumn("quarantined", F.lit(bad.count()).cast("long"))
+    counts = filter_groups(bad, groups, columns.group).groupBy(F.col(columns.group).alias("cancer_type")).agg(F.count(F.lit(1)).alias("quarantined"))
+    return results.join(counts, "cancer_type", "left").withColumn("quarantined", F.coalesce("quarantined", F.lit(0)).cast("long"))
 
 
 def results_table(predictions: DataFrame, by_group: bool, settings: Settings = Settings()) -> DataFrame:

@@ -217,9 +217,8 @@ def union_chunks(spark, sf):
     "emb_from_json",
     f"""{q.WITH('v_features')}
     SELECT vec_id, vec_id % 10 < 4 AS bad_vector,
-           CASE WHEN vec_id % 10 >= 4 THEN CAST(embedding[1] AS DOUBLE) END AS first_value,
-           CASE WHEN vec_id % 10 >= 4 THEN CAST(embedding[{DIMS}] AS DOUBLE) END AS last_value
-    FROM v_features""",
+           {_WIDE_SQL}
+    FROM (SELECT vec_id, CASE WHEN vec_id % 10 >= 4 THEN embedding END AS embedding FROM v_features)""",
 )
 def emb_from_json(spark, sf):
     bad = {0: "", 1: "[0.5, NaN]", 2: "[0.5, Infinity]", 3: "not a vector"}
@@ -229,12 +228,7 @@ def emb_from_json(spark, sf):
     parsed = features.parse_vectors(load(spark, sf, "v_features").withColumn("text", text), "text")
     good, quarantined = features.quarantine(parsed)
     rows = good.withColumn("bad_vector", F.lit(False)).unionByName(quarantined)
-    return rows.select(
-        "vec_id",
-        "bad_vector",
-        F.get("features", F.lit(0)).cast("double").alias("first_value"),
-        F.get("features", F.lit(DIMS - 1)).cast("double").alias("last_value"),
-    )
+    return rows.select("vec_id", "bad_vector", *wide_columns("features", DIMS))
 
 
 @query(
@@ -250,15 +244,18 @@ def emb_to_wide(spark, sf):
 
 
 def embedded_wide(rows: DataFrame) -> DataFrame:
-    """A wide embedded table with two prompt columns' vectors."""
-    return rows.withColumn("emb_question_prompt", F.col("embedding")).withColumn(
-        "emb_refined_prompt_cell", F.reverse("embedding")
-    )
-
-
-_VARIANT_ROWS = """variants AS (
-    SELECT 'question' AS variant, * REPLACE (embedding AS embedding) FROM v_features
-    UNION ALL SELECT 'cellline_context', * REPLACE (list_reverse(embedding) AS embedding) FROM v_features)"""
+    """A wide embedded table: the vectors of all prompt columns, each one turned by one cell more."""
+    turned = {
+        f"emb_{column}": F.concat(F.slice("embedding", i + 1, DIMS), F.slice("embedding", 1, i))
+        for i, column in enumerate(features.VARIANTS)
+    }
+    return rows.withColumns(turned)
+
+
+_VARIANT_ROWS = "variants AS (" + " UNION ALL ".join(
+    f"SELECT '{v}' AS variant, * REPLACE (list_concat(embedding[{i + 1}:], embedding[1:{i}]) AS embedding) FROM v_features"
+    for i, v in enumerate(features.VARIANTS.values())
+) + ")"
 
 
 @query(

@@ -14,7 +14,8 @@ from dosecast.plans.catalog import query
 from dosecast.plans.queries_scores import METRIC_NAMES, SEED, metric_columns_sql, metric_picks_sql, r6, rounded
 from dosecast.plans.search import run_search
 from dosecast.plans.views import CANCER_TYPES, load
-from dosecast.session import materialize
+from dosecast.session import materialize, scratch_path
+from dosecast.sources import tables
 
 COLUMNS = modeling.Columns(key="vec_id", features="embedding")
 TWO = modeling.Columns(key="vec_id", features="two")
@@ -81,24 +82,34 @@ def linear_two(spark, sf):
     return _linear_predictions(split_rows(spark, sf, TWO))
 
 
-@query("fit_boosted")
+_SCORED = f"""{q.WITH('v_features')}, {_ALL_FEATURES}
+    SELECT row_id, split, y, true AS scored FROM unseen"""
+
+
+def _scored(predicted: DataFrame) -> DataFrame:
+    """Unseen rows, and whether each got a finite prediction: the predictions themselves are beyond SQL."""
+    finite = F.col("p").isNotNull() & ~F.isnan("p") & (F.abs("p") != float("inf"))
+    return predicted.select("row_id", "split", "y", finite.alias("scored"))
+
+
+@query("fit_boosted", _SCORED)
 def boosted(spark, sf):
     rows = split_rows(spark, sf)
     model = fit_boosted(rows.filter("split = 'train'"), seed=SEED)
-    return _predictions(predict_boosted(model, rows.filter("split <> 'train'")))
+    return _scored(predict_boosted(model, rows.filter("split <> 'train'")))
 
 
 def _network(rows: DataFrame, spec) -> DataFrame:
     models = fit_networks(rows, [spec], "row_id")
-    return _predictions(predict_networks(rows.filter("split <> 'train'"), models, "row_id"))
+    return _scored(predict_networks(rows.filter("split <> 'train'"), models, "row_id"))
 
 
-@query("fit_mlp")
+@query("fit_mlp", _SCORED)
 def mlp(spark, sf):
     return _network(split_rows(spark, sf), mlp_spec(seed=SEED))
 
 
-@query("fit_dnn")
+@query("fit_dnn", _SCORED)
 def dnn(spark, sf):
     return _network(split_rows(spark, sf), dnn_spec(seed=SEED))
 
@@ -119,13 +130,33 @@ _METRICS = [f"{s}_{m}" for s in ("validation", "test") for m in METRIC_NAMES]
     "run_models_by_group",
     f"""{_BY_GROUP}, named AS (SELECT 'linear' AS model_name, * FROM scored),
     {metric_columns_sql('named', ['model_name', 'cancer_type'], 'row_id')}
-    SELECT model_name, 'LinearRegression' AS model_label, cancer_type, {metric_picks_sql()}
+    SELECT model_name, 'LinearRegression' AS model_label, cancer_type, 0 AS quarantined, {metric_picks_sql()}
     FROM scores GROUP BY model_name, cancer_type""",
 )
 def by_group(spark, sf):
     return rounded(modeling.run_models(features(spark, sf), "linear", CANCER_TYPES, COLUMNS, SETTINGS), *_METRICS)
 
 
+@query(
+    "run_models_from_csv",
+    f"""{q.WITH('v_features')}, rows_in AS (SELECT vec_id AS row_id, cancer_type FROM v_features),
+    split_rows AS ({q.split('rows_in', 'row_id', 0.2, 0.2, SEED, 'cancer_type')})
+    SELECT cancer_type, split, count(*) AS n_rows, count(*) AS n_keys, count(*) AS n_scored
+    FROM split_rows WHERE split <> 'train' GROUP BY cancer_type, split""",
+)
+def from_csv(spark, sf):
+    """A feature file without keys or a known width is fitted by type; what is compared does not depend on the keys."""
+    path = scratch_path(spark, "features.csv")
+    tables.write_features_csv(load(spark, sf, "v_features"), path, WIDTH, "embedding")
+    rows = materialize(tables.read_features_keyed(spark, path), "keyed_features")
+    scored = modeling.predict_score(rows, "linear", CANCER_TYPES, settings=SETTINGS)
+    return scored.groupBy("cancer_type", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct("row_id").alias("n_keys"),
+        F.count(F.when(~F.isnan("p"), F.col("p"))).alias("n_scored"),
+    )
+
+
 @query("run_models")
 def run_models(spark, sf):
     return modeling.run_models(features(spark, sf), modeling.ALL_MODELS, None, COLUMNS, SETTINGS)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +14,7 @@ from dosecast.operators import prompts
 from dosecast.operators.boosted import fit_boosted, predict_boosted
 from dosecast.operators.early_stop import best_trial
 from dosecast.operators.embed import embed_chunks
-from dosecast.operators.features import feature_variants
+from dosecast.operators.features import VARIANTS, feature_variants
 from dosecast.operators.metrics import mse, r2
 from dosecast.plans import sql as q
 from dosecast.plans.queries_embed import DIMS, _VARIANT_ROWS, _WIDE_SQL, embedded_wide
@@ -114,14 +117,17 @@ def sink_table_tsv(spark, sf):
 @query(
     "sink_features_variants",
     f"""{q.WITH('v_features')}, {_VARIANT_ROWS}
-    SELECT vec_id, AUC, label, cancer_type, {_WIDE_SQL} FROM variants WHERE variant = 'cellline_context'""",
+    SELECT variant, vec_id, AUC, label, cancer_type, {_WIDE_SQL} FROM variants""",
 )
 def sink_features_variants(spark, sf):
     path = scratch_path(spark, "variants")
     long = feature_variants(embedded_wide(load(spark, sf, "v_features")), "study", ["vec_id"])
     tables.write_features_variants(long, path)
-    rows = tables.read_features_variant(spark, path, long.schema, "cellline_context", "study")
-    return rows.select("vec_id", "AUC", "label", "cancer_type", *wide_columns("features", DIMS))
+    back = [
+        tables.read_features_variant(spark, path, long.schema, v, "study").withColumn("variant", F.lit(v))
+        for v in VARIANTS.values()
+    ]
+    return reduce(DataFrame.unionByName, back).select("variant", "vec_id", "AUC", "label", "cancer_type", *wide_columns("features", DIMS))
 
 
 @query(
@@ -161,7 +167,7 @@ def sink_trials_params(spark, sf):
     is_best = (
         (F.col("learning_rate") == best["learning_rate"])
         & (F.col("batch_size") == best["batch_size"])
-        & (dims == F.array(*[F.lit(d) for d in best["hidden_dims"]]))
+        & (dims == F.array(*[F.lit(best[f"n_units_l{i}"]) for i in range(best["n_layers"])]))
     )
     return back.select(
         "trial_number",
@@ -178,7 +184,7 @@ def sink_model(spark, sf):
     """A model that was saved and loaded predicts exactly what it did before."""
     rows = load(spark, sf, "v_features").select("vec_id", F.col("embedding").alias("features"), F.col("AUC").alias("y"))
     path = scratch_path(spark, "model")
-    fitted = fit_boosted(rows, rounds=5, depth=3, seed=SEED)
+    fitted = fit_boosted(rows, seed=SEED)
     fitted.write().overwrite().save(path)
     before = predict_boosted(fitted, rows, output="before")
     after = predict_boosted(GBTRegressionModel.load(path), before, output="after")

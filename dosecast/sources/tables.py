@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dosecast.functions.vectors import json_to_vector, vector_to_json, wide_columns
+from dosecast.operators.features import content_keys
 
 # Cell texts that count as missing.
 MISSING_TEXTS = (
@@ -97,14 +98,15 @@ PROMPT_SCHEMA = T.StructType(
 )
 
 
-def read_text_table(spark: SparkSession, path, schema: T.StructType, sep: str = "\t") -> DataFrame:
+def read_text_table(spark: SparkSession, path, schema: T.StructType, sep: str = "\t", multi_line: bool = True) -> DataFrame:
     """Read text files with a header by a declared schema.
 
     ``path`` may be a file, a folder, a glob or a list. Columns are matched by the
     header's names; cells that spell a missing value become null; a cell that does
-    not fit its declared type fails the read.
+    not fit its declared type fails the read. Files whose cells hold no line break
+    are split between tasks when ``multi_line`` says so.
     """
-    header = spark.read.options(**_TEXT_OPTIONS, sep=sep, multiLine=True, enforceSchema=False).csv(path)
+    header = spark.read.options(**_TEXT_OPTIONS, sep=sep, multiLine=multi_line, enforceSchema=False).csv(path)
     cells = {name: F.col(f"`{name}`") for name in header.columns}
     missing = [f.name for f in schema if f.name not in cells]
     if missing:
@@ -162,8 +164,20 @@ def write_features_csv(df: DataFrame, path: str, width: int, vector: str = "feat
     write_text_table(wide, path, sep=",")
 
 
-def read_features_csv(spark: SparkSession, path, width: int, target: str = "AUC") -> DataFrame:
-    return read_text_table(spark, path, features_schema(width, target), sep=",")
+def read_features_csv(spark: SparkSession, path, width: int | None = None, target: str = "AUC") -> DataFrame:
+    """The wide form, split between tasks; without ``width`` the header tells how many features there are."""
+    if width is None:
+        header = spark.read.options(**_TEXT_OPTIONS, sep=",").csv(path).columns
+        width = sum(name.startswith("feature_") for name in header)
+    return read_text_table(spark, path, features_schema(width, target), sep=",", multi_line=False)
+
+
+def read_features_keyed(spark: SparkSession, path, target: str = "AUC") -> DataFrame:
+    """A feature CSV as models take it: (row_id, features, target, label, cancer_type)."""
+    wide = read_features_csv(spark, path, target=target)
+    kept = [target, "label", "cancer_type"]
+    cells = F.array(*[F.col(c) for c in wide.columns if c not in kept])
+    return content_keys(wide.select(cells.alias("features"), *kept))
 
 
 def write_features_variants(long: DataFrame, path: str) -> None:
@@ -192,9 +206,11 @@ def write_trials(trials: DataFrame, path: str) -> None:
 
 
 def write_best_params(best: DataFrame, path: str) -> None:
-    """The best trial's parameters as one JSON object."""
-    params = F.struct("batch_size", "learning_rate", "hidden_dims")
-    best.select(F.to_json(params).alias("value")).write.text(path)
+    """The best trial's parameters as one JSON object: batch_size, learning_rate, n_layers, n_units_l0 and so on."""
+    pair = lambda name, value: F.concat(F.lit('"'), name, F.lit('": '), value.cast("string"))
+    numbers = [pair(F.lit(n), v) for n, v in (("batch_size", F.col("batch_size")), ("learning_rate", F.col("learning_rate")), ("n_layers", F.size("hidden_dims")))]
+    units = F.transform("hidden_dims", lambda n, i: pair(F.concat(F.lit("n_units_l"), i.cast("string")), n))
+    best.select(F.concat(F.lit("{"), F.array_join(F.concat(F.array(*numbers), units), ", "), F.lit("}")).alias("value")).write.text(path)
 
 
 def read_best_params(spark: SparkSession, path: str) -> dict:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dosecast.operators import linear, neural
 from dosecast.operators.early_stop import best_trial, early_stop_epoch
+from dosecast.operators.features import content_keys
 from dosecast.operators.split import split_three_way
 from dosecast.plans import modeling, search
 from dosecast.session import materialize, scratch_path
@@ -255,3 +256,26 @@ def test_search_keeps_the_best_trial(spark, planted, monkeypatch):
     search.save_search(spark, found, folder)
     assert tables.read_best_params(spark, f"{folder}/best_params") == found.best_params
     assert np.array_equal(neural.load_network(spark, f"{folder}/best_model").theta, found.best_model.theta)
+
+
+def test_bad_vectors_and_targets_are_counted_and_do_not_stop_a_run(spark):
+    nan = float("nan")
+    good = [(i, [float(i % 7), float(i % 5)], i % 7 + 0.5 * (i % 5), "x" if i % 2 else "y") for i in range(80)]
+    bad = [(100, None, 1.0, "x"), (101, [1.0, nan], 1.0, "x"), (102, [1.0, None], 1.0, "y"), (103, [1.0, 2.0], None, "y"), (104, [1.0, 2.0], nan, "y")]
+    df = spark.createDataFrame(good + bad, "row_id long, features array<double>, AUC double, cancer_type string")
+    settings = modeling.Settings(n_bootstrap=5, mlp_epochs=2)
+    whole = modeling.run_models(df, ["linear", "mlp"], settings=settings).collect()
+    assert [r["quarantined"] for r in whole] == [5, 5]
+    linear = next(r for r in whole if r["model_name"] == "linear")
+    assert linear["test_mse"] == pytest.approx(0, abs=1e-12)
+    by_type = modeling.run_models(df, "linear", ["x", "y"], settings=settings).collect()
+    assert {r["cancer_type"]: r["quarantined"] for r in by_type} == {"x": 2, "y": 3}
+
+
+def test_rows_without_a_key_get_one_each(spark):
+    rows = [([1.0, 2.0], 0.5, "a"), ([1.0, 2.0], 0.5, "a"), ([1.0, 2.0], 0.5, None), ([2.0, 1.0], None, "a")]
+    df = spark.createDataFrame(rows, "features array<double>, AUC double, label string")
+    keyed = content_keys(df).collect()
+    assert len(keyed) == 4 and len({r["row_id"] for r in keyed}) == 4
+    assert content_keys(df).exceptAll(content_keys(df.repartition(3))).isEmpty()
+    assert content_keys(df.limit(0)).isEmpty()

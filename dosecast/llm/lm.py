@@ -3,9 +3,10 @@
 Words and pairs of neighbouring words are counted over all training texts. A count c is kept as its level
 1 + floor(log c / log BASE): the filter holds one entry for each n-gram and each level up to its own, so
 probing levels upwards until one is missing gives the level back, never too low. Built segment by segment on
-the executors, the filter is broadcast (at most ``MAX_FILTER_BYTES``); where all n-grams would need more, those
-under the smallest frequency that fits are left to smoothing. A word's probability mixes the pair's share of
-its first word with the add-one share of the word itself.
+the executors, the filter is broadcast (at most ``MAX_FILTER_BYTES``). Where all n-grams would need more, it holds
+those from the smallest frequency that fits; each batch of texts asks for the others, once each, by a join with
+their exact counts, so that every n-gram counts at every size. A word's probability mixes the pair's share of its
+first word with the add-one share of the word itself.
 
 Beside the model's ``score`` stands an exact baseline: add-one unigrams from exact counts. The counts of the
 ``FREQUENT`` most frequent words are broadcast; the rest are joined by shuffle, each word once for each text.
@@ -18,6 +19,7 @@ input columns play no part.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from dataclasses import dataclass
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,7 @@ MIX = 0.5  # weight of the pair's share
 COUNTED_AT_ONCE = 4_000  # rows whose words are counted together before they are handed on
 SENT_AT_ONCE = 50_000  # counts of an Arrow batch, which the JVM holds outside its heap
 END = b"\n"  # no word: it is white space
+UNKNOWN = -1  # the level of an n-gram that the filter may leave out
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -126,7 +130,7 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shape:
-    """Bits of a segment, the highest level held, and the least count of a held n-gram."""
+    """Bits of a segment, the highest level held, and the least count of a held n-gram: 1 if all are held."""
 
     segment_bits: int
     levels: int
@@ -257,19 +261,60 @@ def _filter_of(model: LanguageModel) -> Filter:
     return _filters[model.name]
 
 
-def word_scores(batch: Batch, held: Filter, tokens: int, words: int) -> np.ndarray:
-    """log10 of the smoothed probability of every token of a batch."""
-    singles = count_of(held.levels(word_keys(batch.high), batch.high))
-    width = len(batch.high) + 1
-    pairs, inverse = np.unique(batch.before() * width + batch.ids, return_inverse=True)
-    first, second = pairs // width, pairs % width
-    keys = pair_keys(batch.high[first], batch.high[second])
-    together = count_of(held.levels(keys, keys))
-    own = (singles[second] + 1) / (tokens + words + 1)
-    share = np.minimum(1.0, together / np.maximum(1.0, singles[first]))
-    seen = singles[first] > 0
-    p = np.where(seen, MIX * share + (1 - MIX) * own, own)
-    return np.log10(p)[inverse]
+def log_probability(pair: np.ndarray, first: np.ndarray, second: np.ndarray, tokens: int, words: int) -> np.ndarray:
+    """log10 of the smoothed probability of words, from the levels of the pairs, of the words before and of the words."""
+    together, before, single = count_of(pair), count_of(first), count_of(second)
+    own = (single + 1) / (tokens + words + 1)
+    share = np.minimum(1.0, together / np.maximum(1.0, before))
+    return np.log10(np.where(before > 0, MIX * share + (1 - MIX) * own, own))
+
+
+class Grams:
+    """The distinct pairs of a batch, and the levels of its words and pairs; ``UNKNOWN`` where others must be asked."""
+
+    def __init__(self, batch: Batch, held: Filter, counted: np.ndarray):
+        """``counted``: the tokens of training texts."""
+        width = len(batch.high) + 1
+        pairs, self.inverse = np.unique(batch.before() * width + batch.ids, return_inverse=True)
+        self.first, self.second = pairs // width, pairs % width
+        self.keys = pair_keys(batch.high[self.first], batch.high[self.second])
+        self.single = held.levels(word_keys(batch.high), batch.high)
+        self.together = held.levels(self.keys, self.keys)
+        least = held.shape.least
+        if least > 1:
+            for levels, at in ((self.single, batch.ids), (self.together, self.inverse)):
+                levels[levels < level_of(np.int64(least))] = UNKNOWN
+                if least == 2:  # what is trained on and not held has been counted once
+                    once = np.zeros(len(levels), dtype=bool)
+                    once[at[counted]] = True
+                    levels[once & (levels == UNKNOWN)] = 1
+        self.clear = (self.together >= 0) & (self.single[self.first] >= 0) & (self.single[self.second] >= 0)
+
+
+def _lists(owners: np.ndarray, n_texts: int, **columns: np.ndarray) -> pa.ListArray:
+    """For each text a list of structs; ``owners``, sorted, are the texts of the structs."""
+    starts = np.searchsorted(owners, np.arange(n_texts + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)))
+
+
+def unanswered(batch: Batch, grams: Grams, owners: np.ndarray, n_texts: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """Tokens whose levels are not all known, by text, and the n-grams to ask for, with the first text.
+
+    A level that is not known is written as -1 - its place among those asked for.
+    """
+    words, pairs = np.flatnonzero(grams.single < 0), np.flatnonzero(grams.together < 0)
+    single, together = grams.single.copy(), grams.together.copy()
+    single[words] = -1 - np.arange(len(words))
+    together[pairs] = -1 - len(words) - np.arange(len(pairs))
+    tokens = np.flatnonzero(~grams.clear[grams.inverse])
+    n = len(grams.keys)
+    codes, times = np.unique(owners[tokens] * n + grams.inverse[tokens], return_counts=True)
+    of, pair = codes // max(1, n), codes % max(1, n)
+    small = lambda x: x.astype(np.int32)
+    rest = _lists(of, n_texts, pair=small(together[pair]), first=small(single[grams.first[pair]]), second=small(single[grams.second[pair]]), times=small(times))
+    kind = small(np.repeat([0, 1], [len(words), len(pairs)]))
+    high = np.concatenate([batch.high[words], grams.keys[pairs]]).view(np.int64)
+    return rest, _lists(np.zeros(len(kind), dtype=np.int64), n_texts, kind=kind, high=high)
 
 
 def _exact(batch: Batch, table: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -282,24 +327,49 @@ def _exact(batch: Batch, table: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.where(found, n[at], 0), found
 
 
-def score_batch(texts: list, model: LanguageModel) -> list:
-    """Columns: n_tokens, known, base (both of the frequent words), score, and the other words (high, low, n)."""
-    b = Batch(texts)
-    n_texts, owners = len(texts), b.owners()
+def score_batch(rows: pa.StructArray, model: LanguageModel, number: int) -> list:
+    """Columns: n_tokens, known, base (both of the frequent words), score, the other words (high, low, n), and, as far as
+    the filter may not hold all: the batch's number, the tokens that are not scored yet, and the n-grams to ask for."""
+    b = Batch(rows.field("text").to_pylist())
+    n_texts, owners = len(rows), b.owners()
     per_text = lambda values: np.bincount(owners, weights=values, minlength=n_texts)
     counts, found = _exact(b, model.frequent.value)
     logs = np.where(found, np.log10((counts + 1) / (model.tokens + model.words + 1)), 0.0)
-    score = per_text(word_scores(b, _filter_of(model), model.tokens, model.words))
+    trained = np.array(rows.field("training").to_pylist(), dtype=bool)
+    grams = Grams(b, _filter_of(model), trained[owners])
+    known = log_probability(grams.together, grams.single[grams.first], grams.single[grams.second], model.tokens, model.words)
+    score = per_text(np.where(grams.clear, known, 0.0)[grams.inverse])
     rest = np.flatnonzero(~found[b.ids])
     width = len(b.high) + 1
     pairs, times = np.unique(owners[rest] * width + b.ids[rest], return_counts=True)
-    starts = np.searchsorted(pairs, np.arange(n_texts + 1) * width)
     words = pairs % width
-    others = pa.ListArray.from_arrays(
-        pa.array(starts.astype(np.int32)),
-        pa.StructArray.from_arrays([pa.array(b.high[words].view(np.int64)), pa.array(b.low[words].view(np.int64)), pa.array(times.astype(np.int64))], names=["high", "low", "n"]),
-    )
-    return [np.diff(b.ends, prepend=0), per_text(found[b.ids].astype(float)).astype(np.int64), per_text(logs[b.ids]), score, others]
+    others = _lists(pairs // width, n_texts, high=b.high[words].view(np.int64), low=b.low[words].view(np.int64), n=times.astype(np.int64))
+    out = [np.diff(b.ends, prepend=0), per_text(found[b.ids].astype(float)).astype(np.int64), per_text(logs[b.ids]), score, others]
+    return out if model.shape.least == 1 else [*out, np.full(n_texts, number), *unanswered(b, grams, owners, n_texts)]
+
+
+def rest_scores(rows: DataFrame, counts: DataFrame, model: LanguageModel) -> DataFrame:
+    """(_row, rest_score): the scores of the tokens that the filter left open, from exact counts of what it does not hold."""
+    tokens, words = model.tokens, model.words
+    asked = rows.filter(F.size("_asked") > 0).select(F.col("_batch").alias("asker"), F.posexplode("_asked").alias("place", "g")).select("asker", "place", "g.kind", "g.high")
+    # An n-gram is asked for once by each batch: one that many texts share is no hot key.
+    answers = asked.join(counts.filter(F.col("n") < model.shape.least).select("kind", "high", "n"), ["kind", "high"]).select("asker", "place", "n")
+    open_rows = rows.filter(F.size("_rest") > 0).select("_row", "_batch", "_rest")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left.column("_rest").combine_chunks()
+        flat = lists.flatten()
+        pair, first, second, times = (flat.field(n).to_numpy().astype(np.int64) for n in ("pair", "first", "second", "times"))
+        levels = np.zeros(1 + max((int(-x.min()) for x in (pair, first, second) if len(x)), default=0), dtype=np.int64)
+        place, n = right.column("place").to_numpy(), right.column("n").to_numpy()
+        needed = place < len(levels) - 1
+        np.maximum.at(levels, place[needed], level_of(n[needed]))
+        read = lambda x: np.where(x >= 0, x, levels[np.maximum(-1 - x, 0)])
+        logs = log_probability(read(pair), read(first), read(second), tokens, words) * times
+        owners = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        return pa.table({"_row": left.column("_row"), "rest_score": np.bincount(owners, weights=logs, minlength=len(lists))})
+
+    return open_rows.groupBy("_batch").cogroup(answers.groupBy("asker")).applyInArrow(score, "_row long, rest_score double")
 
 
 def lm_scores(df: DataFrame, training: Column, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -312,7 +382,20 @@ def lm_scores(df: DataFrame, training: Column, key: str = "doc_id", text: str =
         field("score", "double"),
         field("_others", "array<struct<high:long,low:long,n:long>>"),
     ]
-    scored = add_columns(df, text, lambda: lambda texts: score_batch(texts, model), fields, [key])
+    partial = model.shape.least > 1
+    if partial:
+        fields += [
+            field("_batch", "long"),
+            field("_rest", "array<struct<pair:int,first:int,second:int,times:int>>"),
+            field("_asked", "array<struct<kind:int,high:long>>"),
+        ]
+
+    def make():
+        numbers = itertools.count(TaskContext.get().partitionId() << 33)
+        return lambda rows: score_batch(rows, model, next(numbers))
+
+    given = df.select(df[f"`{key}`"], F.struct(F.coalesce(training, F.lit(False)).alias("training"), df[f"`{text}`"].alias("text")).alias("_given"))
+    scored = add_columns(given, "_given", make, fields, [key], as_arrow=True)
     # Texts get a number each; written down, so that a retry cannot number them anew.
     rows = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "lm_scores")
     others = rows.select("_row", F.explode("_others").alias("w")).select("_row", "w.high", "w.low", F.col("w.n").alias("times"))
@@ -327,13 +410,16 @@ def lm_scores(df: DataFrame, training: Column, key: str = "doc_id", text: str =
         )
     )
     none = F.lit(0)
-    return rows.drop("_others").join(rare, "_row", "left").select(
+    wide = rows.drop("_others", "_rest", "_asked").join(rare, "_row", "left")
+    if partial:
+        wide = wide.join(rest_scores(rows, counts, model), "_row", "left")
+    return wide.select(
         key,
         "n_tokens",
         (F.col("_known") + F.coalesce("rare_known", none)).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest_score", F.lit(0.0)) if partial else F.col("score")).alias("score"),
     )
 
 

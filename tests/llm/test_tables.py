@@ -367,6 +367,23 @@ def test_lm_filter_has_no_false_negatives_and_stays_in_bounds(spark):
     assert small.least > 1 and small.segment_bits * lm.SEGMENTS <= 8 * max(1 << 12, lm.SEGMENTS * 128)
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 10, 1 << 13])
+def test_lm_counts_all_ngrams_where_the_filter_holds_some(spark, edges, monkeypatch, max_bytes):
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 64)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdef") for _ in range(3)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([4, 50, 200])]) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(None, None)]
+    rows += [(r["doc_id"], r["text"]) for r in edges.collect()]
+    df = spark.createDataFrame([doc(*r) for r in rows], DOCS).repartition(3)
+    model, _ = lm.train(df.filter(~lm.held_out(df["doc_id"])).select("text"), max_bytes=max_bytes)
+    assert model.shape.least > 1
+    got = lm.lm_scores(df, ~lm.held_out(df["doc_id"]), max_bytes=max_bytes).collect()
+    found = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["score"]) for r in got), key=repr)
+    want = plain_scores(rows)
+    assert [f[:5] for f in found] == [w[:5] for w in want]
+    assert np.mean([abs(f[5] - w[5]) < 1e-5 for f, w in zip(found, want)]) > 0.98
+
+
 def test_lm_empty(spark, edges):
     df = edges.limit(0)
     assert lm.lm_scores(df, ~lm.held_out(df["doc_id"])).collect() == []

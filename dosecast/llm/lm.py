@@ -40,7 +40,7 @@ BITS_PER_ENTRY = 10
 MAX_FILTER_BYTES = 64 << 20
 SEGMENTS = 64
 FREQUENT = 300_000  # words whose exact counts are broadcast, 24 bytes each
-MIN_PAIR = 2  # a pair seen once says no more than its words
+MIN_PAIR = 1  # the least count of a pair that counts: after a word seen once, its share is 1
 MIX = 0.5  # weight of the pair's share
 COUNTED_AT_ONCE = 4_000  # rows whose words are counted together before they are handed on
 SENT_AT_ONCE = 50_000  # counts of an Arrow batch, which the JVM holds outside its heap
@@ -122,10 +122,10 @@ def partial_counts(batches):
 
 
 def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(kind, high, low, n) of all words, and of all pairs seen ``MIN_PAIR`` times."""
+    """(kind, high, low, n) of all words and of all pairs."""
     parts = texts.mapInArrow(partial_counts, "kind int, high long, low long, n long")
     counted = parts.groupBy("kind", "high", "low").agg(F.sum("n").alias("n"))
-    return materialize(counted.filter((F.col("kind") == 0) | (F.col("n") >= MIN_PAIR)), "ngram_counts")
+    return materialize(counted, "ngram_counts")
 
 
 @dataclass(frozen=True)

@@ -384,6 +384,17 @@ def test_lm_counts_all_ngrams_where_the_filter_holds_some(spark, edges, monkeypa
     assert np.mean([abs(f[5] - w[5]) < 1e-5 for f, w in zip(found, want)]) > 0.98
 
 
+def test_lm_pairs_seen_once_count(spark):
+    """Every word and pair of the training text is seen once: levels are exact counts, the shares are 1."""
+    texts = [(0, "one two three four"), (1, "one two three four"), (2, "four three two one")]
+    df = spark.createDataFrame([doc(*r) for r in texts], DOCS)
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(df, df["doc_id"] == 0).collect()}
+    own = 2 / (5 + 5 + 1)  # every word, and the end, once among 5 tokens and 5 words
+    seen, unseen = lm.MIX + (1 - lm.MIX) * own, (1 - lm.MIX) * own
+    assert got[0] == pytest.approx(5 * math.log10(seen)) and got[1] == got[0]
+    assert got[2] == pytest.approx(5 * math.log10(unseen))
+
+
 def test_lm_empty(spark, edges):
     df = edges.limit(0)
     assert lm.lm_scores(df, ~lm.held_out(df["doc_id"])).collect() == []

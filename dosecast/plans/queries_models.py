@@ -164,7 +164,8 @@ def run_models(spark, sf):
 
 @query("run_models_by_group_networks")
 def by_group_networks(spark, sf):
-    return modeling.run_models(features(spark, sf), ["linear", "mlp", "custom"], CANCER_TYPES, COLUMNS, SETTINGS)
+    """All four models, boosted trees too, inside every cancer type."""
+    return modeling.run_models(features(spark, sf), modeling.ALL_MODELS, CANCER_TYPES, COLUMNS, SETTINGS)
 
 
 @query("run_search")

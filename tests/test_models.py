@@ -6,7 +6,8 @@ from dosecast.operators import linear, neural
 from dosecast.operators.early_stop import best_trial, early_stop_epoch
 from dosecast.operators.features import content_keys
 from dosecast.operators.split import split_three_way
-from dosecast.plans import modeling, search
+from dosecast.plans import modeling, queries_models, search
+from dosecast.plans.views import CANCER_TYPES
 from dosecast.session import materialize, scratch_path
 from dosecast.sources import tables
 
@@ -234,6 +235,16 @@ def test_all_models_by_group(planted):
     assert modeling.groups_with_rows(planted, groups) == ["Lung Cancer", "Leukemia"]
 
 
+def test_the_query_by_type_runs_all_models_in_full(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(queries_models, "features", lambda spark, sf: None)
+    monkeypatch.setattr(modeling, "run_models", lambda *args: asked.append(args))
+    queries_models.by_group_networks(spark, "")
+    _, model, groups, _, settings = asked[0]
+    assert modeling.chosen_models(model) == list(modeling.MODEL_LABELS) and list(groups) == list(CANCER_TYPES)
+    assert (settings.boosted_rounds, settings.n_bootstrap) == (100, 1000)
+
+
 def test_search_space_is_within_bounds(spark):
     rows = search.search_space(spark.range(400).withColumnRenamed("id", "trial_number"), 1).collect()
     assert {r["batch_size"] for r in rows} == {64, 128, 256}

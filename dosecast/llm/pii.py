@@ -45,6 +45,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # matches wherever it starts, so i
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_ENDS = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _TEL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -66,6 +67,23 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """The longest end after a whole token at which a proposal passes the check; the search goes on after it.
+
+    A proposal that fails at every end may hide one that starts at its next token.
+    """
+    found, m = [], _IBAN.search(text)
+    while m:
+        a = m.start()
+        ends = [e.end() for e in _IBAN_ENDS.finditer(text, a, m.end())]
+        own = (b for b in reversed(ends) if len(text[a:b].replace(" ", "")) >= 15 and mod97(text[a:b]))
+        b = next(own, None)
+        if b is not None:
+            found.append((a, b))
+        m = _IBAN.search(text, ends[0] if b is None else b)
+    return found
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Found from each ``@`` outwards: a run before it cannot be searched again and again."""
     found, free, at = [], 0, text.find("@")
@@ -128,11 +146,9 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str
         taken = bytearray(len(text))  # marks code points, so a span is tried in time of its own length
         for _, a, b in base:
             taken[a:b] = b"\x01" * (b - a)
-        for kind, pattern in zip(EXTRA, (_IBAN, _SSN, _TEL)):
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                if kind == "iban" and not mod97(m.group()):
-                    continue
+        proposed = (ibans(text), *([m.span() for m in p.finditer(text)] for p in (_SSN, _TEL)))
+        for kind, spans in zip(EXTRA, proposed):
+            for a, b in spans:
                 # a number may be proposed twice: the kind listed first keeps it
                 if 1 in taken[a:b] or score(text, kind, a, b) < threshold:
                     continue

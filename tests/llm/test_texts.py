@@ -205,3 +205,13 @@ def test_bpe_ids_decode_to_the_text(spark):
     ids = bpe.encode_texts(docs, catalog.RANKS, public_tokenizers.PATTERN, chunk=100, overlap=20)
     back = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode_ids(ids, catalog.RANKS, public_tokenizers.PATTERN).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX", " 2024", " A 1 B 2 C 3 D 4", "", " XX12 3456 7890 123 A"])
+@pytest.mark.parametrize("before", ["IBAN ", "IBAN AB12 "])
+def test_account_numbers_end_before_further_capitals(before, after):
+    code = "DE89 3704 0044 0532 0130 00"
+    text = f"{before}{code}{after}"
+    assert [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text) if k == "iban"] == [("iban", code)]
+    twice = f"{text}; {code} {code}"
+    assert sum(k == "iban" for k, *_ in pii.find_spans(twice)) == 3

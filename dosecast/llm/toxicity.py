@@ -192,10 +192,7 @@ def learn_lexicon(sampled: DataFrame) -> dict[str, float]:
     if not n_toxic or not n_clean:
         return {}
     around = sampled.filter("toxic = 1").select("text").mapInArrow(contexts, "word string, near long").distinct()
-    needed = max(MIN_CONTEXTS, n_toxic // 200)
-    seen = around.groupBy("word").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= needed)
-    candidates = materialize(seen.orderBy(F.desc("contexts"), "word").limit(MAX_LEARNT), "candidates")
-    wanted = frozenset(r["word"] for r in candidates.select("word").collect())
+    seen = around.groupBy("word").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
 
     def present(batches):
         import pyarrow as pa
@@ -203,20 +200,18 @@ def learn_lexicon(sampled: DataFrame) -> dict[str, float]:
         for batch in batches:
             words, labels = [], []
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = wanted.intersection(_TOKEN.findall(text.lower()))
+                own = set(_TOKEN.findall(text.lower()))
                 words += own
                 labels += [toxic] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], names=["word", "toxic"])
 
     found = sampled.select("toxic", "text").mapInArrow(present, "word string, toxic int").groupBy("word")
-    rows = found.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).join(F.broadcast(candidates), "word").collect()
-    learnt = {}
-    for r in rows:
-        bad = min(r["bad"], r["contexts"])
-        ratio = ((bad + 0.5) / (n_toxic + 1)) / ((r["all"] - r["bad"] + 0.5) / (n_clean + 1))
-        if ratio >= MIN_RATIO:
-            learnt[r["word"]] = float(min(6.0, np.log(ratio)))
-    return learnt
+    counted = found.agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).join(seen, "word")
+    in_toxic = (F.least("bad", "contexts") + 0.5) / (n_toxic + 1)
+    in_clean = (F.col("all") - F.col("bad") + 0.5) / (n_clean + 1)
+    clear = counted.withColumn("ratio", in_toxic / in_clean).filter(F.col("ratio") >= MIN_RATIO)
+    rows = clear.orderBy(F.desc("contexts"), "word").limit(MAX_LEARNT).select("word", "ratio").collect()
+    return {r["word"]: float(min(6.0, np.log(r["ratio"]))) for r in rows}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple:

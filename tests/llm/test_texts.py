@@ -215,3 +215,10 @@ def test_account_numbers_end_before_further_capitals(before, after):
     assert [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text) if k == "iban"] == [("iban", code)]
     twice = f"{text}; {code} {code}"
     assert sum(k == "iban" for k, *_ in pii.find_spans(twice)) == 3
+
+
+def test_a_learnt_word_needs_no_more_contexts_in_a_larger_sample(spark):
+    for n in (100, 2000):
+        rows = [(toxic, f"plain words here {'abcdef'[i]} grubble xyz" if toxic and i < 6 else "plain words here") for toxic in (0, 1) for i in range(n)]
+        learnt = toxicity.learn_lexicon(spark.createDataFrame(rows, "toxic int, text string"))
+        assert "grubble" in learnt and "plain" not in learnt

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can say the same."""
+"""The registered queries of the thirteen operators, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dosecast.llm import ann, bpe, chat, lm, mixing, pii, quality, sharding, simhash, toxicity
-from dosecast.llm.common import documents, labels
+from dosecast.llm import ann, bpe, chat, lm, minhash, mixing, negatives, pii, quality, sharding, simhash, toxicity, whitening
+from dosecast.llm.common import documents, embeddings, labels
 from dosecast.session import ship_package
 
 #: Wanted shares of tokens by the label ``quality``.
@@ -43,7 +43,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+    return ann.nearest(embeddings(spark, sf_dir), F.col("id") % 20 == 0)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,24 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_bpe, op5_sharding, op6_ann, op7_mixing, op8_preference, op9_simhash, op10_lm)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return whitening.whitened(embeddings(spark, sf_dir))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return minhash.minhash_classes(documents(spark, sf_dir), shingle=4)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = embeddings(spark, sf_dir)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_toxicity, op4_bpe, op5_sharding, op6_ann, op7_mixing, op8_preference, op9_simhash, op10_lm, op11_whitening, op12_minhash, op13_hard_negatives)}
 
 ORACLES = {
     "op8_preference": """
@@ -104,5 +121,26 @@ parts AS (
 SELECT pair AS conv_id, turn, copy, part, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS segment,
        CAST(part <> 'prompt' AND role = 'assistant' AS INTEGER) AS mask
 FROM parts
+""",
+    "op13_hard_negatives": """
+WITH whole AS (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, r.id, r.label = a.label AS same,
+         CAST(list_sum([a.x[i] * r.x[i] FOR i IN range(1, len(a.x) + 1)]) AS BIGINT) AS score
+  FROM whole a JOIN whole r ON r.id <> a.id WHERE a.id % 100 = 0),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+mined AS (
+  SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS place
+  FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM mined WHERE place <= 10
 """,
 }

@@ -9,6 +9,7 @@ from dosecast.plans import (  # noqa: F401  (importing registers the queries)
     queries_models,
     queries_prompts,
     queries_scores,
+    queries_search,
     queries_sources,
 )
 from dosecast.plans.catalog import ORACLES, QUERIES  # noqa: F401

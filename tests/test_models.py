@@ -7,6 +7,7 @@ from dosecast.operators.early_stop import best_trial, early_stop_epoch
 from dosecast.operators.features import content_keys
 from dosecast.operators.split import split_three_way
 from dosecast.plans import modeling, queries_models, search
+from dosecast.plans.space import Space
 from dosecast.plans.views import CANCER_TYPES
 from dosecast.session import materialize, scratch_path
 from dosecast.sources import tables
@@ -255,11 +256,11 @@ def test_search_space_is_within_bounds(spark):
     assert -4 <= rates.min() < -3.9 and -2.1 < rates.max() <= -2 and abs(rates.mean() + 3) < 0.1
 
 
-def test_search_keeps_the_best_trial(spark, planted, monkeypatch):
-    monkeypatch.setattr(search, "LAYER_WIDTHS", (8, 24))
-    found = search.run_search(planted, n_trials=3, epochs=4, seed=5)
+def test_search_keeps_the_best_trial(spark, planted):
+    small = Space(layer_widths=(8, 24))
+    found = search.run_search(planted, n_trials=7, epochs=4, seed=5, space=small, startup=3, wave=3)
     trials = found.trials.toPandas()
-    assert len(trials) == 3 and trials.notna().all().all()
+    assert sorted(trials["trial_number"]) == list(range(7)) and trials.notna().all().all()
     top = trials.sort_values(["val_spearman", "trial_number"], ascending=[False, True]).iloc[0]
     assert found.best_value == top["val_spearman"] and found.best_params["batch_size"] == top["batch_size"]
     assert list(found.best_model.spec.hidden) == list(top["hidden_dims"])

@@ -43,9 +43,10 @@ SHINGLE = 5
 PERCENT = 80  # least 100 * intersection / union of a link
 LEVELS = ((64, 6), (256, 12))  # (bands, values of a band), the second for nodes of crowded listings
 MANY = 32  # members of a listing beyond which it is not compared pairwise
-LEADERS = 4  # of a crowded listing in its first round
+LEADERS = 8  # of a crowded listing in its first round
+MORE = 4  # times as many in each further round
 SALT = 16  # copies of a leader's set, so that a hot leader is not one task
-PIECE = 4_096  # shingles that meet all permutations at once
+PIECE = 1_024  # shingles that meet all permutations at once
 SEED = 20_011
 
 
@@ -63,19 +64,20 @@ def hashed_set(found: set[bytes]) -> np.ndarray:
     return np.sort(np.fromiter((digest(s) for s in found), dtype=np.uint64, count=len(found)))
 
 
-def multipliers(permutations: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """An odd factor and a mask for each permutation of the 64-bit values."""
+def multipliers(permutations: int, level: int) -> np.ndarray:
+    """An odd factor for each permutation of the 32-bit values."""
     rng = np.random.default_rng([SEED, level])
-    draw = lambda: rng.integers(0, 2**64, size=permutations, dtype=np.uint64)
-    return draw() | np.uint64(1), draw()
+    return rng.integers(0, 2**32, size=permutations, dtype=np.uint32) | np.uint32(1)
 
 
-def min_max(hashes: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest value of a set under every permutation."""
-    low, high = np.full(len(factors), 2**64 - 1, dtype=np.uint64), np.zeros(len(factors), dtype=np.uint64)
+_FACTORS = [multipliers(bands * values // 2, level) for level, (bands, values) in enumerate(LEVELS)]
+
+
+def min_max(hashes: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest value of a set under every permutation, of the upper halves of its hashes."""
+    low, high = np.full(len(factors), 2**32 - 1, dtype=np.uint32), np.zeros(len(factors), dtype=np.uint32)
     for start in range(0, len(hashes), PIECE):
-        mixed = (hashes[start : start + PIECE, None] ^ masks) * factors
-        mixed ^= mixed >> np.uint64(31)
+        mixed = (hashes[start : start + PIECE] >> np.uint64(32)).astype(np.uint32)[:, None] * factors
         np.minimum(low, mixed.min(axis=0), out=low)
         np.maximum(high, mixed.max(axis=0), out=high)
     return low, high
@@ -88,7 +90,7 @@ def band_keys(hashes: np.ndarray, level: int) -> list[int]:
     """
     bands, values = LEVELS[level]
     half = values // 2
-    low, high = min_max(hashes, *multipliers(bands * half, level))
+    low, high = min_max(hashes, _FACTORS[level])
     joined = np.concatenate([low.reshape(bands, half), np.roll(high.reshape(bands, half), -1, axis=0)], axis=1)
     digest = xxhash.xxh64_intdigest
     keys = np.array([digest(row.tobytes(), level * 1_000 + i) for i, row in enumerate(joined)], dtype=np.uint64)
@@ -182,41 +184,53 @@ def contracted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(found.select(F.col("fp").alias("node"), "root"), "contracted")
 
 
+def joined_roots(root: DataFrame, found: DataFrame) -> DataFrame:
+    """``root`` (node, root) after the links (a, b) between its nodes were contracted too."""
+    ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    moved = found.join(ends[0], "a").join(ends[1], "b").filter("root_a <> root_b")
+    between = materialize(moved.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct(), "between")
+    step = contracted(root.select(F.col("root").alias("node")).distinct(), between)
+    return materialize(root.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")), "roots")
+
+
 def lead(live: DataFrame, leaders: int) -> DataFrame:
-    """(listing, node) of some members of each listing, by a hash; the rank's limit reaches the tasks before the exchange."""
-    order = Window.partitionBy("listing").orderBy(F.xxhash64("node", "listing"), "node")
+    """(listing, leader): some members of each listing. A hash of the node alone picks them, so that listings share
+    their leaders; the rank's limit reaches the tasks before the exchange."""
+    order = Window.partitionBy("listing").orderBy(F.xxhash64("node"), "node")
     return live.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= leaders).select("listing", F.col("node").alias("leader"))
 
 
 def crowded_links(crowded: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """``edges`` and the links that crowded listings (listing, node) add, as many as keep their classes connected."""
-    live, leaders, slack = materialize(crowded.select("listing", "node"), "live"), LEADERS, 1e-9
-    reach = 1 - percent / 100 + slack  # the distance of a link, at most
+    live, leaders = materialize(crowded.select("listing", "node"), "live"), LEADERS
+    reach = 1 - percent / 100 + 1e-9  # the distance of a link, at most
+    ended = edges.select("a", "b")
+    root = contracted(live.select("node").distinct(), edges)
     while not live.isEmpty():
         leading = materialize(lead(live, leaders), "leaders")
-        asked = live.join(leading, "listing").filter("node <> leader").select(F.col("node").alias("b"), F.col("leader").alias("a"))
-        measured = materialize(overlaps(asked.distinct(), sets, hot="a"), "measured")
-        edges = materialize(edges.unionByName(measured.filter(near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "edges")
-        root = contracted(live.select("node").distinct(), edges)
-        roots = root.select(F.col("node").alias("leader"), F.col("root").alias("leading"))
+        met = live.join(leading, "listing")
+        asked = met.filter("node <> leader").select(F.col("node").alias("b"), F.col("leader").alias("a")).distinct()
+        measured = materialize(overlaps(asked, sets, hot="a"), "measured")
+        linked = measured.filter(near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ended, root = ended.unionByName(linked), joined_roots(root, linked)
+        of_leader = root.select(F.col("node").alias("leader"), F.col("root").alias("leading"))
         far = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("same") / F.col("total")).alias("far"))
-        around = live.join(leading, "listing").join(root, "node").join(roots, "leader")
-        around = around.join(far, ["leader", "node"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-        # The nearest member of a leader's listing outside its class: whoever is nearer by more than a link's reach cannot link there.
-        around = materialize(around.select("listing", "node", "leader", "far", "root", (F.col("root") == F.col("leading")).alias("inside")), "around")
+        around = met.join(root, "node").join(of_leader, "leader").join(far, ["leader", "node"], "left")
+        around = materialize(around.select("listing", "node", "leader", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("root") == F.col("leading")).alias("inside")), "around")
+        # Whoever is nearer to a leader than its listing's nearest outsider is, by more than a link's reach, can link to no outsider.
         outside = around.groupBy("listing", "leader").agg(F.min(F.when(~F.col("inside"), F.col("far"))).alias("outside"))
-        judged = around.join(outside, ["listing", "leader"])
         settled = (F.col("node") == F.col("leader")) | (F.col("inside") & (F.col("outside").isNull() | (F.col("far") + reach < F.col("outside"))))
-        still = materialize(judged.groupBy("listing", "node").agg(F.bool_or(settled).alias("settled"), F.max("root").alias("root")).filter("NOT settled"), "still")
+        still = around.join(outside, ["listing", "leader"]).groupBy("listing", "node").agg(F.bool_or(settled).alias("settled")).filter("NOT settled")
+        still = materialize(still.select("listing", "node").join(root, "node"), "still")
         left = still.groupBy("listing").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("one"), F.max("root").alias("other"))
-        open_ = materialize(still.join(left.filter("one <> other"), "listing").select("listing", "node", "members"), "open")
-        few = open_.filter(F.col("members") <= MANY)
-        if not few.isEmpty():
-            a, b = (few.select("listing", F.col("node").alias(c)) for c in "ab")
-            ended = overlaps(a.join(b, "listing").filter("a < b").select("a", "b").distinct(), sets)
-            edges = materialize(edges.unionByName(ended.filter(near(percent)).select("a", "b")).distinct(), "edges")
-        live, leaders = open_.filter(F.col("members") > MANY).select("listing", "node"), 2 * leaders
-    return edges
+        parted = materialize(still.join(left.filter("one <> other"), "listing").select("listing", "node", "root", "members"), "parted")
+        few = parted.filter(F.col("members") <= MANY)
+        a, b = (few.select("listing", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        pairs = a.join(b, "listing").filter("a < b AND root_a <> root_b").select("a", "b").distinct()
+        last = materialize(overlaps(pairs, sets).filter(near(percent)).select("a", "b"), "last")
+        ended, root = ended.unionByName(last), joined_roots(root, last)
+        live, leaders = parted.filter(F.col("members") > MANY).select("listing", "node"), MORE * leaders
+    return ended.distinct()
 
 
 def links(rows: DataFrame, firsts: DataFrame, length: int, percent: int) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +20,6 @@ from dosecast.session import materialize
 # Model names and the labels they carry in results.
 MODEL_LABELS = {"linear": "LinearRegression", "xgboost": "XGboost", "mlp": "MLP", "custom": "DNN"}
 ALL_MODELS = "all"
-PARALLEL_FITS = 8
 
 
 @dataclass(frozen=True)
@@ -84,16 +81,8 @@ def predictions_linear(rows: DataFrame, group: str | None, groups: Sequence[str]
 
 
 def predictions_boosted(rows: DataFrame, group: str | None, groups: Sequence[str], settings: Settings) -> DataFrame:
-    def fit_one(part: DataFrame) -> DataFrame:
-        model = fit_boosted(part.filter("split = 'train'"), rounds=settings.boosted_rounds, seed=settings.seed)
-        return _long(predict_boosted(model, part.filter("split <> 'train'")), "xgboost")
-
-    if not group:
-        return fit_one(rows)
-    parts = [rows.filter(F.col(group) == name) for name in groups]
-    with ThreadPool(min(PARALLEL_FITS, len(parts))) as pool:
-        scored = pool.map(inheritable_thread_target(rows.sparkSession)(fit_one), parts)
-    return reduce(DataFrame.unionByName, scored)
+    model = fit_boosted(rows.filter("split = 'train'"), group, rounds=settings.boosted_rounds)
+    return _long(predict_boosted(model, rows.filter("split <> 'train'"), group), "xgboost")
 
 
 def predictions_networks(make_spec: Callable, name: str, epochs: str) -> Callable:

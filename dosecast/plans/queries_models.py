@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosecast.operators.boosted import fit_boosted, predict_boosted
+from dosecast.operators import boosted as boosting
+from dosecast.operators.boosted import fit_boosted, predict_boosted, splits
 from dosecast.operators.linear import fit_linear, predict_linear
 from dosecast.operators.neural import dnn_spec, fit_networks, mlp_spec, predict_networks
 from dosecast.plans import modeling
@@ -95,10 +96,44 @@ def _scored(predicted: DataFrame) -> DataFrame:
 @query("fit_boosted", _SCORED)
 def boosted(spark, sf):
     rows = split_rows(spark, sf)
-    model = fit_boosted(rows.filter("split = 'train'"), seed=SEED)
+    model = fit_boosted(rows.filter("split = 'train'"))
     return _scored(predict_boosted(model, rows.filter("split <> 'train'")))
 
 
+ROUNDS_IN_SQL = 2
+
+_FIRST_ROUNDS = f"""{q.WITH('v_features')},
+    features AS (SELECT vec_id AS row_id, cancer_type, AUC AS y, embedding AS x FROM v_features),
+    split_rows AS MATERIALIZED ({q.split('features', 'row_id', 0.2, 0.2, SEED, 'cancer_type')}),
+    {q.boosted('split_rows', WIDTH, 'cancer_type', ROUNDS_IN_SQL, boosting.DEPTH, boosting.BINS, boosting.STEP, boosting.BITS)}"""
+
+
+def _first_rounds(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The split rows, and the first rounds of all cancer types' trees."""
+    rows = materialize(modeling.split_table(features(spark, sf), COLUMNS, SETTINGS, by_group=True), "split")
+    return rows, fit_boosted(rows.filter("split = 'train'"), "cancer_type", rounds=ROUNDS_IN_SQL)
+
+
+@query(
+    "fit_boosted_splits",
+    f"""{_FIRST_ROUNDS}
+    SELECT cancer_type, round, node, feature, {r6('threshold')} AS threshold, {r6('gain')} AS gain FROM boosted_splits""",
+)
+def boosted_splits(spark, sf):
+    return rounded(splits(_first_rounds(spark, sf)[1], "cancer_type"), "threshold", "gain")
+
+
+@query(
+    "fit_boosted_first_rounds",
+    f"""{_FIRST_ROUNDS}
+    SELECT cancer_type, row_id, split, y, {r6('p')} AS p FROM boosted_scored WHERE split <> 'train'""",
+)
+def boosted_first_rounds(spark, sf):
+    rows, model = _first_rounds(spark, sf)
+    scored = predict_boosted(model, rows.filter("split <> 'train'"), "cancer_type")
+    return rounded(scored.select("cancer_type", "row_id", "split", "y", "p"), "p")
+
+
 def _network(rows: DataFrame, spec) -> DataFrame:
     models = fit_networks(rows, [spec], "row_id")
     return _scored(predict_networks(rows.filter("split <> 'train'"), models, "row_id"))

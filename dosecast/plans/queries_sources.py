@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dosecast.functions.vectors import wide_columns
 from dosecast.operators import prompts
-from dosecast.operators.boosted import fit_boosted, predict_boosted
+from dosecast.operators.boosted import fit_boosted, load_boosted, predict_boosted, save_boosted
 from dosecast.operators.early_stop import best_trial
 from dosecast.operators.embed import embed_chunks
 from dosecast.operators.features import VARIANTS, feature_variants
@@ -184,8 +183,8 @@ def sink_model(spark, sf):
     """A model that was saved and loaded predicts exactly what it did before."""
     rows = load(spark, sf, "v_features").select("vec_id", F.col("embedding").alias("features"), F.col("AUC").alias("y"))
     path = scratch_path(spark, "model")
-    fitted = fit_boosted(rows, seed=SEED)
-    fitted.write().overwrite().save(path)
+    fitted = fit_boosted(rows)
+    save_boosted(fitted, path)
     before = predict_boosted(fitted, rows, output="before")
-    after = predict_boosted(GBTRegressionModel.load(path), before, output="after")
+    after = predict_boosted(load_boosted(spark, path), before, output="after")
     return after.select("vec_id", "y", (F.col("before") == F.col("after")).alias("unchanged"))

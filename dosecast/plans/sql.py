@@ -171,3 +171,64 @@ def linear_all(train: str, rows: str, width: int) -> str:
     fitted AS (SELECT b, (SELECT avg(y) FROM {train})
                          - list_dot_product(b, (SELECT list(m ORDER BY i) FROM centres)) AS b0 FROM solved),
     scored AS (SELECT r.*, b0 + list_dot_product(b, CAST(x AS DOUBLE[])) AS p FROM {rows} r CROSS JOIN fitted)"""
+
+
+def boosted(rows: str, width: int, group: str, rounds: int, depth: int, bins: int, step: float, bits: int) -> str:
+    """CTEs of second-order boosted trees inside each group, grown on the ``train`` rows of ``rows``.
+
+    ``boosted_splits`` has the inner nodes, ``boosted_scored`` all rows with ``p`` after the last round. Gradients are
+    whole numbers of ``unit``, so sums are exact and equal gains are equal here as anywhere.
+    """
+    made = [
+        f"""
+    b_rows AS MATERIALIZED (
+      SELECT row_id, {group} AS _g, y, x, split = 'train' AS train, avg(y) FILTER (split = 'train') OVER (PARTITION BY {group}) AS base,
+             count(*) FILTER (split = 'train') OVER (PARTITION BY {group}) AS n FROM {rows}),
+    b_units AS MATERIALIZED (
+      SELECT _g, CASE WHEN max(abs(y - base)) > 0 THEN pow(2.0, ceil(log2(max(abs(y - base)))) - {bits}) ELSE 1.0 END AS unit
+      FROM b_rows WHERE train GROUP BY _g),
+    b_cells AS MATERIALIZED (SELECT row_id, _g, train, n, unnest(range({width})) AS f, unnest(x)::DOUBLE AS v FROM b_rows),
+    b_ranked AS (
+      SELECT _g, f, v, n, row_number() OVER (PARTITION BY _g, f ORDER BY v) AS rn, min(v) OVER (PARTITION BY _g, f) AS low
+      FROM b_cells WHERE train),
+    b_cuts AS MATERIALIZED (
+      SELECT _g, f, v, row_number() OVER (PARTITION BY _g, f ORDER BY v) - 1 AS cut
+      FROM (SELECT DISTINCT _g, f, v FROM b_ranked WHERE v > low AND least(rn * {bins} // n, {bins - 1}) > (rn - 1) * {bins} // n)),
+    b_bins AS MATERIALIZED (
+      SELECT c.row_id, c.f, count(k.v) AS bin FROM b_cells c LEFT JOIN b_cuts k ON k._g = c._g AND k.f = c.f AND k.v <= c.v
+      GROUP BY c.row_id, c.f),
+    b_p1 AS (SELECT row_id, base AS p FROM b_rows)"""
+    ]
+    for r in range(1, rounds + 1):
+        made.append(f"""
+    b_g{r} AS MATERIALIZED (
+      SELECT row_id, _g, train, CAST(floor((p - y) / unit + 0.5) AS BIGINT) AS g FROM b_rows JOIN b_p{r} USING (row_id) JOIN b_units USING (_g)),
+    b_n{r}_0 AS (SELECT row_id, _g, train, g, 1 AS node FROM b_g{r})""")
+        for level in range(depth):
+            now = f"{r}_{level}"
+            made.append(f"""
+    b_c{now} AS (
+      SELECT _g, node, f, bin, sum(g) OVER upto * unit AS gl, sum(n) OVER upto AS hl,
+             sum(g) OVER (PARTITION BY _g, node, f) * unit AS tg, sum(n) OVER (PARTITION BY _g, node, f) AS th
+      FROM (SELECT _g, node, f, bin, sum(g) AS g, count(*) AS n FROM b_n{now} JOIN b_bins USING (row_id) WHERE train GROUP BY ALL)
+      JOIN b_units USING (_g) WINDOW upto AS (PARTITION BY _g, node, f ORDER BY bin)),
+    b_s{now} AS MATERIALIZED (
+      SELECT _g, node, f, bin, gain FROM (
+        SELECT *, gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1) AS gain FROM b_c{now} WHERE hl < th)
+      WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY _g, node ORDER BY gain DESC, f, bin) = 1),
+    b_n{r}_{level + 1} AS MATERIALIZED (
+      SELECT n.row_id, n._g, train, g, 2 * node + CASE WHEN c.bin > s.bin THEN 1 ELSE 0 END AS node
+      FROM b_n{now} n JOIN b_s{now} s USING (_g, node) JOIN b_bins c ON c.row_id = n.row_id AND c.f = s.f)""")
+        ends = [f"SELECT * FROM b_n{r}_{level} ANTI JOIN b_s{r}_{level} USING (_g, node)" for level in range(depth)]
+        made.append(f"""
+    b_l{r} AS MATERIALIZED ({' UNION ALL BY NAME '.join([*ends, f'SELECT * FROM b_n{r}_{depth}'])}),
+    b_v{r} AS (SELECT _g, node, -(sum(g) * any_value(unit)) / (count(*) + 1) * {double(step)} AS v
+               FROM b_l{r} JOIN b_units USING (_g) WHERE train GROUP BY _g, node),
+    b_p{r + 1} AS MATERIALIZED (SELECT row_id, p + v AS p FROM b_p{r} JOIN b_l{r} USING (row_id) JOIN b_v{r} USING (_g, node))""")
+    found = [f"SELECT {r} AS round, * FROM b_s{r}_{level}" for r in range(1, rounds + 1) for level in range(depth)]
+    made.append(f"""
+    boosted_splits AS (
+      SELECT s._g AS {group}, round, node, s.f + 1 AS feature, k.v AS threshold, gain
+      FROM ({' UNION ALL '.join(found)}) s JOIN b_cuts k ON k._g = s._g AND k.f = s.f AND k.cut = s.bin),
+    boosted_scored AS (SELECT r.*, p FROM {rows} r JOIN b_p{rounds + 1} USING (row_id))""")
+    return ",".join(made)

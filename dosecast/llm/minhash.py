@@ -20,18 +20,19 @@ two shingles of a pair share a hash with probability under 1e-9 for a million sh
 Defined cases: null and empty texts have an empty set, link with nothing and are classes of their own; a text
 with fewer words than a shingle is one shingle; a null key takes part but names a class only where there
 is no other, and a row with a null key and an empty set is in the class null; rows that repeat a key share one class if their sets
-do, else each has its own; long texts are hashed in pieces of bounded size; an empty table gives no rows; other
+do, else each has its own; a long text is hashed in pieces of bounded size, of which the 64-bit hashes of its distinct shingles are kept; an empty table gives no rows; other
 input columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from dosecast.llm.common import add_columns, field
@@ -46,22 +47,33 @@ MANY = 32  # members of a listing beyond which it is not compared pairwise
 LEADERS = 8  # of a crowded listing in its first round
 MORE = 4  # times as many in each further round
 SALT = 16  # copies of a leader's set, so that a hot leader is not one task
+PIECE_BYTES = 1 << 20  # of a text whose words are held at once, up to the next blank
 PIECE = 1_024  # shingles that meet all permutations at once
 SEED = 20_011
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingles(text: str | None, length: int) -> set[bytes]:
-    """The distinct shingles of a text, lower-cased in A-Z; with fewer words than ``length`` the whole sequence."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + length]) for i in range(max(1, len(words) - length + 1))}
+def word_lists(text: str, length: int) -> Iterator[list[bytes]]:
+    """The words of a text, lower-cased in A-Z, some at a time: a list begins with the last ``length - 1`` words of the one before."""
+    data, before, at = text.encode().lower(), [], 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + PIECE_BYTES)
+        end = cut.start() if cut else len(data)
+        words = before + data[at:end].split()
+        yield words
+        before, at = words[len(words) - length + 1 :] if len(words) >= length else words, end
 
 
-def hashed_set(found: set[bytes]) -> np.ndarray:
-    """The sorted 64-bit hashes of shingles."""
-    digest = xxhash.xxh64_intdigest
-    return np.sort(np.fromiter((digest(s) for s in found), dtype=np.uint64, count=len(found)))
+def hashed_set(text: str | None, length: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles; with fewer words than ``length`` the whole sequence is one."""
+    digest, found, words = xxhash.xxh64_intdigest, [np.empty(0, np.uint64)], []
+    for words in word_lists(text or "", length):
+        n = len(words) - length + 1
+        if n > 0:
+            found.append(np.unique(np.fromiter((digest(b" ".join(words[i : i + length])) for i in range(n)), np.uint64, n)))
+    if len(found) == 1 and words:
+        return np.array([digest(b" ".join(words))], np.uint64)
+    return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
 
 
 def multipliers(permutations: int, level: int) -> np.ndarray:
@@ -107,7 +119,7 @@ def digests(rows: DataFrame, length: int) -> DataFrame:
     """(id, n, node, bands): the size of each text's set, its digest (null if empty) and the keys of its bands."""
 
     def printed(text):
-        own = hashed_set(shingles(text, length))
+        own = hashed_set(text, length)
         return (len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(own, 0)) if len(own) else (0, None, [])
 
     def make():
@@ -122,9 +134,9 @@ def full_sets(rows: DataFrame, firsts: DataFrame, wanted: DataFrame, length: int
     texts = rows.join(one, ["line", "spot"]).dropDuplicates(["line", "spot"])  # a key of text and row: copies of a text stay spread
 
     def make():
-        return lambda found: [[hashed_set(shingles(t, length)).tobytes() for t in found]]
+        return lambda found: [[hashed_set(t, length).view(np.int64) for t in found]]
 
-    return materialize(add_columns(texts, "body", make, [field("hashes", "binary")], ["node"]), "sets")
+    return materialize(add_columns(texts, "body", make, [field("hashes", "array<long>")], ["node"]), "sets")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, hot: str | None = None) -> DataFrame:
@@ -132,7 +144,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, hot: str | None = None) -> DataF
 
     The sets of the side ``hot`` go out in several copies, so that a node in many pairs is several tasks.
     """
-    own = [c for c in pairs.columns]
+    own = pairs.columns
     left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
     if hot is None:
         joined = pairs.join(left, "a").join(right, "b")
@@ -140,24 +152,12 @@ def overlaps(pairs: DataFrame, sets: DataFrame, hot: str | None = None) -> DataF
         cold = "a" if hot == "b" else "b"
         spread = F.pmod(F.xxhash64(cold), F.lit(SALT)).cast("int")
         copies = {"a": left, "b": right}[hot].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        leading = pairs.select(F.col(hot)).distinct()
+        leading = pairs.select(hot).distinct()
         joined = pairs.join({"a": left, "b": right}[cold], cold).withColumn("_salt", spread)
-        joined = joined.join(copies.join(leading, hot, "left_semi"), [hot, "_salt"]).drop("_salt")
-    schema = T.StructType([*[pairs.schema[c] for c in own], field("same", "long"), field("total", "long")])
-
-    def compare(batches):
-        for batch in batches:
-            found = []
-            for x, y in zip(batch.column("a_hashes"), batch.column("b_hashes")):
-                first, second = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                short, long = sorted((first, second), key=len)
-                at = np.searchsorted(long, short)
-                same = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-                found.append((same, len(short) + len(long) - same))
-            same, total = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(same, pa.int64()), pa.array(total, pa.int64())], [*own, "same", "total"])
-
-    return joined.select(*own, "a_hashes", "b_hashes").mapInArrow(compare, schema)
+        joined = joined.join(copies.join(leading, hot, "left_semi"), [hot, "_salt"])
+    same = F.size(F.array_intersect("a_hashes", "b_hashes")).cast("long")
+    measured = joined.select(*own, same.alias("same"), (F.size("a_hashes") + F.size("b_hashes")).alias("_sizes"))
+    return measured.select(*own, "same", (F.col("_sizes") - F.col("same")).alias("total"))
 
 
 def near(percent: int) -> Column:
@@ -246,9 +246,9 @@ def links(rows: DataFrame, firsts: DataFrame, length: int, percent: int) -> Data
     second = full_sets(rows, firsts, again, length)
 
     def make():
-        return lambda found: [[band_keys(np.frombuffer(h, dtype=np.uint64), 1) for h in found]]
+        return lambda found: [[band_keys(h.values.to_numpy().view(np.uint64), 1) for h in found]]
 
-    sharper = add_columns(second, "hashes", make, [field("bands", "array<long>")], ["node"])
+    sharper = add_columns(second, "hashes", make, [field("bands", "array<long>")], ["node"], as_arrow=True)
     relisted = listings(sharper.join(firsts.select("node", "n"), "node"), "relisted")
     pairs = materialize(pairs.unionByName(pairs_within(relisted.filter(F.col("members") <= MANY), percent)).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(again, "node", "left_anti")

@@ -94,6 +94,17 @@ def test_only_few_pairs_and_empty_tables(spark):
     assert found(minhash.minhash_classes(spark.createDataFrame([doc(*r) for r in nothing], DOCS)).collect()) == plain_classes(nothing, 5)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_texts_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(minhash, "PIECE_BYTES", piece)
+    rng = random.Random(piece)
+    for length in (1, 2, 4):
+        for n in (0, 1, 2, 3, 4, 5, 60):
+            text = rng.choice(["", " ", "\n"]) + "".join(rng.choice("aBé") * rng.randint(1, 9) + rng.choice([" ", "\t \n"]) for _ in range(n))
+            assert len(minhash.hashed_set(text, length)) == len(shingle_set(text, length))
+            assert (minhash.hashed_set(text.upper().replace("É", "é"), length) == minhash.hashed_set(text, length)).all()
+
+
 def test_bands_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(4)
     agreed = 0

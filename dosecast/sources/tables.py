@@ -1,8 +1,8 @@
 """Tables as text (TSV / CSV) and as Parquet.
 
-Prompts contain line breaks, so text cells are quoted and may span lines; such a
-file cannot be split between tasks. Between the steps of a large run use Parquet
-and keep text for the edges.
+Prompts contain line breaks, so text cells are quoted and may span lines; such files
+are read in byte ranges side by side (``sources.records``). Between the steps of a
+large run Parquet is still the better choice.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from dosecast.functions.vectors import json_to_vector, vector_to_json, wide_columns
 from dosecast.operators.features import content_keys
+from dosecast.sources.records import read_records
 
 # Cell texts that count as missing.
 MISSING_TEXTS = (
@@ -101,12 +102,15 @@ PROMPT_SCHEMA = T.StructType(
 def read_text_table(spark: SparkSession, path, schema: T.StructType, sep: str = "\t", multi_line: bool = True) -> DataFrame:
     """Read text files with a header by a declared schema.
 
-    ``path`` may be a file, a folder, a glob or a list. Columns are matched by the
-    header's names; cells that spell a missing value become null; a cell that does
-    not fit its declared type fails the read. Files whose cells hold no line break
-    are split between tasks when ``multi_line`` says so.
+    ``path`` may be a file, a folder, a glob or a list; all files have the same header. Columns are found by
+    the header's names; cells that spell a missing value become null; a cell that does
+    not fit its declared type fails the read. Files are split between tasks, whether their
+    cells hold line breaks (``multi_line``) or not.
     """
     header = spark.read.options(**_TEXT_OPTIONS, sep=sep, multiLine=multi_line, enforceSchema=False).csv(path)
+    if multi_line:
+        known = set(header.columns)
+        header = read_records(spark, path, header.columns, [f.name for f in schema if f.name in known], sep)
     cells = {name: F.col(f"`{name}`") for name in header.columns}
     missing = [f.name for f in schema if f.name not in cells]
     if missing:

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from dosecast.functions.hashing import md5_long
+from dosecast.functions.hashing import md5_key, md5_long
 from dosecast.functions.tdist import two_sided_p
 from dosecast.operators.lookup import lookup_join
 from dosecast.operators.ranking import RankTable, average_rank_table, null_safe_corr, random_order
 from dosecast.session import materialize
 
-# Draws are ranked in one task per (group, replicate) only up to this many rows.
+# Groups are drawn from and ranked inside tasks only up to this many rows.
 REPLICATE_ROWS = 200_000
+PART_DRAWS = 250_000  # of such a group in one task, about
+LEAST_REPLICATES = 20  # of a task, whatever the rows: at most 1 / 20 of the replicates are copies of the rows
 DRAWS_PER_TASK = 5_000_000
 BLOCK_DRAWS = 20_000_000_000  # draws shuffled or written at a time
 
@@ -125,33 +132,77 @@ def bootstrap_rows(pairs: DataFrame, key: str, seed: int, group: Sequence[str] =
     return BootstrapRows(base, sizes, group, found["largest"] or 0, found["total"] or 0, seed)
 
 
-def replicate_correlations(base: BootstrapRows, n_bootstrap: int, replicate_rows: int = REPLICATE_ROWS) -> DataFrame:
-    """Spearman per (group, rep), in blocks of replicates that bound the draws in flight.
-
-    Replicates known to fit one task are ranked there; larger ones piece by piece.
-    """
+def replicate_correlations(base: BootstrapRows, n_bootstrap: int) -> DataFrame:
+    """Spearman per (group, rep) of large groups, piece by piece, in blocks of replicates that bound the draws in flight."""
     by = [*base.group, "rep"]
-
-    def block(replicates: range) -> DataFrame:
-        if base.largest <= replicate_rows:
-            return spearman_in_task(base.draws(replicates), by)
-        return spearman(materialize(base.draws(replicates), "draws"), by)
-
     step = max(1, BLOCK_DRAWS // max(base.total, 1))
     blocks = [range(at, min(at + step, n_bootstrap)) for at in range(0, n_bootstrap, step)]
-    if len(blocks) == 1:
-        return block(blocks[0])
-    return reduce(DataFrame.unionByName, [materialize(block(b), "replicates") for b in blocks])
+    return reduce(DataFrame.unionByName, [materialize(spearman(materialize(base.draws(b), "draws"), by), "replicates") for b in blocks])
 
 
-def spearman_in_task(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``spearman`` for groups that each fit one task: one shuffle serves both rankings and the aggregate."""
-    ranked = pairs.select(*by, "y", "p").repartition(*by)
-    for value, rank in (("y", "_ry"), ("p", "_rp")):
-        in_order = Window.partitionBy(*by).orderBy(value)
-        up_to_ties = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = ranked.withColumn(rank, (F.rank().over(in_order) + F.count(F.lit(1)).over(up_to_ties)) / 2)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rank_corr("y", "p").alias("spearman"))
+def weighted_rank_corr(y_class: np.ndarray, p_class: np.ndarray, times: np.ndarray) -> float | None:
+    """Rank correlation of rows that count ``times`` each; the classes number the values in order, equal ones alike.
+
+    Null where a side is constant.
+    """
+    total = times.sum()
+    centred = []
+    for own in (y_class, p_class):
+        weight = np.bincount(own, times)
+        if np.count_nonzero(weight) < 2:
+            return None
+        rank = np.cumsum(weight) - weight / 2  # average ranks, but for a constant
+        centred.append(rank[own] - total / 2)
+    y, p = centred
+    return float((times * y) @ p / np.sqrt(((times * y) @ y) * ((times * p) @ p)))
+
+
+def draw_times(seed: int, replicate: int, n: int) -> np.ndarray:
+    """How often each of ``n`` positions is drawn: draw i takes position md5(seed:replicate:i) mod n."""
+    prefix = hashlib.md5(f"{seed}:{replicate}:".encode())
+    drawn = np.empty(n, dtype=np.int64)
+    for i in range(n):
+        draw = prefix.copy()
+        draw.update(b"%d" % i)
+        drawn[i] = (int.from_bytes(draw.digest()[:8], "big") >> 4) % n
+    return np.bincount(drawn, minlength=n).astype(np.float64)
+
+
+def replicates_in_parts(pairs: DataFrame, key: str, sizes: DataFrame, group: Sequence[str], n_bootstrap: int, seed: int) -> DataFrame:
+    """(group, rep, spearman) for groups that each fit one task; ``sizes`` has their rows in ``_n``.
+
+    The draws never leave the task that makes them: a group's rows go to as many tasks as its draws need, each of which
+    orders the values once and ranks its replicates by how often every row was drawn.
+    """
+    group = list(group)
+    per_part = F.greatest(F.lit(LEAST_REPLICATES), F.floor(F.lit(PART_DRAWS) / F.col("_n"))).cast("int")
+    parts = sizes.withColumn("_each", per_part).withColumn("_parts", F.ceil(F.lit(n_bootstrap) / F.col("_each")).cast("int"))
+    keyed = pairs.select(*group, md5_key(seed, F.col(key)).alias("_hash"), F.col(key).alias("_key"), F.col("y").cast("double").alias("y"), F.col("p").cast("double").alias("p"))
+    if group:
+        shared = lookup_join(keyed, materialize(parts.drop("_n"), "parts"), group, "inner")
+    else:
+        whole = parts.first()
+        shared = keyed.withColumns({c: F.lit(whole[c]) for c in ("_each", "_parts")})
+    shared = shared.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    kinds = [shared.schema[g] for g in group]
+    schema = T.StructType([*kinds, T.StructField("rep", T.IntegerType()), T.StructField("spearman", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def replicates(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_hash", "ascending"), ("_key", "ascending")])
+        y, p = rows.column("y").to_numpy(), rows.column("p").to_numpy()
+        y_class, p_class = (np.unique(v, return_inverse=True)[1] for v in (y, p))
+        broken = np.isnan(y) | np.isnan(p)
+        each, part = rows.column("_each")[0].as_py(), rows.column("_part")[0].as_py()
+        reps = range(part * each, min((part + 1) * each, n_bootstrap))
+        found = []
+        for rep in reps:
+            times = draw_times(seed, rep, len(y))
+            found.append(float("nan") if times[broken].any() else weighted_rank_corr(y_class, p_class, times))
+        same = [pa.array([rows.column(g)[0].as_py()] * len(reps), t) for g, t in zip(group, arrow.types)]
+        return pa.Table.from_arrays([*same, pa.array(reps, pa.int32()), pa.array(found, pa.float64())], schema=arrow)
+
+    return shared.groupBy(*group, "_part").applyInArrow(replicates, schema)
 
 
 def bootstrap_ci(
@@ -171,7 +222,18 @@ def bootstrap_ci(
     """
     group = list(group)
     pairs = pairs.select(*group, key, F.col(y).alias("y"), F.col(p).alias("p"))
-    reps = replicate_correlations(bootstrap_rows(pairs, key, seed, group), n_bootstrap, replicate_rows)
+    pairs = complete_pairs(pairs)
+    sizes = materialize(pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0"), "bootstrap_sizes")
+    small, large = sizes.filter(F.col("_n") <= replicate_rows), sizes.filter(F.col("_n") > replicate_rows)
+    found = []
+    if not small.isEmpty():
+        found.append(replicates_in_parts(pairs, key, small, group, n_bootstrap, seed))
+    if not large.isEmpty():
+        own = lookup_join(pairs, materialize(large.select(*group), "large"), group, "inner") if group else pairs
+        found.append(replicate_correlations(bootstrap_rows(own, key, seed, group), n_bootstrap).select(*group, "rep", "spearman"))
+    if not found:
+        found.append(pairs.limit(0).select(*group, F.lit(0).alias("rep"), F.lit(None).cast("double").alias("spearman")))
+    reps = reduce(DataFrame.unionByName, found)
     reps = reps.withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
     bounds = percentiles("spearman", [alpha / 2, 1 - alpha / 2])
     return (

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -100,7 +101,36 @@ def test_bootstrap_paths_agree_and_hold_the_estimate(spark, monkeypatch):
     shuffled = metrics.bootstrap_ci(df.repartition(9), "id", ["g"], 60, seed=3).orderBy("g").collect()
     assert shuffled == one
     monkeypatch.setattr(metrics, "BLOCK_DRAWS", 5000)
-    assert metrics.bootstrap_ci(df, "id", ["g"], 60, seed=3).orderBy("g").collect() == one
+    mixed = metrics.bootstrap_ci(df, "id", ["g"], 60, seed=3, replicate_rows=100).orderBy("g").collect()  # one group of each kind
+    for a, b in zip(one, mixed):
+        assert a["ci_lower"] == pytest.approx(b["ci_lower"]) and a["ci_upper"] == pytest.approx(b["ci_upper"])
+
+
+def test_replicates_equal_plain_draws(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PART_DRAWS", 100)
+    monkeypatch.setattr(metrics, "LEAST_REPLICATES", 3)
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"id": range(40), "g": ["a"] * 25 + ["b"] * 15, "y": rng.integers(0, 4, 40) / 2, "p": rng.integers(-2, 3, 40) * 0.0 + rng.integers(0, 5, 40)})
+    frame.loc[30, "p"] = np.nan
+    sizes = spark.createDataFrame([("a", 25), ("b", 15)], "g string, _n long")
+    got = {(r["g"], r["rep"]): r["spearman"] for r in metrics.replicates_in_parts(spark.createDataFrame(frame), "id", sizes, ["g"], 10, 9).collect()}
+    assert len(got) == 20
+    digest = lambda *parts: hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+    for g, part in frame.groupby("g"):
+        ordered = part.assign(h=[digest(9, i) for i in part["id"]]).sort_values(["h", "id"])
+        for rep in range(10):
+            drawn = ordered.iloc[[int(digest(9, rep, i)[:15], 16) % len(ordered) for i in range(len(ordered))]]
+            if drawn["p"].isna().any():
+                assert math.isnan(got[g, rep])
+            elif drawn["y"].nunique() == 1 or drawn["p"].nunique() == 1:
+                assert got[g, rep] is None
+            else:
+                assert got[g, rep] == pytest.approx(rank_corr(drawn))
+
+
+def test_bootstrap_of_nothing(spark):
+    df = spark.createDataFrame([(1, "a", None, 1.0)], "id long, g string, y double, p double")
+    assert metrics.bootstrap_ci(df, "id", ["g"], 10).collect() == [] and metrics.bootstrap_ci(df.limit(0), "id", ["g"], 10).collect() == []
 
 
 def test_bootstrap_counts_dropped_replicates(spark):

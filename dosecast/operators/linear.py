@@ -1,9 +1,9 @@
-"""Ordinary least squares, overall or per group, from one pass of moments.
+"""Ordinary least squares, overall or per group, by a tree of QR factors.
 
-Each task folds its rows into one moment matrix per group with BLAS; Spark sums the
-matrices. What is shuffled and solved is d x d per group whatever the row count, so
-a hot group costs no more than a small one. The minimum-norm solution is returned
-when a group has fewer independent rows than features.
+Each task folds its rows into one triangular factor per group; factors are stacked and factored again,
+a few at a time, until a group has one. What is shuffled and solved is at most d x d per group whatever the row count, so
+a hot group costs no more than a small one. Squares are never formed, so nearly collinear features keep their
+digits; the minimum-norm solution is returned where features are collinear or rows too few.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,10 @@ from pyspark.sql import functions as F
 from dosecast.operators.lookup import lookup_join
 from dosecast.session import materialize
 
-HELD_CELLS = 16_000_000  # moment cells a task holds before another group makes it hand its sums on
+HELD_CELLS = 4_000_000  # cells of rows that a task factors at once, at least as many rows as a factor has
 FOLDS_PER_CORE = 2  # tasks that fold: each hands on a whole matrix, so few and large ones
-SORTED_BELOW = 16  # groups in hand below which rows are ordered by group before folding
+STACKED = 4  # factors that meet in one task
 SHIPPED_CELLS = 4_000_000  # coefficients that travel with the tasks
-RANK_TOLERANCE = 1e-11
 
 
 def feature_matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -45,41 +45,66 @@ def vector_width(df: DataFrame, features: str = "features") -> int:
     return first["width"]
 
 
-def moment_rows(df: DataFrame, group: str, features: str, target: str, width: int, shift: np.ndarray) -> DataFrame:
-    """Partial sums per task: row i of sum(z z') with z = (1, x - shift, y - shift)."""
+def _factor(z: np.ndarray) -> np.ndarray:
+    """The triangular factor of a matrix, with no more rows than the matrix has."""
+    return np.linalg.qr(z, mode="r") if len(z) > 1 else z
+
+
+def _factor_batch(name: str | None, part: int, factor: np.ndarray) -> pa.RecordBatch:
+    rows, size = factor.shape
+    cells = pa.ListArray.from_arrays(np.arange(0, rows * size + 1, size, dtype=np.int32), pa.array(factor.reshape(-1)))
+    columns = [pa.array([name] * rows, pa.string()), pa.array([part] * rows, pa.int32()), pa.array(np.arange(rows, dtype=np.int32)), cells]
+    return pa.RecordBatch.from_arrays(columns, ["_group", "_part", "_row", "_cells"])
+
+
+_FACTORS = "_group string, _part int, _row int, _cells array<double>"
+
+
+def factor_rows(df: DataFrame, group: str, features: str, target: str, width: int, shift: np.ndarray, tasks: int) -> DataFrame:
+    """One triangular factor per task and group, row by row, of the rows z = (1, x - shift, y - shift)."""
     size = width + 2
-    held = max(1, HELD_CELLS // (size * size))
+    at_once = max(size, HELD_CELLS // size)
 
     def fold(batches):
-        sums: dict = {}
-
-        def release():
-            for name, matrix in sums.items():
-                cells = pa.array(matrix.reshape(-1))
-                rows = pa.ListArray.from_arrays(np.arange(0, size * size + 1, size, dtype=np.int32), cells)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * size, pa.string()), pa.array(np.arange(size, dtype=np.int32)), rows],
-                    ["_group", "_row", "_cells"],
-                )
-            sums.clear()
-
+        part = TaskContext.get().partitionId()
+        name, held, rows = None, [], 0
         for batch in batches:
             x = feature_matrix(batch.column(features), width)
             y = batch.column(target).to_numpy(zero_copy_only=False).astype(np.float64)
             z = np.column_stack([np.ones(len(x)), x - shift[:-1], y - shift[-1]])
             codes, names = pd.factorize(batch.column("_group").to_pandas())
-            for code, name in enumerate(names):
-                part = z[codes == code] if len(names) > 1 else z
-                if name not in sums and len(sums) >= held:
-                    yield from release()
-                sums[name] = sums.get(name, 0.0) + part.T @ part
-        yield from release()
+            for code, found in enumerate(names):  # groups come one after the other
+                if held and found != name:
+                    yield _factor_batch(name, part, _factor(np.concatenate(held)))
+                    held, rows = [], 0
+                name = found
+                held.append(z[codes == code] if len(names) > 1 else z)
+                rows += len(held[-1])
+                if rows >= at_once:
+                    held = [_factor(np.concatenate(held))]
+                    rows = len(held[0])
+        if held:
+            yield _factor_batch(name, part, _factor(np.concatenate(held)))
 
     rows = df.select(F.col(group).cast("string").alias("_group"), features, target)
-    rows = rows.coalesce(FOLDS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
-    if held < SORTED_BELOW:
-        rows = rows.sortWithinPartitions("_group")
-    return rows.mapInArrow(fold, "_group string, _row int, _cells array<double>")
+    rows = rows.coalesce(tasks)
+    return rows.sortWithinPartitions("_group").mapInArrow(fold, _FACTORS)
+
+
+def stacked(factors: DataFrame, parts: int) -> DataFrame:
+    """One factor per group from those of ``parts`` tasks, by stacking ``STACKED`` at a time."""
+
+    def combine(own: pa.Table) -> pa.Table:
+        size = len(own.column("_cells")[0])
+        z = own.column("_cells").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        order = np.lexsort((own.column("_row").to_numpy(), own.column("_before").to_numpy()))  # the same sums whatever comes first
+        return pa.Table.from_batches([_factor_batch(own.column("_group")[0].as_py(), own.column("_part")[0].as_py(), _factor(z[order]))])
+
+    while parts > 1:
+        parts = -(-parts // STACKED)
+        met = factors.withColumn("_before", F.col("_part")).withColumn("_part", F.floor(F.col("_part") / STACKED).cast("int"))
+        factors = met.groupBy("_group", "_part").applyInArrow(combine, _FACTORS)
+    return factors
 
 
 def fit_linear(
@@ -96,31 +121,29 @@ def fit_linear(
         raise ValueError("there are no rows to fit on")
     width = means["x"].size
     shift = np.append(means["x"].toArray(), means["y"])
-    partial = moment_rows(rows, by, features, target, width, shift)
-    summed = partial.groupBy("_group", "_row").agg(
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("_cells")))).alias("_cells")
-    )
-
-    def solve(moments: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(moments.sort_values("_row")["_cells"].to_list())
-        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-        centred = m[1:, 1:] - n * np.outer(mean, mean)
-        values, basis = np.linalg.eigh(centred[:-1, :-1])
-        kept = values > max(values[-1], 0.0) * RANK_TOLERANCE
-        coefficients = basis[:, kept] @ ((basis[:, kept].T @ centred[:-1, -1]) / values[kept])
+    tasks = FOLDS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism
+    factors = factor_rows(rows, by, features, target, width, shift, tasks)
+
+    def solve(own: pd.DataFrame) -> pd.DataFrame:
+        r = np.stack(own.sort_values("_row")["_cells"].to_list())
+        mean = r[0, 1:] / r[0, 0]  # the first row has the sums, what is below it is centred
+        n = int(round(r[0, 0] ** 2))
+        coefficients, rank = np.zeros(width), 0
+        if len(r) > 1:
+            coefficients, _, rank, _ = np.linalg.lstsq(r[1:, 1:-1], r[1:, -1], rcond=np.finfo(float).eps * max(n, width))
         intercept = mean[-1] + shift[-1] - (mean[:-1] + shift[:-1]) @ coefficients
         return pd.DataFrame(
             {
-                "_group": [moments["_group"].iloc[0]],
+                "_group": [own["_group"].iloc[0]],
                 "intercept": [intercept],
                 "coefficients": [coefficients],
-                "n": [int(round(n))],
-                "rank": [int(kept.sum())],
+                "n": [n],
+                "rank": [int(rank)],
             }
         )
 
-    # Each group here is the d + 2 rows of its summed matrix.
-    fitted = summed.groupBy("_group").applyInPandas(
+    # Each group here is the rows of its one factor, at most d + 2.
+    fitted = stacked(factors, tasks).groupBy("_group").applyInPandas(
         solve, "_group string, intercept double, coefficients array<double>, n bigint, rank int"
     )
     return materialize(fitted.withColumnRenamed("_group", group or "model_group"), "linear_model")

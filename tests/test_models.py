@@ -190,7 +190,7 @@ def test_predictions_without_a_vector_or_model_are_null_either_way(spark, plante
     assert np.isclose(*found)
 
 
-def test_wide_moments_are_handed_on_once_per_task(spark, monkeypatch):
+def test_a_factor_is_handed_on_once_per_task(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(x.tolist(), float(x[0]), f"g{i % 3}") for i, x in enumerate(rng.normal(size=(90, 4)))]
     df = spark.createDataFrame(rows, "features array<double>, y double, kind string").repartition(2)
@@ -198,12 +198,28 @@ def test_wide_moments_are_handed_on_once_per_task(spark, monkeypatch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
-        handed = linear.moment_rows(df, "kind", "features", "y", 4, np.zeros(5)).filter("_row = 0").count()
+        handed = linear.factor_rows(df, "kind", "features", "y", 4, np.zeros(5), 2).filter("_row = 0").count()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert handed <= 2 * 3
 
 
+def test_collinear_wide_vectors_agree_with_a_dense_solve(spark):
+    rng = np.random.default_rng(8)
+    for width, n in ((3072, 150), (40, 300)):
+        base = rng.normal(size=(n, 20)) * np.logspace(0, -5, 20)  # squared, the smallest would drown
+        x = np.concatenate([base @ rng.normal(size=(20, width - 20)), base], axis=1) + 3.0
+        y = base @ rng.normal(size=20) * 10 + 1.0
+        rows = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "row_id long, features array<double>, y double")
+        model = linear.fit_linear(rows.repartition(6))
+        centred = x - x.mean(axis=0)
+        want = np.linalg.lstsq(centred, y - y.mean(), rcond=np.finfo(float).eps * max(n, width))[0]
+        got = model.first()
+        assert got["n"] == n and got["rank"] == 20
+        p = np.array([r["p"] for r in linear.predict_linear(model, rows).orderBy("row_id").collect()])
+        assert np.abs(p - (y.mean() + centred @ want)).max() < 1e-8 and np.abs(np.array(got["coefficients"]) - want).max() < 1e-8
+
+
 def test_early_stop_epoch(spark):
     losses = {"a": [5, 4, 4, 4.5, 3], "b": [5, 4, 3, 2], "c": [1, 2, 3, 0.5]}
     rows = [(k, i + 1, float(v)) for k, vs in losses.items() for i, v in enumerate(vs)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dosecast.functions.vectors import fill_empty, json_to_vector, vector_to_json, wide_columns
@@ -13,6 +13,7 @@ from dosecast.plans import sql as q
 from dosecast.plans.queries_scores import SEED, r6, rounded
 from dosecast.plans.catalog import query
 from dosecast.plans.views import load
+from dosecast.session import materialize, scratch_path
 
 DIMS = 64
 LONG_TEXT = 300
@@ -185,12 +186,17 @@ class ShortTextEncoder(embed.TokenHashEncoder):
     "embed_error_policy",
     f"""{q.WITH('v_docs')}, counted AS (
         SELECT doc_id, len(string_split_regex(text, {SPACES_SQL})) > {LONG_TEXT} AS failed FROM v_docs)
-    SELECT doc_id, NOT failed AS embedded, CASE WHEN failed THEN 'ValueError: text too long' END AS error
+    SELECT doc_id, NOT failed AS embedded, CASE WHEN failed THEN 'ValueError: text too long' END AS error,
+           count(*) OVER () AS texts, count(*) FILTER (failed) OVER () AS failures
     FROM counted""",
 )
 def embed_error_policy(spark, sf):
-    rows = embed.embed_prompts(load(spark, sf, "v_docs"), ShortTextEncoder, "text", embed.BATCH_SIZE)
-    return rows.select("doc_id", F.col("vector").isNotNull().alias("embedded"), "error")
+    """Failures and their number, which the write itself counts."""
+    watch = Observation("embedding")
+    rows = embed.embed_prompts(load(spark, sf, "v_docs"), ShortTextEncoder, "text", embed.BATCH_SIZE, watch=watch)
+    written = materialize(rows.select("doc_id", F.col("vector").isNotNull().alias("embedded"), "error"), "embedded")
+    counts = watch.get
+    return written.withColumns({"texts": F.lit(counts["rows"]).cast("long"), "failures": F.lit(counts["failures"]).cast("long")})
 
 
 _CHUNK, _DEVICES = 100, 4
@@ -208,9 +214,11 @@ def embed_chunks(spark, sf):
 
 @query("union_chunks", f"SELECT doc_id, row_no, chunk, lang FROM ({_CHUNKED}) JOIN documents USING (doc_id)")
 def union_chunks(spark, sf):
+    """Every device's chunks go to a folder of their own in one write; together they are one scan."""
     rows = embed.embed_chunks(load(spark, sf, "v_docs").select("doc_id", "lang"), "doc_id", _CHUNK, _DEVICES)
-    processed = [rows.filter(F.col("device") == d).drop("device") for d in range(_DEVICES)]
-    return embed.union_chunks(processed).orderBy("row_no")
+    path = scratch_path(spark, "processed")
+    rows.write.partitionBy("device").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).drop("device")
 
 
 @query(
@@ -252,10 +260,15 @@ def embedded_wide(rows: DataFrame) -> DataFrame:
     return rows.withColumns(turned)
 
 
-_VARIANT_ROWS = "variants AS (" + " UNION ALL ".join(
-    f"SELECT '{v}' AS variant, * REPLACE (list_concat(embedding[{i + 1}:], embedding[1:{i}]) AS embedding) FROM v_features"
-    for i, v in enumerate(features.VARIANTS.values())
-) + ")"
+def variant_rows(source: str) -> str:
+    """The rows of ``source`` once for every variant, as ``embedded_wide`` makes them."""
+    return "variants AS (" + " UNION ALL ".join(
+        f"SELECT '{v}' AS variant, * REPLACE (list_concat(embedding[{i + 1}:], embedding[1:{i}]) AS embedding) FROM {source}"
+        for i, v in enumerate(features.VARIANTS.values())
+    ) + ")"
+
+
+_VARIANT_ROWS = variant_rows("v_features")
 
 
 @query(

@@ -15,12 +15,15 @@ from dosecast.operators.early_stop import best_trial
 from dosecast.operators.embed import embed_chunks
 from dosecast.operators.features import VARIANTS, feature_variants
 from dosecast.operators.metrics import mse, r2
+from dosecast.operators.neural import load_network, predict_networks
 from dosecast.plans import sql as q
-from dosecast.plans.queries_embed import DIMS, _VARIANT_ROWS, _WIDE_SQL, embedded_wide
+from dosecast.plans.queries_embed import DIMS, _VARIANT_ROWS, _WIDE_SQL, embedded_wide, variant_rows
 from dosecast.plans.queries_prompts import PROMPT_TABLE, _select
 from dosecast.plans.queries_scores import SEED, r6, rounded, space_sql
 from dosecast.plans.catalog import query
-from dosecast.plans.search import search_space
+from dosecast.plans.modeling import Columns
+from dosecast.plans.search import run_search, save_search, search_space
+from dosecast.plans.space import Space
 from dosecast.plans.views import load
 from dosecast.session import scratch_path
 from dosecast.sources import tables
@@ -65,37 +68,38 @@ _EMBEDDED_SCHEMA = T.StructType(
         T.StructField("cancer_type", T.StringType()),
     ]
 )
+_VECTORS = [f"emb_{column}" for column in VARIANTS]
 _EMBEDDED_SQL = f"""{q.WITH('v_features')}, failing AS (
-    SELECT * REPLACE (CASE WHEN vec_id % 50 <> 0 THEN embedding END AS embedding) FROM v_features)
-    SELECT vec_id, AUC, label, cancer_type, {_WIDE_SQL} FROM failing"""
+    SELECT * REPLACE (CASE WHEN vec_id % 50 <> 0 THEN embedding END AS embedding) FROM v_features), {variant_rows('failing')}
+    SELECT variant, vec_id, AUC, label, cancer_type, {_WIDE_SQL} FROM variants"""
 
 
 def _embedded(spark, sf):
-    rows = load(spark, sf, "v_features")
-    vector = F.when(F.col("vec_id") % 50 != 0, F.col("embedding")).alias("emb_question_prompt")
-    return rows.select("vec_id", "AUC", "label", "cancer_type", vector)
+    """A wide embedded table with the vectors of all eight prompt columns, some of which failed."""
+    rows = load(spark, sf, "v_features").withColumn("embedding", F.when(F.col("vec_id") % 50 != 0, F.col("embedding")))
+    return embedded_wide(rows).select("vec_id", "AUC", "label", "cancer_type", *_VECTORS)
 
 
 def _read_embedded(spark, path):
-    back = tables.read_embedded(spark, path, _EMBEDDED_SCHEMA, ["emb_question_prompt"])
-    return back.select(*_EMBEDDED_SCHEMA.fieldNames(), *wide_columns("emb_question_prompt", DIMS))
+    long = feature_variants(tables.read_embedded(spark, path, _EMBEDDED_SCHEMA, _VECTORS), "study", ["vec_id"])
+    return long.select("variant", *_EMBEDDED_SCHEMA.fieldNames(), *wide_columns("features", DIMS))
 
 
 @query("src_embedded_tsv", _EMBEDDED_SQL)
 def src_embedded_tsv(spark, sf):
     path = scratch_path(spark, "embedded.tsv")
-    tables.write_embedded(_embedded(spark, sf), path, ["emb_question_prompt"])
+    tables.write_embedded(_embedded(spark, sf), path, _VECTORS)
     return _read_embedded(spark, path)
 
 
 @query("src_embedded_glob", _EMBEDDED_SQL)
 def src_embedded_glob(spark, sf):
+    """One write deals the chunks of all devices to files of their own; a glob reads them as one table."""
     folder = scratch_path(spark, "chunks")
     rows = embed_chunks(_embedded(spark, sf), "vec_id", chunk_rows=100, devices=4)
-    for device in range(4):
-        part = rows.filter(F.col("device") == device).drop("row_no", "chunk", "device")
-        tables.write_embedded(part, f"{folder}/processed_chunk_{device}.tsv", ["emb_question_prompt"])
-    return _read_embedded(spark, f"{folder}/processed_chunk_*.tsv")
+    numbered = rows.withColumnRenamed("device", "processed_chunk").drop("row_no", "chunk")
+    tables.write_embedded(numbered, folder, _VECTORS, by="processed_chunk")
+    return _read_embedded(spark, f"{folder}/processed_chunk=*")
 
 
 @query("src_features_csv", f"{q.WITH('v_features')} SELECT {_WIDE_SQL}, AUC, label, cancer_type FROM v_features")
@@ -188,3 +192,22 @@ def sink_model(spark, sf):
     before = predict_boosted(fitted, rows, output="before")
     after = predict_boosted(load_boosted(spark, path), before, output="after")
     return after.select("vec_id", "y", (F.col("before") == F.col("after")).alias("unchanged"))
+
+
+@query("sink_search", f"{q.WITH('v_features')} SELECT vec_id, AUC AS y, true AS unchanged, 6 AS trials FROM v_features")
+def sink_search(spark, sf):
+    """A search's files: the trials, and the best network, which predicts what it did before it was saved."""
+    rows = load(spark, sf, "v_features")
+    columns = Columns(key="vec_id", features="embedding")
+    found = run_search(rows, 6, SEED, columns, epochs=10, space=Space(layer_widths=(64, 128)), startup=4, wave=2)
+    folder = scratch_path(spark, "search")
+    save_search(spark, found, folder)
+    params, network = tables.read_best_params(spark, f"{folder}/best_params"), load_network(spark, f"{folder}/best_model")
+    text = T.StructType([T.StructField("trial_number", T.LongType()), T.StructField("val_spearman", T.DoubleType())])
+    trials = tables.read_text_table(spark, f"{folder}/trials", text, sep=",")
+    best = best_trial(trials).first()
+    same = params == found.best_params and best["val_spearman"] == found.best_value and network.spec == found.best_model.spec
+    asked = rows.select("vec_id", F.lit("all").alias("split"), F.col("embedding").alias("features"), F.col("AUC").alias("y"))
+    before, after = (predict_networks(asked, {"m": m}, "vec_id").select("vec_id", "y", F.col("p").alias(c)) for m, c in ((found.best_model, "before"), (network, "after")))
+    unchanged = (F.col("before") == F.col("after")) & F.lit(same)
+    return before.join(after.drop("y"), "vec_id").select("vec_id", "y", unchanged.alias("unchanged"), F.lit(trials.count()).cast("int").alias("trials"))

@@ -123,9 +123,13 @@ def read_text_table(spark: SparkSession, path, schema: T.StructType, sep: str =
     )
 
 
-def write_text_table(df: DataFrame, path: str, sep: str = "\t") -> None:
-    """Write a header and rows, no index. Empty strings and nulls are both empty cells."""
-    df.write.options(**_TEXT_OPTIONS, sep=sep, emptyValue="").csv(path)
+def write_text_table(df: DataFrame, path: str, sep: str = "\t", by: str | None = None) -> None:
+    """Write a header and rows, no index. Empty strings and nulls are both empty cells.
+
+    With ``by`` the rows of each value of that column go to a folder of their own, in the same job.
+    """
+    out = df.write.options(**_TEXT_OPTIONS, sep=sep, emptyValue="")
+    (out.partitionBy(by) if by else out).csv(path)
 
 
 def read_response(spark: SparkSession, path, with_context: bool = False) -> DataFrame:
@@ -138,10 +142,10 @@ def read_prompts(spark: SparkSession, path) -> DataFrame:
     return read_text_table(spark, path, PROMPT_SCHEMA)
 
 
-def write_embedded(df: DataFrame, path: str, vectors: list[str]) -> None:
+def write_embedded(df: DataFrame, path: str, vectors: list[str], by: str | None = None) -> None:
     """Embedded table as text: each ``emb_*`` vector as a JSON cell, empty when it failed."""
     df_text = df.select(*[vector_to_json(F.col(c)).alias(c) if c in vectors else F.col(c) for c in df.columns])
-    write_text_table(df_text, path)
+    write_text_table(df_text, path, by=by)
 
 
 def read_embedded(spark: SparkSession, path, schema: T.StructType, vectors: list[str]) -> DataFrame:

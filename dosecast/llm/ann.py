@@ -34,7 +34,7 @@ TREES = 4
 SAMPLE = 20_000  # distinct vectors that the trees are grown on, at most
 LEAVES = 64  # of each tree
 LEAST_ROWS = 50  # vectors of the sample in a leaf, at least
-SEARCHED = 0.85  # leaves that a query visits, in leaves of one tree
+SEARCHED = 1.4  # leaves that a query visits, of all trees, in leaves of one tree
 BLOCK = 8_192  # rows, and queries, that meet in one block
 K = 20
 SEED = 7

@@ -107,6 +107,15 @@ def test_neighbours_recall(spark):
         assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_recall_on_the_tables(spark, sf):
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=np.float64)) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    got = found_of(catalog.op6_ann(spark, f"/root/testdata/{sf}"))
+    want = plain_nearest(rows, [i for i, _ in rows if i % 20 == 0], 20)
+    assert set(got) == set(want)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_neighbours_copies_ties_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(200, [0.0, 1.0]), (220, [1.0, 1.0]), (220, [1.0, 1.0])]

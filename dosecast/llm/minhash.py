@@ -7,12 +7,11 @@ similarity s agree in a band of r values with probability s^r. With 64 bands of
 with probability 4e-9, a closer one less often.
 
 Equal sets are one node (a 128-bit digest), so a text copied any number of times costs one. Nodes of a small
-listing (band and values) are compared pairwise. Nodes of a crowded listing are listed again under 256 bands of
-12 values, which parts what merely shares a passage (miss 2e-8 at 0.8). Listings that are crowded still
-hold texts that are nearly alike: some members lead, all others are compared with the leaders, links are
-contracted, and a member leaves its listing when it led, or when the triangle inequality of the Jaccard
-distance shows that whatever it could still link to is in its class. The leaders double each round, what is left
-of a listing ends in pairs, and no partner is ever passed over.
+listing (band and values) are compared pairwise. In a crowded listing every node is compared with one leader, twice, and
+links are contracted: copies with small changes are one class after that, and listings of one class are done. Nodes of the
+others meet once more, all of them, by the rarest hashes of their sets: two linked sets always share one among the first fifth
+of both. What many texts have in common (a passage, a form) is not rare and proposes nothing, classes meet before their nodes
+do, and no partner is passed over.
 
 Every link is confirmed on the full sets of 64-bit shingle hashes, recomputed from the texts of nodes in question;
 two shingles of a pair share a hash with probability under 1e-9 for a million shingles each.
@@ -42,10 +41,9 @@ from dosecast.session import materialize
 
 SHINGLE = 5
 PERCENT = 80  # least 100 * intersection / union of a link
-LEVELS = ((64, 6), (256, 12))  # (bands, values of a band), the second for nodes of crowded listings
+BANDS, VALUES = 64, 6  # and the values of a band
 MANY = 32  # members of a listing beyond which it is not compared pairwise
-LEADERS = 8  # of a crowded listing in its first round
-MORE = 4  # times as many in each further round
+TURNS = 2  # of one leader for each node of crowded listings
 SALT = 16  # copies of a leader's set, so that a hot leader is not one task
 PIECE_BYTES = 1 << 20  # of a text whose words are held at once, up to the next blank
 PIECE = 1_024  # shingles that meet all permutations at once
@@ -76,13 +74,8 @@ def hashed_set(text: str | None, length: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
 
 
-def multipliers(permutations: int, level: int) -> np.ndarray:
-    """An odd factor for each permutation of the 32-bit values."""
-    rng = np.random.default_rng([SEED, level])
-    return rng.integers(0, 2**32, size=permutations, dtype=np.uint32) | np.uint32(1)
-
-
-_FACTORS = [multipliers(bands * values // 2, level) for level, (bands, values) in enumerate(LEVELS)]
+#: An odd factor for each permutation of the 32-bit values; every one gives a smallest and a largest value.
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**32, size=BANDS * VALUES // 2, dtype=np.uint32) | np.uint32(1)
 
 
 def min_max(hashes: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +88,15 @@ def min_max(hashes: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.nda
     return low, high
 
 
-def band_keys(hashes: np.ndarray, level: int) -> list[int]:
+def band_keys(hashes: np.ndarray) -> list[int]:
     """One signed long for each band: a hash of its number and its values, half smallest, half largest.
 
     The largest values are those of the next band's permutations, so no permutation lends a band both.
     """
-    bands, values = LEVELS[level]
-    half = values // 2
-    low, high = min_max(hashes, _FACTORS[level])
-    joined = np.concatenate([low.reshape(bands, half), np.roll(high.reshape(bands, half), -1, axis=0)], axis=1)
-    digest = xxhash.xxh64_intdigest
-    keys = np.array([digest(row.tobytes(), level * 1_000 + i) for i, row in enumerate(joined)], dtype=np.uint64)
+    half = VALUES // 2
+    low, high = min_max(hashes, _FACTORS)
+    joined = np.concatenate([low.reshape(BANDS, half), np.roll(high.reshape(BANDS, half), -1, axis=0)], axis=1)
+    keys = np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(joined)], dtype=np.uint64)
     return keys.view(np.int64).tolist()
 
 
@@ -120,7 +111,7 @@ def digests(rows: DataFrame, length: int) -> DataFrame:
 
     def printed(text):
         own = hashed_set(text, length)
-        return (len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(own, 0)) if len(own) else (0, None, [])
+        return (len(own), xxhash.xxh3_128_digest(own.tobytes()), band_keys(own)) if len(own) else (0, None, [])
 
     def make():
         return lambda texts: list(zip(*[printed(t) for t in texts])) or [[], [], []]
@@ -165,17 +156,19 @@ def near(percent: int) -> Column:
 
 
 def listings(keyed: DataFrame, name: str) -> DataFrame:
-    """(listing, node, n, members) of all listings with at least two members."""
-    listed = keyed.select("node", "n", F.explode("bands").alias("listing"))
+    """(listing, node, members) of all listings with at least two members."""
+    listed = keyed.select("node", F.explode("bands").alias("listing"))
     sizes = listed.groupBy("listing").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     return materialize(listed.join(sizes, "listing"), name)
 
 
-def pairs_within(listed: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of one listing whose set sizes allow a link."""
-    a, b = (listed.select("listing", F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+def pairs_within(listed: DataFrame, sizes: DataFrame, percent: int, roots: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of one listing whose set sizes allow a link; with ``roots`` of different classes only."""
+    named = listed.select("listing", "node").join(sizes.select("node", "n"), "node")
+    named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node")
+    a, b = (named.select("listing", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
     sized = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    return a.join(b, "listing").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    return a.join(b, "listing").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & sized).select("a", "b").distinct()
 
 
 def contracted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -193,68 +186,74 @@ def joined_roots(root: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(root.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")), "roots")
 
 
-def lead(live: DataFrame, leaders: int) -> DataFrame:
-    """(listing, leader): some members of each listing. A hash of the node alone picks them, so that listings share
-    their leaders; the rank's limit reaches the tasks before the exchange."""
-    order = Window.partitionBy("listing").orderBy(F.xxhash64("node"), "node")
-    return live.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= leaders).select("listing", F.col("node").alias("leader"))
-
-
-def crowded_links(crowded: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """``edges`` and the links that crowded listings (listing, node) add, as many as keep their classes connected."""
-    live, leaders = materialize(crowded.select("listing", "node"), "live"), LEADERS
-    reach = 1 - percent / 100 + 1e-9  # the distance of a link, at most
-    ended = edges.select("a", "b")
-    root = contracted(live.select("node").distinct(), edges)
-    while not live.isEmpty():
-        leading = materialize(lead(live, leaders), "leaders")
-        met = live.join(leading, "listing")
-        asked = met.filter("node <> leader").select(F.col("node").alias("b"), F.col("leader").alias("a")).distinct()
-        measured = materialize(overlaps(asked, sets, hot="a"), "measured")
-        linked = measured.filter(near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        ended, root = ended.unionByName(linked), joined_roots(root, linked)
-        of_leader = root.select(F.col("node").alias("leader"), F.col("root").alias("leading"))
-        far = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("same") / F.col("total")).alias("far"))
-        around = met.join(root, "node").join(of_leader, "leader").join(far, ["leader", "node"], "left")
-        around = materialize(around.select("listing", "node", "leader", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("root") == F.col("leading")).alias("inside")), "around")
-        # Whoever is nearer to a leader than its listing's nearest outsider is, by more than a link's reach, can link to no outsider.
-        outside = around.groupBy("listing", "leader").agg(F.min(F.when(~F.col("inside"), F.col("far"))).alias("outside"))
-        settled = (F.col("node") == F.col("leader")) | (F.col("inside") & (F.col("outside").isNull() | (F.col("far") + reach < F.col("outside"))))
-        still = around.join(outside, ["listing", "leader"]).groupBy("listing", "node").agg(F.bool_or(settled).alias("settled")).filter("NOT settled")
-        still = materialize(still.select("listing", "node").join(root, "node"), "still")
-        left = still.groupBy("listing").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("one"), F.max("root").alias("other"))
-        parted = materialize(still.join(left.filter("one <> other"), "listing").select("listing", "node", "root", "members"), "parted")
-        few = parted.filter(F.col("members") <= MANY)
-        a, b = (few.select("listing", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        pairs = a.join(b, "listing").filter("a < b AND root_a <> root_b").select("a", "b").distinct()
-        last = materialize(overlaps(pairs, sets).filter(near(percent)).select("a", "b"), "last")
-        ended, root = ended.unionByName(last), joined_roots(root, last)
-        live, leaders = parted.filter(F.col("members") > MANY).select("listing", "node"), MORE * leaders
-    return ended.distinct()
+def parted(listed: DataFrame, root: DataFrame) -> DataFrame:
+    """The rows (listing, node, root) of listings whose members are in more than one class, written down."""
+    named = listed.select("listing", "node").join(root, "node")
+    mixed = named.groupBy("listing").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("listing")
+    return materialize(named.join(mixed, "listing").select("listing", "node", "root"), "parted")
+
+
+def led(live: DataFrame, root: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links found, and classes after them, when every node of ``live`` (listing, node, root) is compared with one leader.
+
+    A listing's leader is its first member by a hash; a node takes the first leader of its listings, so there are no more
+    comparisons than nodes.
+    """
+    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("leader"))).alias("first")
+    leaders = live.groupBy("listing").agg(first)
+    own = live.select("listing", "node").join(leaders, "listing").groupBy("node").agg(F.min("first").alias("first"))
+    asked = own.select(F.col("node").alias("b"), F.col("first.leader").alias("a")).filter("a <> b")
+    found = overlaps(asked, sets, hot="a").filter(near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = materialize(found.distinct(), "led")
+    return found, joined_roots(root, found)
+
+
+def prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes (node, root) of different classes that may be linked, none left out.
+
+    The hashes of a set are ordered by how few of the nodes hold them. Two linked sets share a hash among the first
+    ``n - ceil(percent * n / 100) + 1`` of both; what many nodes have in common comes last, so it proposes
+    no pair of texts that differ in enough else. At the first hash that a pair shares, what follows in the shorter rest bounds the overlap.
+    """
+    held = sets.join(live, "node").select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    often = held.groupBy("hash").agg(F.count(F.lit(1)).alias("often"))
+    ordered = held.join(often, "hash").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "hash"))).alias("own"))
+    first = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")
+    prefix = materialize(ordered.select("node", "root", "n", F.posexplode(F.slice("own", 1, first)).alias("at", "h")).select("node", "root", "n", "at", "h.hash"), "prefixes")
+    # Classes meet before their nodes do, so that the many nodes of one class are not compared with each other.
+    mixed = prefix.groupBy("hash").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("hash")
+    shared = materialize(prefix.join(mixed, "hash"), "shared")
+    of = shared.select("hash", "root").distinct()
+    classes_met = of.withColumnRenamed("root", "root_a").join(of.withColumnRenamed("root", "root_b"), "hash").filter("root_a < root_b")
+    a, b = (shared.select("hash", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", "at")]) for c in "ab")
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # with the shared hash itself
+    enough = (100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))
+    sized = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    met = classes_met.join(a, ["hash", "root_a"]).join(b, ["hash", "root_b"]).filter(enough & sized)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def links(rows: DataFrame, firsts: DataFrame, length: int, percent: int) -> DataFrame:
     """(a, b): confirmed links between distinct sets that put every two linked texts into one class."""
-    listed = listings(firsts.select("node", "n", "bands"), "listings")
+    listed = listings(firsts, "listings")
     crowded = listed.filter(F.col("members") > MANY)
-    pairs = pairs_within(listed.filter(F.col("members") <= MANY), percent)
-    if crowded.isEmpty():
-        pairs = materialize(pairs, "pairs")
-        sets = full_sets(rows, firsts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), length)
-        return overlaps(pairs, sets).filter(near(percent)).select("a", "b")
+    pairs = materialize(pairs_within(listed.filter(F.col("members") <= MANY), firsts, percent), "pairs")
     again = materialize(crowded.select("node").distinct(), "crowded")
-    second = full_sets(rows, firsts, again, length)
-
-    def make():
-        return lambda found: [[band_keys(h.values.to_numpy().view(np.uint64), 1) for h in found]]
-
-    sharper = add_columns(second, "hashes", make, [field("bands", "array<long>")], ["node"], as_arrow=True)
-    relisted = listings(sharper.join(firsts.select("node", "n"), "node"), "relisted")
-    pairs = materialize(pairs.unionByName(pairs_within(relisted.filter(F.col("members") <= MANY), percent)).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(again, "node", "left_anti")
-    sets = second.unionByName(full_sets(rows, firsts, wanted, length))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(again).distinct()
+    sets = full_sets(rows, firsts, wanted, length)
     edges = materialize(overlaps(pairs, sets).filter(near(percent)).select("a", "b"), "edges")
-    return crowded_links(relisted.filter(F.col("members") > MANY), sets, edges, percent)
+    if again.isEmpty():
+        return edges
+    root = materialize(contracted(firsts.select("node"), edges).join(again, "node", "left_semi"), "roots")
+    # Copies of one text with small changes become one class here, at one comparison a node and turn.
+    live = parted(crowded, root)
+    for turn in range(TURNS):
+        found, root = led(live, root, sets, percent, turn)
+        edges, live = edges.unionByName(found), parted(live, root)
+
+    left = materialize(live.select("node", "root").distinct(), "left")
+    apart = materialize(prefix_pairs(left, sets, percent), "pairs")
+    return edges.unionByName(overlaps(apart, sets).filter(near(percent)).select("a", "b")).distinct()
 
 
 def minhash_classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -77,10 +77,10 @@ def crowd(rng, variants):
     return list(enumerate(texts)) + [(5, texts[5]), (5, "another text under a key of its own"), (None, "no key here at all"), (None, None), (None, texts[0])]
 
 
-@pytest.mark.parametrize("many, leaders", [(32, 4), (4, 2)])
-def test_crowded_listings(spark, monkeypatch, many, leaders):
-    monkeypatch.setattr(minhash, "MANY", many)
-    monkeypatch.setattr(minhash, "LEADERS", leaders)
+@pytest.mark.parametrize("many, turns", [(32, 2), (4, 1), (1, 0)])
+def test_crowded_listings(spark, monkeypatch, many, turns):
+    monkeypatch.setattr(minhash, "MANY", many)  # with 1 and 0 turns every pair comes from the rarest hashes
+    monkeypatch.setattr(minhash, "TURNS", turns)
     rows = crowd(random.Random(many), 60)
     table = spark.createDataFrame([doc(i, t) for i, t in rows], DOCS).repartition(5)
     assert found(minhash.minhash_classes(table, shingle=3).collect()) == plain_classes(rows, 3)
@@ -111,5 +111,5 @@ def test_bands_agree_as_often_as_sets_are_similar():
     for _ in range(150):
         common, own = rng.integers(0, 2**64, 80, dtype=np.uint64), rng.integers(0, 2**64, 20, dtype=np.uint64)
         a, b = (np.concatenate([common, half]) for half in (own[:10], own[10:]))
-        agreed += sum(x == y for x, y in zip(minhash.band_keys(a, 0), minhash.band_keys(b, 0)))
+        agreed += sum(x == y for x, y in zip(minhash.band_keys(a), minhash.band_keys(b)))
     assert abs(agreed / (150 * 64) - 0.8**6) < 0.03

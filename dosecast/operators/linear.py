@@ -23,6 +23,7 @@ from dosecast.session import materialize
 
 HELD_CELLS = 4_000_000  # cells of rows that a task factors at once, at least as many rows as a factor has
 FOLDS_PER_CORE = 2  # tasks that fold: each hands on a whole matrix, so few and large ones
+NOISE = 16  # units in the last place of the means that centring may leave in a feature
 STACKED = 4  # factors that meet in one task
 SHIPPED_CELLS = 4_000_000  # coefficients that travel with the tasks
 
@@ -128,9 +129,11 @@ def fit_linear(
         r = np.stack(own.sort_values("_row")["_cells"].to_list())
         mean = r[0, 1:] / r[0, 0]  # the first row has the sums, what is below it is centred
         n = int(round(r[0, 0] ** 2))
-        coefficients, rank = np.zeros(width), 0
-        if len(r) > 1:
-            coefficients, _, rank, _ = np.linalg.lstsq(r[1:, 1:-1], r[1:, -1], rcond=np.finfo(float).eps * max(n, width))
+        coefficients, rank, eps = np.zeros(width), 0, np.finfo(float).eps
+        centred = r[1:, 1:-1]
+        size, noise = np.linalg.norm(centred), NOISE * eps * np.sqrt(n) * np.linalg.norm(shift[:-1])
+        if size > noise:  # else features are constant but for what centring has rounded
+            coefficients, _, rank, _ = np.linalg.lstsq(centred, r[1:, -1], rcond=max(eps * max(n, width), noise / size))
         intercept = mean[-1] + shift[-1] - (mean[:-1] + shift[:-1]) @ coefficients
         return pd.DataFrame(
             {

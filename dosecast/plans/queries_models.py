@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from dosecast.operators import boosted as boosting
 from dosecast.operators.boosted import fit_boosted, predict_boosted, splits
+from dosecast.operators.features import VARIANTS
 from dosecast.operators.linear import fit_linear, predict_linear
 from dosecast.operators.neural import dnn_spec, fit_networks, mlp_spec, predict_networks
 from dosecast.plans import modeling
 from dosecast.plans import sql as q
 from dosecast.plans.catalog import query
+from dosecast.plans.pipeline import feature_table
 from dosecast.plans.queries_scores import METRIC_NAMES, SEED, metric_columns_sql, metric_picks_sql, r6, rounded
 from dosecast.plans.search import run_search
 from dosecast.plans.views import CANCER_TYPES, load
@@ -203,6 +205,18 @@ def by_group_networks(spark, sf):
     return modeling.run_models(features(spark, sf), modeling.ALL_MODELS, CANCER_TYPES, COLUMNS, SETTINGS)
 
 
+@query("response_to_results")
+def response_to_results(spark, sf):
+    """Response rows to prompts, vectors and feature tables, and the linear model's results on every prompt variant."""
+    long = feature_table(load(spark, sf, "v_response"), "study", distinct=True, batch_size=256)
+    path = scratch_path(spark, "features")
+    tables.write_features_variants(long, path)
+    rows = spark.read.schema(long.schema).parquet(path)
+    columns = modeling.Columns(key="row_id", group="variant")
+    results = modeling.run_models(rows, "linear", list(VARIANTS.values()), columns, SETTINGS)
+    return rounded(results.withColumnRenamed("cancer_type", "variant"), *_METRICS)
+
+
 @query("run_search")
 def search(spark, sf):
     found = run_search(features(spark, sf), seed=SEED, columns=COLUMNS)

@@ -204,6 +204,13 @@ def test_a_factor_is_handed_on_once_per_task(spark, monkeypatch):
     assert handed <= 2 * 3
 
 
+def test_constant_features_have_no_slope(spark):
+    rows = [(i, [0.1, 1 / 3, 7e8 + 0.1], float(i % 5), "a" if i % 2 else "b") for i in range(333)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, y double, kind string").repartition(5)
+    for got in linear.fit_linear(df, "kind").collect():
+        assert got["rank"] == 0 and not any(got["coefficients"]) and got["intercept"] == pytest.approx(2, abs=0.02)
+
+
 def test_collinear_wide_vectors_agree_with_a_dense_solve(spark):
     rng = np.random.default_rng(8)
     for width, n in ((3072, 150), (40, 300)):

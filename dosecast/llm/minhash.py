@@ -196,11 +196,12 @@ def parted(listed: DataFrame, root: DataFrame) -> DataFrame:
 def led(live: DataFrame, root: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
     """Links found, and classes after them, when every node of ``live`` (listing, node, root) is compared with one leader.
 
-    A listing's leader is its first member by a hash; a node takes the first leader of its listings, so there are no more
-    comparisons than nodes.
+    A listing's leader is its member that is in most listings, which has least of its own and is nearest to all others; in
+    later turns its first member by a hash. A node takes the first leader of its listings, so there are no more comparisons than nodes.
     """
-    first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), F.col("node").alias("leader"))).alias("first")
-    leaders = live.groupBy("listing").agg(first)
+    ranked = live.join(live.groupBy("node").agg((-F.count(F.lit(1))).alias("rare")), "node")
+    order = F.col("rare") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    leaders = ranked.groupBy("listing").agg(F.min(F.struct(order.alias("order"), F.col("node").alias("leader"))).alias("first"))
     own = live.select("listing", "node").join(leaders, "listing").groupBy("node").agg(F.min("first").alias("first"))
     asked = own.select(F.col("node").alias("b"), F.col("first.leader").alias("a")).filter("a <> b")
     found = overlaps(asked, sets, hot="a").filter(near(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -223,13 +224,16 @@ def prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Classes meet before their nodes do, so that the many nodes of one class are not compared with each other.
     mixed = prefix.groupBy("hash").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("hash")
     shared = materialize(prefix.join(mixed, "hash"), "shared")
-    of = shared.select("hash", "root").distinct()
-    classes_met = of.withColumnRenamed("root", "root_a").join(of.withColumnRenamed("root", "root_b"), "hash").filter("root_a < root_b")
+    enough = lambda a, b, sizes: (100 + percent) * F.least(a, b) >= percent * sizes
+    of = shared.groupBy("hash", "root").agg(F.max(F.col("n") - F.col("at")).alias("rest"), F.min("n").alias("least"))
+    ends = [of.select("hash", *[F.col(x).alias(f"{x}_{c}") for x in ("root", "rest", "least")]) for c in "ab"]
+    may = enough(F.col("rest_a"), F.col("rest_b"), F.col("least_a") + F.col("least_b"))
+    classes_met = ends[0].join(ends[1], "hash").filter((F.col("root_a") < F.col("root_b")) & may).select("hash", "root_a", "root_b", "rest_b", "least_b")
     a, b = (shared.select("hash", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "root", "n", "at")]) for c in "ab")
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # with the shared hash itself
-    enough = (100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b"))
+    rest = enough(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"), F.col("n_a") + F.col("n_b"))  # with the shared hash itself
     sized = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    met = classes_met.join(a, ["hash", "root_a"]).join(b, ["hash", "root_b"]).filter(enough & sized)
+    one = classes_met.join(a, ["hash", "root_a"]).filter(enough(F.col("n_a") - F.col("at_a"), F.col("rest_b"), F.col("n_a") + F.col("least_b")))
+    met = one.join(b, ["hash", "root_b"]).filter(rest & sized)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 

@@ -4,12 +4,14 @@ Words and pairs of neighbouring words are counted over all training texts. A cou
 1 + floor(log c / log BASE): the filter holds one entry for each n-gram and each level up to its own, so
 probing levels upwards until one is missing gives the level back, never too low. Built segment by segment on
 the executors, the filter is broadcast (at most ``MAX_FILTER_BYTES``). Where all n-grams would need more, it holds
-those from the smallest frequency that fits; each batch of texts asks for the others, once each, by a join with
-their exact counts, so that every n-gram counts at every size. A word's probability mixes the pair's share of its
-first word with the add-one share of the word itself.
-
-Beside the model's ``score`` stands an exact baseline: add-one unigrams from exact counts. The counts of the
-``FREQUENT`` most frequent words are broadcast; the rest are joined by shuffle, each word once for each text.
+those from the smallest frequency that fits. The others are held by a second filter of the same kind, whose segments
+stay where they were filled and grow in number with the text: each batch of texts sends the n-grams it
+has to ask for, once each, to their segments and gets the levels back, so that every n-gram counts at every size.
+A word's probability mixes the pair's share of its first word with the add-one share of the word itself; as levels
+round counts up or down, the probabilities after a word need not sum to one.
+
+Beside the model's ``score`` stands an exact baseline: add-one unigrams from exact counts. The counts of the most
+frequent words, at most ``FREQUENT``, are broadcast; the rest are joined by shuffle, each word once for each text.
 Words are known by 128-bit hashes.
 
 Defined cases: a null or empty text is one end token; without training texts all counts are zero; equal rows
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -41,8 +44,11 @@ MAX_FILTER_BYTES = 64 << 20
 SEGMENTS = 64
 FREQUENT = 300_000  # words whose exact counts are broadcast, 24 bytes each
 MIN_PAIR = 1  # the least count of a pair that counts: after a word seen once, its share is 1
+SEGMENT_TEXT = 1 << 20  # bytes of training text behind a segment of the filter that is not broadcast
 MIX = 0.5  # weight of the pair's share
-COUNTED_AT_ONCE = 4_000  # rows whose words are counted together before they are handed on
+COUNTED_CHARS = 12 << 20  # characters of texts whose words are counted together before they are handed on
+SCORED_BYTES = 4 << 20  # bytes of texts that are scored, and ask for n-grams, together
+FILLED_AT_ONCE = 1 << 20  # n-grams that are put into segments together
 SENT_AT_ONCE = 50_000  # counts of an Arrow batch, which the JVM holds outside its heap
 END = b"\n"  # no word: it is white space
 UNKNOWN = -1  # the level of an n-gram that the filter may leave out
@@ -105,26 +111,50 @@ class Batch:
         return np.concatenate([[0], self.ids[:-1]]) if len(self.ids) else self.ids
 
 
+def pieces(batches):
+    """Lists of whole texts, each of ``COUNTED_CHARS`` or little more, across Arrow batches."""
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 200):
+            texts = batch.column(0).slice(start, 200).to_pylist()
+            held += texts
+            size += sum(len(t) for t in texts if t)
+            if size >= COUNTED_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def partial_counts(batches):
-    """(kind, high, low, n) of every distinct word (0) and pair (1) of some rows."""
-    pieces = (batch.slice(start, COUNTED_AT_ONCE) for batch in batches for start in range(0, batch.num_rows, COUNTED_AT_ONCE))
-    for piece in pieces:
-        b = Batch(piece.column(0).to_pylist())
+    """(kind, high, low, n) of every distinct word (0) and pair (1, no low) of some rows."""
+    for texts in pieces(batches):
+        b = Batch(texts)
         words, n_words = np.unique(b.ids, return_counts=True)
         pairs, n_pairs = np.unique(b.before() * (len(b.high) + 1) + b.ids, return_counts=True)
         keys = pair_keys(b.high[pairs // (len(b.high) + 1)], b.high[pairs % (len(b.high) + 1)])
-        kind = np.concatenate([np.zeros(len(words), dtype=np.int32), np.ones(len(pairs), dtype=np.int32)])
+        is_pair = np.arange(len(words) + len(pairs)) >= len(words)
         high = np.concatenate([b.high[words], keys]).view(np.int64)
-        low = np.concatenate([b.low[words], np.zeros(len(pairs), dtype=np.uint64)]).view(np.int64)
+        low = pa.array(np.concatenate([b.low[words], np.zeros(len(pairs), dtype=np.uint64)]).view(np.int64), mask=is_pair)
         n = np.concatenate([n_words, n_pairs]).astype(np.int64)
-        counted = pa.RecordBatch.from_arrays([pa.array(c) for c in (kind, high, low, n)], names=["kind", "high", "low", "n"])
+        counted = pa.RecordBatch.from_arrays([pa.array(is_pair.astype(np.int32)), pa.array(high), low, pa.array(n)], names=["kind", "high", "low", "n"])
         yield from (counted.slice(start, SENT_AT_ONCE) for start in range(0, counted.num_rows, SENT_AT_ONCE))
 
 
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(kind, high, low, n) of all words and of all pairs."""
+def segments_for(texts: DataFrame) -> int:
+    """How many segments the n-grams that are not broadcast are dealt to: a power of two that grows with the text."""
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    return 1 << max(6, int(size // SEGMENT_TEXT).bit_length())
+
+
+def ngram_counts(texts: DataFrame, segments: int) -> DataFrame:
+    """(kind, high, low, n) of all words and of all pairs; the n-grams of a segment lie in one file.
+
+    Texts are counted before they are shuffled, so a row is an n-gram of a piece and no key is hot.
+    """
     parts = texts.mapInArrow(partial_counts, "kind int, high long, low long, n long")
-    counted = parts.groupBy("kind", "high", "low").agg(F.sum("n").alias("n"))
+    dealt = parts.withColumn("segment", F.pmod("high", F.lit(segments)).cast("int")).repartition("segment")
+    counted = dealt.groupBy("segment", "kind", "high", "low").agg(F.sum("n").alias("n")).drop("segment")
     return materialize(counted, "ngram_counts")
 
 
@@ -137,90 +167,148 @@ class Shape:
     least: int
 
 
-def shape_for(counts: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> Shape:
-    """The smallest frequency whose n-grams fit, and the filter's size for them."""
+def levels_of_counts(counts: DataFrame) -> list:
+    """(kind, level, rows, least count, tokens): one row for each kind and level."""
     level = (F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1).cast("int")
-    rows = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least")).collect()  # one for each level
-    by_level = sorted((r["level"], r["n"], r["least"]) for r in rows)
-    entries = sum(level * n for level, n, _ in by_level)
+    sums = (F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"), F.sum("n").alias("tokens"))
+    return counts.groupBy("kind", level.alias("level")).agg(*sums).collect()
+
+
+def bits_for(entries: int, segments: int) -> int:
+    bits = max(1 << 10, -(-entries * BITS_PER_ENTRY // segments))
+    return int(bits + -bits % 8)
+
+
+def shape_of(found: list, max_bytes: int) -> Shape:
+    by_level: dict[int, int] = {}
+    for r in found:
+        by_level[r["level"]] = by_level.get(r["level"], 0) + r["rows"]
+    entries = sum(level * n for level, n in by_level.items())
     least = 1
-    for level, n, _ in by_level:
+    for level, n in sorted(by_level.items()):
         if entries * BITS_PER_ENTRY <= max_bytes * 8:
             break
         entries -= level * n
         least = int(math.ceil(BASE**level - 1e-9))
-    bits = max(1 << 10, -(-entries * BITS_PER_ENTRY // SEGMENTS))
-    return Shape(int(bits + -bits % 8), max((level for level, _, _ in by_level), default=0), least)
+    return Shape(bits_for(entries, SEGMENTS), max(by_level, default=0), least)
+
+
+def shape_for(counts: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> Shape:
+    """The smallest frequency whose n-grams fit, and the filter's size for them."""
+    return shape_of(levels_of_counts(counts), max_bytes)
+
 
+def rest_shape(found: list, least: int, segments: int) -> Shape:
+    """The shape of the filter of n-grams that are rarer than ``least``."""
+    rarer = [r for r in found if r["least"] < least]
+    return Shape(bits_for(sum(r["level"] * r["rows"] for r in rarer), segments), max((r["level"] for r in rarer), default=0), 1)
 
-def positions(keys: np.ndarray, levels: np.ndarray, bits: int):
-    """The bit of each probe in a segment, probe after probe."""
+
+def frequent_from(found: list, most: int) -> int | None:
+    """The least count from which on there are at most ``most`` words; None if even the highest level holds more."""
+    least, held = None, 0
+    for r in sorted((r for r in found if r["kind"] == 0), key=lambda r: -r["level"]):
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["least"]
+    return least
+
+
+def probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of keys at a level start, and how far apart they are."""
     with np.errstate(over="ignore"):
-        h = mix(keys + levels.astype(np.uint64) * _M1)
-        step = mix(h) | np.uint64(1)
-        for i in range(PROBES):
-            yield ((h + np.uint64(i) * step) >> np.uint64(1)) % np.uint64(bits)
+        h = mix(keys + np.uint64(level) * _M1)
+    return h, mix(h) | np.uint64(1)
 
 
-def build_filter(counts: DataFrame, shape: Shape) -> bytes:
-    """The filter's segments, one after the other: each is filled by one task from the n-grams that belong to it."""
-
-    def fill(batches):
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            kind, high, n, segment = (batch.column(i).to_numpy() for i in range(4))
-            keys = np.where(kind == 1, high.view(np.uint64), word_keys(high.view(np.uint64)))
-            levels = level_of(n)
-            for s in np.unique(segment):
-                bits = own.setdefault(int(s), np.zeros(shape.segment_bits // 8, dtype=np.uint8))
-                at = segment == s
-                for level in range(1, int(levels[at].max()) + 1):
-                    held = keys[at & (levels >= level)]
-                    for p in positions(held, np.full(len(held), level), shape.segment_bits):
-                        np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), (1 << (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        for s, bits in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+def position(start: np.ndarray, step: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The bit of a probe in a segment."""
+    with np.errstate(over="ignore"):
+        return ((start + np.uint64(probe) * step) >> np.uint64(1)) % np.uint64(bits)
+
+
+def fill_segments(batches, segment_bits: int):
+    """(segment, bits) of the n-grams (kind, high, n, segment) of a task."""
+    own: dict[int, np.ndarray] = {}
+
+    def put(pending):
+        kind, high, n, segment = (np.concatenate(c) for c in zip(*pending))
+        keys = np.where(kind == 1, high.view(np.uint64), word_keys(high.view(np.uint64)))
+        order = np.argsort(segment, kind="stable")
+        keys, levels = keys[order], level_of(n)[order]
+        present, starts = np.unique(segment[order], return_index=True)
+        for s, start, end in zip(present.tolist(), starts, [*starts[1:], len(keys)]):
+            one = np.zeros(segment_bits, dtype=bool)
+            held, up_to = keys[start:end], levels[start:end]
+            for level in range(1, int(up_to.max()) + 1):
+                first, step = probes(held[up_to >= level], level)
+                for probe in range(PROBES):
+                    one[position(first, step, probe, segment_bits)] = True
+            packed = np.packbits(one, bitorder="little")
+            own[s] = own[s] | packed if s in own else packed
+
+    pending, rows = [], 0
+    for batch in batches:
+        pending.append([batch.column(i).to_numpy() for i in range(4)])
+        rows += batch.num_rows
+        if rows >= FILLED_AT_ONCE:
+            put(pending)
+            pending, rows = [], 0
+    if rows:
+        put(pending)
+    for s, bits in own.items():
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+
 
+def build_filter(counts: DataFrame, shape: Shape) -> bytes:
+    """The broadcast filter's segments, one after the other: each is filled by one task from the n-grams that belong to it."""
+    bits = shape.segment_bits
     held = counts.filter(F.col("n") >= shape.least).withColumn("segment", F.pmod("high", F.lit(SEGMENTS)).cast("int"))
-    parts = held.select("kind", "high", "n", "segment").repartition(SEGMENTS, "segment").mapInArrow(fill, "segment int, bits binary")
-    size = shape.segment_bits // 8
+    parts = held.select("kind", "high", "n", "segment").repartition(SEGMENTS, "segment").mapInArrow(lambda b: fill_segments(b, bits), "segment int, bits binary")
+    size = bits // 8
     whole = bytearray(size * SEGMENTS)
     for r in parts.toLocalIterator():  # at most MAX_FILTER_BYTES in all
         whole[r["segment"] * size : (r["segment"] + 1) * size] = r["bits"]
     return bytes(whole)
 
 
+def rest_segments(counts: DataFrame, below: int, shape: Shape, segments: int) -> DataFrame:
+    """(segment, bits) of the n-grams rarer than ``below``, filled where their file is read; a file that two tasks
+    read gives two rows of a segment."""
+    bits = shape.segment_bits
+    rarer = counts.filter(F.col("n") < below).select("kind", "high", "n", F.pmod("high", F.lit(segments)).cast("int").alias("segment"))
+    return rarer.mapInArrow(lambda b: fill_segments(b, bits), "segment int, bits binary")
+
+
+def levels_in(bits: np.ndarray, shape: Shape, keys: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """The level of each n-gram by repeated membership probes, 0 if it is not held; ``offset`` is the first byte of its segment."""
+    out = np.zeros(len(keys), dtype=np.int64)
+    alive = np.arange(len(keys))
+    for level in range(1, shape.levels + 1):
+        first, step = probes(keys[alive], level)
+        for probe in range(PROBES):
+            p = position(first, step, probe, shape.segment_bits)
+            byte = bits[offset[alive] + (p >> np.uint64(3)).astype(np.int64)]
+            held = (byte >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            if not held.all():
+                alive, first, step = alive[held], first[held], step[held]
+        if not len(alive):
+            break
+        out[alive] = level
+    return out
+
+
 class Filter:
-    """Levels of n-grams by repeated membership probes."""
+    """Levels of n-grams from the broadcast segments."""
 
     def __init__(self, segments: bytes, shape: Shape):
         self.bits = np.frombuffer(segments, dtype=np.uint8)  # the broadcast bytes themselves, no second copy
         self.shape = shape
 
-    def _held(self, keys: np.ndarray, offset: np.ndarray, level: int) -> np.ndarray:
-        alive = np.arange(len(keys))
-        for probe in range(PROBES):
-            if not len(alive):
-                break
-            own = keys[alive]
-            with np.errstate(over="ignore"):
-                h = mix(own + np.uint64(level) * _M1)
-                p = ((h + np.uint64(probe) * (mix(h) | np.uint64(1))) >> np.uint64(1)) % np.uint64(self.shape.segment_bits)
-            byte = self.bits[offset[alive] + (p >> np.uint64(3)).astype(np.int64)]
-            alive = alive[(byte >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        return alive
-
     def levels(self, keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, 0 if it is not held; ``owners`` are the hashes that choose the segment."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        offset = (owners.view(np.int64) % SEGMENTS) * (self.shape.segment_bits // 8)
-        alive = np.arange(len(keys))
-        for level in range(1, self.shape.levels + 1):
-            alive = alive[self._held(keys[alive], offset[alive], level)]
-            if not len(alive):
-                break
-            out[alive] = level
-        return out
+        """``owners`` are the hashes that choose the segment."""
+        return levels_in(self.bits, self.shape, keys, (owners.view(np.int64) % SEGMENTS) * (self.shape.segment_bits // 8))
 
 
 @dataclass(frozen=True)
@@ -232,22 +320,28 @@ class LanguageModel:
     frequent: object
     filter: object
     shape: Shape
+    rest: Shape  # of the filter that is not broadcast
+    segments: int  # of that filter
     name: str  # unlike any other model's
 
 
 def train(texts: DataFrame, frequent: int = FREQUENT, max_bytes: int = MAX_FILTER_BYTES) -> tuple[LanguageModel, DataFrame]:
     """The model of the one text column of ``texts``, and the exact counts (kind, high, low, n)."""
     context = texts.sparkSession.sparkContext
-    counts = ngram_counts(texts)
-    words = counts.filter("kind = 0")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
-    top = words.orderBy(F.desc("n"), "high", "low").limit(frequent).select("high", "low", "n").toArrow()
+    segments = segments_for(texts)
+    counts = ngram_counts(texts, segments)
+    found = levels_of_counts(counts)
+    words = [r for r in found if r["kind"] == 0]
+    least = frequent_from(found, frequent)
+    often = counts.filter("kind = 0").filter(F.lit(False) if least is None else F.col("n") >= least)
+    top = often.select("high", "low", "n").toArrow()
     high, low, n = (top.column(c).to_numpy() for c in ("high", "low", "n"))
     order = np.argsort(high.view(np.uint64), kind="stable")
     exact = context.broadcast((high.view(np.uint64)[order], low.view(np.uint64)[order], n[order]))
-    shape = shape_for(counts, max_bytes)
+    shape = shape_of(found, max_bytes)
     held = context.broadcast(build_filter(counts, shape))
-    return LanguageModel(int(totals["tokens"]), int(totals["words"]), exact, held, shape, uuid.uuid4().hex), counts
+    totals = sum(r["tokens"] for r in words), sum(r["rows"] for r in words)
+    return LanguageModel(*totals, exact, held, shape, rest_shape(found, shape.least, segments), segments, uuid.uuid4().hex), counts
 
 
 _filters: dict[str, Filter] = {}
@@ -297,7 +391,7 @@ def _lists(owners: np.ndarray, n_texts: int, **columns: np.ndarray) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)))
 
 
-def unanswered(batch: Batch, grams: Grams, owners: np.ndarray, n_texts: int) -> tuple[pa.ListArray, pa.ListArray]:
+def unanswered(batch: Batch, grams: Grams, owners: np.ndarray, n_texts: int, segments: int) -> tuple[pa.ListArray, pa.ListArray]:
     """Tokens whose levels are not all known, by text, and the n-grams to ask for, with the first text.
 
     A level that is not known is written as -1 - its place among those asked for.
@@ -312,9 +406,9 @@ def unanswered(batch: Batch, grams: Grams, owners: np.ndarray, n_texts: int) ->
     of, pair = codes // max(1, n), codes % max(1, n)
     small = lambda x: x.astype(np.int32)
     rest = _lists(of, n_texts, pair=small(together[pair]), first=small(single[grams.first[pair]]), second=small(single[grams.second[pair]]), times=small(times))
-    kind = small(np.repeat([0, 1], [len(words), len(pairs)]))
-    high = np.concatenate([batch.high[words], grams.keys[pairs]]).view(np.int64)
-    return rest, _lists(np.zeros(len(kind), dtype=np.int64), n_texts, kind=kind, high=high)
+    segment = small(np.concatenate([batch.high[words], grams.keys[pairs]]).view(np.int64) % segments)
+    key = np.concatenate([word_keys(batch.high[words]), grams.keys[pairs]]).view(np.int64)
+    return rest, _lists(np.zeros(len(key), dtype=np.int64), n_texts, segment=segment, key=key)
 
 
 def _exact(batch: Batch, table: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -345,15 +439,36 @@ def score_batch(rows: pa.StructArray, model: LanguageModel, number: int) -> list
     words = pairs % width
     others = _lists(pairs // width, n_texts, high=b.high[words].view(np.int64), low=b.low[words].view(np.int64), n=times.astype(np.int64))
     out = [np.diff(b.ends, prepend=0), per_text(found[b.ids].astype(float)).astype(np.int64), per_text(logs[b.ids]), score, others]
-    return out if model.shape.least == 1 else [*out, np.full(n_texts, number), *unanswered(b, grams, owners, n_texts)]
+    return out if model.shape.least == 1 else [*out, np.full(n_texts, number), *unanswered(b, grams, owners, n_texts, model.segments)]
+
+
+def in_pieces(rows: pa.StructArray, model: LanguageModel, numbers) -> list:
+    """The columns of ``score_batch``, for some rows at a time: ``SCORED_BYTES`` of texts, or one longer text."""
+    before = np.cumsum(pc.fill_null(pc.binary_length(rows.field("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(before // SCORED_BYTES, prepend=0)) if len(rows) else []
+    bounds = sorted({0, *cuts, len(rows)})
+    parts = [score_batch(rows.slice(a, b - a), model, next(numbers)) for a, b in zip(bounds, bounds[1:])] or [score_batch(rows, model, next(numbers))]
+    return [pa.concat_arrays([pa.array(x) for x in column]) for column in zip(*parts)]
 
 
 def rest_scores(rows: DataFrame, counts: DataFrame, model: LanguageModel) -> DataFrame:
-    """(_row, rest_score): the scores of the tokens that the filter left open, from exact counts of what it does not hold."""
-    tokens, words = model.tokens, model.words
-    asked = rows.filter(F.size("_asked") > 0).select(F.col("_batch").alias("asker"), F.posexplode("_asked").alias("place", "g")).select("asker", "place", "g.kind", "g.high")
-    # An n-gram is asked for once by each batch: one that many texts share is no hot key.
-    answers = asked.join(counts.filter(F.col("n") < model.shape.least).select("kind", "high", "n"), ["kind", "high"]).select("asker", "place", "n")
+    """(_row, rest_score): the scores of the tokens that the broadcast filter left open, from the segments of the other one."""
+    tokens, words, shape = model.tokens, model.words, model.rest
+    asked = rows.filter(F.size("_asked") > 0).select(F.col("_batch").alias("asker"), F.posexplode("_asked").alias("place", "g")).select("asker", "place", "g.key", "g.segment")
+    segments = rest_segments(counts, model.shape.least, shape, model.segments)
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), dtype=np.uint8) for x in right.column("bits")])
+            keys = left.column("key").to_numpy().view(np.uint64)
+            level = levels_in(bits, shape, keys, np.zeros(len(keys), dtype=np.int64))
+        else:
+            level = np.zeros(left.num_rows, dtype=np.int64)
+        found = pa.table({"asker": left.column("asker"), "place": left.column("place"), "level": pa.array(level.astype(np.int32))})
+        return found.filter(pa.array(level > 0))
+
+    # An n-gram is asked for once by each batch, and it is a rare one: one that many texts share is no hot key.
+    answers = asked.groupBy("segment").cogroup(segments.groupBy("segment")).applyInArrow(probe, "asker long, place int, level int")
     open_rows = rows.filter(F.size("_rest") > 0).select("_row", "_batch", "_rest")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -361,9 +476,9 @@ def rest_scores(rows: DataFrame, counts: DataFrame, model: LanguageModel) -> Dat
         flat = lists.flatten()
         pair, first, second, times = (flat.field(n).to_numpy().astype(np.int64) for n in ("pair", "first", "second", "times"))
         levels = np.zeros(1 + max((int(-x.min()) for x in (pair, first, second) if len(x)), default=0), dtype=np.int64)
-        place, n = right.column("place").to_numpy(), right.column("n").to_numpy()
+        place, level = right.column("place").to_numpy(), right.column("level").to_numpy()
         needed = place < len(levels) - 1
-        np.maximum.at(levels, place[needed], level_of(n[needed]))
+        levels[place[needed]] = level[needed]
         read = lambda x: np.where(x >= 0, x, levels[np.maximum(-1 - x, 0)])
         logs = log_probability(read(pair), read(first), read(second), tokens, words) * times
         owners = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
@@ -387,12 +502,12 @@ def lm_scores(df: DataFrame, training: Column, key: str = "doc_id", text: str =
         fields += [
             field("_batch", "long"),
             field("_rest", "array<struct<pair:int,first:int,second:int,times:int>>"),
-            field("_asked", "array<struct<kind:int,high:long>>"),
+            field("_asked", "array<struct<segment:int,key:long>>"),
         ]
 
     def make():
         numbers = itertools.count(TaskContext.get().partitionId() << 33)
-        return lambda rows: score_batch(rows, model, next(numbers))
+        return lambda rows: in_pieces(rows, model, numbers)
 
     given = df.select(df[f"`{key}`"], F.struct(F.coalesce(training, F.lit(False)).alias("training"), df[f"`{text}`"].alias("text")).alias("_given"))
     scored = add_columns(given, "_given", make, fields, [key], as_arrow=True)

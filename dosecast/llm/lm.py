@@ -44,12 +44,14 @@ MAX_FILTER_BYTES = 64 << 20
 SEGMENTS = 64
 FREQUENT = 300_000  # words whose exact counts are broadcast, 24 bytes each
 MIN_PAIR = 1  # the least count of a pair that counts: after a word seen once, its share is 1
-SEGMENT_TEXT = 1 << 20  # bytes of training text behind a segment of the filter that is not broadcast
+SEGMENT_TEXT = 4 << 20  # bytes of training text behind a segment of the filter that is not broadcast
 MIX = 0.5  # weight of the pair's share
 COUNTED_CHARS = 12 << 20  # characters of texts whose words are counted together before they are handed on
 SCORED_BYTES = 4 << 20  # bytes of texts that are scored, and ask for n-grams, together
 FILLED_AT_ONCE = 1 << 20  # n-grams that are put into segments together
 SENT_AT_ONCE = 50_000  # counts of an Arrow batch, which the JVM holds outside its heap
+ROWS_SENT = 500  # packed counts of an Arrow batch
+MERGED_AT_ONCE = 2 << 20  # counts of a segment that are held before they are merged
 END = b"\n"  # no word: it is white space
 UNKNOWN = -1  # the level of an n-gram that the filter may leave out
 
@@ -126,20 +128,76 @@ def pieces(batches):
         yield held
 
 
-def partial_counts(batches):
-    """(kind, high, low, n) of every distinct word (0) and pair (1, no low) of some rows."""
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all first bytes first: small and sorted numbers then compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def packed(kind: int, high: np.ndarray, low: np.ndarray | None, n: np.ndarray, segments: int):
+    """A row (segment, kind, high, low, n) for each segment, its n-grams in the order of their hashes."""
+    own = (high & np.uint64(segments - 1)).astype(np.int64)
+    bits = np.uint64(segments.bit_length() - 1)
+    order = np.argsort((high << (np.uint64(64) - bits)) | (high >> bits))
+    high, low, n, own = high[order], None if low is None else low[order], n[order], own[order]
+    present, starts = np.unique(own, return_index=True)
+    for s, start, end in zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), len(high)]):
+        yield s, kind, planes(high[start:end]), None if low is None else planes(low[start:end]), planes(n[start:end])
+
+
+def partial_counts(batches, segments: int):
+    """Packed counts of the distinct words (0) and pairs (1, no low) of some texts."""
+    schema = pa.schema([("segment", pa.int32()), ("kind", pa.int32()), ("high", pa.binary()), ("low", pa.binary()), ("n", pa.binary())])
     for texts in pieces(batches):
         b = Batch(texts)
         words, n_words = np.unique(b.ids, return_counts=True)
         pairs, n_pairs = np.unique(b.before() * (len(b.high) + 1) + b.ids, return_counts=True)
         keys = pair_keys(b.high[pairs // (len(b.high) + 1)], b.high[pairs % (len(b.high) + 1)])
-        is_pair = np.arange(len(words) + len(pairs)) >= len(words)
-        high = np.concatenate([b.high[words], keys]).view(np.int64)
-        low = pa.array(np.concatenate([b.low[words], np.zeros(len(pairs), dtype=np.uint64)]).view(np.int64), mask=is_pair)
-        n = np.concatenate([n_words, n_pairs]).astype(np.int64)
-        counted = pa.RecordBatch.from_arrays([pa.array(is_pair.astype(np.int32)), pa.array(high), low, pa.array(n)], names=["kind", "high", "low", "n"])
+        rows = itertools.chain(packed(0, b.high[words], b.low[words], n_words, segments), packed(1, keys, None, n_pairs, segments))
+        while some := list(itertools.islice(rows, ROWS_SENT)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+
+def merged(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal n-grams once, their counts summed."""
+    order = np.lexsort((low, high)) if low.any() else np.argsort(high)
+    high, low, n = high[order], low[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
+    return high[starts], low[starts], np.add.reduceat(n, starts)
+
+
+def merge_counts(batches):
+    """(kind, high, low, n) from packed counts in the order of (segment, kind); held are a segment's distinct n-grams of a kind
+    and ``MERGED_AT_ONCE`` more."""
+    held, size, done, place = [], 0, 0, None
+
+    def out():
+        kind, (high, low, n) = place[1], merged(*map(np.concatenate, zip(*held)))
+        lows = pa.array(low.view(np.int64)) if kind == 0 else pa.nulls(len(low), pa.int64())
+        counted = pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(high), kind, dtype=np.int32)), pa.array(high.view(np.int64)), lows, pa.array(n.astype(np.int64))], names=["kind", "high", "low", "n"]
+        )
         yield from (counted.slice(start, SENT_AT_ONCE) for start in range(0, counted.num_rows, SENT_AT_ONCE))
 
+    for batch in batches:
+        for row in zip(*(batch.column(i) for i in range(5))):
+            segment, kind, high, low, n = (x.as_py() for x in row)
+            if place != (segment, kind):
+                if held:
+                    yield from out()
+                held, size, done, place = [], 0, 0, (segment, kind)
+            keys = from_planes(high)
+            held.append((keys, from_planes(low) if low is not None else np.zeros(len(keys), dtype=np.uint64), from_planes(n)))
+            size += len(keys)
+            if size > max(MERGED_AT_ONCE, 2 * done):
+                held = [merged(*map(np.concatenate, zip(*held)))]
+                size = done = len(held[0][0])
+    if held:
+        yield from out()
+
 
 def segments_for(texts: DataFrame) -> int:
     """How many segments the n-grams that are not broadcast are dealt to: a power of two that grows with the text."""
@@ -150,11 +208,12 @@ def segments_for(texts: DataFrame) -> int:
 def ngram_counts(texts: DataFrame, segments: int) -> DataFrame:
     """(kind, high, low, n) of all words and of all pairs; the n-grams of a segment lie in one file.
 
-    Texts are counted before they are shuffled, so a row is an n-gram of a piece and no key is hot.
+    Texts are counted before they are shuffled, so an n-gram is sent once by each piece and no key is hot. A row of the
+    shuffle is what a piece and a segment have in common, packed.
     """
-    parts = texts.mapInArrow(partial_counts, "kind int, high long, low long, n long")
-    dealt = parts.withColumn("segment", F.pmod("high", F.lit(segments)).cast("int")).repartition("segment")
-    counted = dealt.groupBy("segment", "kind", "high", "low").agg(F.sum("n").alias("n")).drop("segment")
+    parts = texts.mapInArrow(lambda b: partial_counts(b, segments), "segment int, kind int, high binary, low binary, n binary")
+    dealt = parts.repartition("segment").sortWithinPartitions("segment", "kind")
+    counted = dealt.mapInArrow(merge_counts, "kind int, high long, low long, n long")
     return materialize(counted, "ngram_counts")
 
 

@@ -7,9 +7,11 @@ distances (square root of the divergence in bits, 0 to 1) to its language's refe
 texts are far from any reference by chance, so a limit is wider by ``slack / sqrt(length)``, and below a
 least length (words, characters) a distance does not count.
 
-Defined cases: a null text has no words and fails; a null or unseen language, or one beyond the
-``MAX_LANGUAGES`` with most words, is held against all references and the nearest counts; without any
-reference only the base rules count; equal rows give equal results; a null key is carried along; other
+The references of the ``MAX_LANGUAGES`` languages with most words are sent to the workers; those of further languages
+are joined to their texts, so a verdict does not depend on how many languages there are.
+
+Defined cases: a null text has no words and fails; a null language, or one without a text that passes the base rules, is
+held against all references that were sent and the nearest counts; without any reference only the base rules count; equal rows give equal results; a null key is carried along; other
 input columns play no part.
 """
 
@@ -117,13 +119,18 @@ def measured(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
-def references(stats: DataFrame) -> dict[str, tuple[list, list]]:
-    """Language -> histograms summed over its texts that pass the base rules; at most ``MAX_LANGUAGES``."""
+def references(stats: DataFrame) -> tuple[dict[str, tuple[list, list]], DataFrame]:
+    """Histograms of each language, summed over its texts that pass the base rules: of the ``MAX_LANGUAGES`` with most words
+    as a dict, of all others as a table (_language, _own: their classes and common words)."""
     sums = [F.sum(F.col(c)[i]).alias(f"{c}_{i}") for c, n in (("classes", len(CLASSES)), ("common", len(COMMON) + 1)) for i in range(n)]
     usable = stats.filter("NOT base_failed AND _language IS NOT NULL").groupBy("_language").agg(F.sum("n_words").alias("_n"), *sums)
-    rows = usable.orderBy(F.desc("_n"), "_language").limit(MAX_LANGUAGES).collect()
+    every = materialize(usable, "quality_references")
+    rows = every.orderBy(F.desc("_n"), "_language").limit(MAX_LANGUAGES).collect()
     cells = len(CLASSES)
-    return {r["_language"]: (list(r[2 : 2 + cells]), list(r[2 + cells :])) for r in rows}
+    sent = {r["_language"]: (list(r[2 : 2 + cells]), list(r[2 + cells :])) for r in rows}
+    others = every.filter(~F.col("_language").isin(*sent)) if sent else every
+    classes, common = (F.array(*[c for c in every.columns if c.startswith(f"{name}_")]).alias(name) for name in ("classes", "common"))
+    return sent, others.select("_language", F.struct(classes, common).alias("_own"))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -151,7 +158,7 @@ def quality(
 ) -> DataFrame:
     """One row per text: the base counts and verdict, both distances, and ``kept``."""
     stats = materialize(measured(df, key, text, language), "quality_stats")
-    held = references(stats)
+    held, others = references(stats)
     names = list(held)
     reference = [np.array([held[n][i] for n in names], dtype=float) for i in (0, 1)]
 
@@ -167,14 +174,19 @@ def quality(
                 own = np.array([r[what] for r in rows], dtype=float)
                 every = np.stack([js_distance(own, np.broadcast_to(x, own.shape)) for x in reference[i]])
                 at = np.array([place.get(r["_language"], -1) for r in rows])
-                out[i] = np.where(at >= 0, every[at, np.arange(len(rows))], every.min(0)).tolist()
+                found = np.where(at >= 0, every[at, np.arange(len(rows))], every.min(0))
+                joined = [j for j, r in enumerate(rows) if r["_own"] is not None]
+                if joined:
+                    found[joined] = js_distance(own[joined], np.array([rows[j]["_own"][what] for j in joined], dtype=float))
+                out[i] = found.tolist()
             return out
 
         return work
 
     keep = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_chars"]
-    packed = stats.withColumn("_chars", F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)).withColumn(
-        "_histograms", F.struct("_language", "classes", "common")
+    # The languages that hold many texts are among those sent, so no key of this join is hot.
+    packed = stats.join(others, "_language", "left").withColumn("_chars", F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)).withColumn(
+        "_histograms", F.struct("_language", "classes", "common", "_own")
     )
     scored = add_columns(packed, "_histograms", make, [field("class_distance", "double"), field("word_distance", "double")], keep)
     limit = lambda base, slack, length: base + slack / F.sqrt(F.greatest(F.col(length), F.lit(1)))

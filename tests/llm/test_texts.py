@@ -113,6 +113,25 @@ def test_quality_drops_odd_texts_and_keeps_plain_ones(spark):
     assert not any(got[i]["kept"] for i in (100, 101, 102, 103, 105)) and got[102]["base_failed"] and not got[100]["base_failed"]
 
 
+def test_quality_does_not_depend_on_the_number_of_languages(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(6):
+        vocabulary = ["the", "of"] + [word("aeioulnrst" if i % 2 else "BCDFG789") for _ in range(200)]
+        rows += [(100 * i + j, f"l{i}", " ".join(rng.choice(vocabulary) for _ in range(60 + 10 * i))) for j in range(4)]
+    rows += [(900, None, rows[0][2]), (901, "none passes", "few words"), (902, "l0", rows[-1][2])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    columns = ["doc_id", "class_distance", "word_distance", "kept"]
+    read = lambda: {r["doc_id"]: tuple(r) for r in quality.quality(df).select(*columns).collect()}
+    want = read()
+    for most in (1, 3):
+        monkeypatch.setattr(quality, "MAX_LANGUAGES", most)
+        got = read()
+        assert {i: v for i, v in got.items() if i not in (900, 901)} == {i: v for i, v in want.items() if i not in (900, 901)}
+    assert len(want) == len(rows)
+
+
 def test_quality_defined_cases(spark, edges):
     got = quality.quality(edges)
     assert got.count() == edges.count() and got.filter("doc_id = 0 AND n_words = 0 AND base_failed AND NOT kept").count() == 1

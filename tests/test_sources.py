@@ -79,3 +79,23 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.scratch_root(Session())
+
+
+def test_prompts_are_written_packed_and_read_whole(spark, monkeypatch):
+    from pathlib import Path
+
+    from dosecast.operators.prompts import prompt_table
+
+    monkeypatch.setattr(tables, "PACKED_ROWS", 50)
+    names = ["AUC", "label", "cell_line_name", "cancer_type", "Cellline_desc", "drug_name", "drug_desc"]
+    rows = [(i / 8, "Resistant", f"cell {i}", 'a "type"', "first\nsecond", None if i % 7 == 0 else f"drug\t{i}", "NA") for i in range(160)]
+    prompts = prompt_table(spark.createDataFrame(rows, "AUC double, " + ", ".join(f"{n} string" for n in names[1:]))).coalesce(1)
+    plain, path = scratch_path(spark, "plain.tsv"), scratch_path(spark, "prompts.tsv")
+    tables.write_text_table(prompts, plain)
+    tables.write_prompts(prompts, path)
+    files = [f for f in Path(path.removeprefix("file:")).iterdir() if f.name.endswith(".csv.gz")]
+    assert len(files) == 4  # each of at most 50 rows, so that tasks share them
+    texts = [f for f in Path(plain.removeprefix("file:")).iterdir() if f.name.endswith(".csv")]
+    assert 5 * sum(f.stat().st_size for f in files) < sum(f.stat().st_size for f in texts)
+    found, wanted = ({tuple(r) for r in tables.read_prompts(spark, p).collect()} for p in (path, plain))
+    assert found == wanted and len(found) == 160

@@ -314,3 +314,26 @@ def test_rows_without_a_key_get_one_each(spark):
     assert len(keyed) == 4 and len({r["row_id"] for r in keyed}) == 4
     assert content_keys(df).exceptAll(content_keys(df.repartition(3))).isEmpty()
     assert content_keys(df.limit(0)).isEmpty()
+
+
+def test_an_adam_step_is_the_plain_one_in_little_room():
+    import tracemalloc
+
+    from dosecast.operators import neural
+
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(32, 64)).astype(np.float32), rng.normal(size=32).astype(np.float32)
+    state = neural.NetState.fresh(neural.NetSpec("a", hidden=(512, 512), l2=1e-3), 64)
+    gradient = np.empty_like(state.theta)
+    for step in range(1, 4):
+        theta, first, second = state.theta.copy(), state.first.copy(), state.second.copy()
+        tracemalloc.start()
+        neural.adam_step(state, x, y, gradient)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 2 * state.theta.nbytes  # the penalty's product, activations and blocks; no copies of moments
+        first += (1 - neural.DECAY_1) * (gradient - first)
+        second += (1 - neural.DECAY_2) * (gradient * gradient - second)
+        scale = state.spec.learning_rate * (1 - neural.DECAY_2**step) ** 0.5 / (1 - neural.DECAY_1**step)
+        theta -= scale * first / (np.sqrt(second) + neural.EPSILON)
+        assert all(np.array_equal(a, b) for a, b in ((theta, state.theta), (first, state.first), (second, state.second)))

@@ -168,3 +168,21 @@ def test_tail_has_no_step_where_the_method_changes():
     for z in (0.5, 2.0, 6.0):
         below, above = (two_sided_p(z / math.sqrt(n), n) for n in (1e6, 1e6 + 1))
         assert below == pytest.approx(above, rel=1e-7)
+
+
+@pytest.mark.parametrize("bundle_rows", [2_000_000, 2_100])
+def test_groups_share_the_hashes_of_their_draws(spark, monkeypatch, bundle_rows):
+    monkeypatch.setattr(metrics, "BUNDLE_ROWS", bundle_rows)
+    hashes = metrics.draw_hashes(9, 3, 40)
+    assert [int(h) for h in hashes] == [int(hashlib.md5(f"9:3:{i}".encode()).hexdigest()[:16], 16) >> 4 for i in range(40)]
+    frame = pairs_frame(90)
+    frame["g"] = np.where(frame["id"] < 50, "many", np.where(frame["id"] < 70, "few", "as few"))
+    pairs = spark.createDataFrame(frame)
+    packed = {r["g"]: r for r in metrics.value_classes(pairs, "id", ["g"], 9).collect()}
+    assert {g: r["_n"] for g, r in packed.items()} == {"many": 50, "few": 20, "as few": 20}
+    sizes = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    got = {(r["g"], r["rep"]): r["spearman"] for r in metrics.replicates_in_parts(pairs, "id", sizes, ["g"], 12, 9).collect()}
+    assert len(got) == 36
+    for g in packed:
+        alone = metrics.replicates_in_parts(pairs.filter(F.col("g") == g), "id", sizes.filter(F.col("g") == g), ["g"], 12, 9)
+        assert all(got[g, r["rep"]] == r["spearman"] for r in alone.collect())

@@ -81,7 +81,7 @@ class ResponseRegressor(Estimator, ResponseParams, DefaultParamsReadable, Defaul
     def _fit(self, dataset: DataFrame) -> "ResponseModel":
         (name,) = chosen_models(self.value("modelName"))
         features, label, split, group = self.value("featuresCol"), self.value("labelCol"), self.value("splitCol"), self.group()
-        usable = dataset.filter(~unusable(Columns(features=features, target=label)))
+        usable = dataset.filter(~unusable(dataset, Columns(features=features, target=label)))
         if name in SPECS:
             picked = [F.col(self.value("keyCol")).alias("_key"), F.col(features).alias("features"), F.col(label).cast("double").alias("y"), F.col(split).alias("split")]
             rows = usable.select(*picked, *([F.col(group).cast("string").alias("_of")] if group else []))

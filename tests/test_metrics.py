@@ -186,3 +186,23 @@ def test_groups_share_the_hashes_of_their_draws(spark, monkeypatch, bundle_rows)
     for g in packed:
         alone = metrics.replicates_in_parts(pairs.filter(F.col("g") == g), "id", sizes.filter(F.col("g") == g), ["g"], 12, 9)
         assert all(got[g, r["rep"]] == r["spearman"] for r in alone.collect())
+
+
+@pytest.mark.parametrize("n", [0, 7, 1000, 1001, 25_000, 110_003])
+def test_numbers_digested_side_by_side_have_the_same_md5(n):
+    plain = [int(hashlib.md5(f"42:17:{i}".encode()).hexdigest()[:16], 16) >> 4 for i in range(n)]
+    assert metrics.draw_hashes(42, 17, n).tolist() == plain
+
+
+def test_a_long_message_is_digested_plainly():
+    seed = 10**52
+    assert metrics.draw_hashes(seed, 3, 1002)[-1] == int(hashlib.md5(f"{seed}:3:1001".encode()).hexdigest()[:16], 16) >> 4
+
+
+def test_no_draw_of_a_group_of_half_a_million_rows_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(metrics.BootstrapRows, "draws", lambda self, replicates: pytest.fail("draws left their task"))
+    y, noise = (F.col("id") % 11).cast("double"), (F.xxhash64("id") % 1000).cast("double") / 100
+    rows = spark.range(500_000).select("id", y.alias("y"), (y + noise).alias("p"))
+    row = metrics.bootstrap_ci(rows, "id", n_bootstrap=4).first()
+    estimate = metrics.spearman(rows).first()["spearman"]
+    assert row["replicates"] == 4 and row["ci_lower"] < row["ci_upper"] and abs(row["ci_lower"] - estimate) < 0.01

@@ -337,3 +337,34 @@ def test_an_adam_step_is_the_plain_one_in_little_room():
         scale = state.spec.learning_rate * (1 - neural.DECAY_2**step) ** 0.5 / (1 - neural.DECAY_1**step)
         theta -= scale * first / (np.sqrt(second) + neural.EPSILON)
         assert all(np.array_equal(a, b) for a, b in ((theta, state.theta), (first, state.first), (second, state.second)))
+
+
+def test_equal_vectors_have_equal_predictions(spark):
+    rng = np.random.default_rng(8)
+    kinds = rng.normal(size=(3, 64)).astype(np.float32)
+    rows = [(i, kinds[i % 3].tolist(), float(i % 7)) for i in range(2003)]
+    df = spark.createDataFrame(rows, "row_id long, features array<float>, y double").repartition(3)
+    model = spark.createDataFrame([("all", 0.1, rng.normal(size=64).tolist())], "model_group string, intercept double, coefficients array<double>")
+    assert linear.predict_linear(model, df).select("p").distinct().count() == 3
+
+
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_rows_with_a_missing_cell_are_unusable(spark, kind):
+    nan = float("nan")
+    cells = [[1, 2], [None, 2], [1, None], None, [], *([] if kind == "int" else [[1, nan], [nan, None], [nan]])]
+    rows = [(i, c if c is None or kind == "int" else [None if v is None else float(v) for v in c], 1.0) for i, c in enumerate(cells)]
+    rows += [(20, rows[0][1], None), (21, rows[0][1], nan)]
+    df = spark.createDataFrame(rows, f"row_id long, features array<{kind}>, AUC double")
+    kept = df.filter(~modeling.unusable(df, modeling.Columns()))
+    assert sorted(r["row_id"] for r in kept.collect()) == [0, 4]
+
+
+def test_rows_of_few_groups_are_folded_as_they_come(spark):
+    rng = np.random.default_rng(9)
+    rows = [(x.tolist(), float(x[0] + x[1] * (i % 3)), f"g{i % 3}") for i, x in enumerate(rng.normal(size=(6000, 4)))]
+    df = spark.createDataFrame(rows, "features array<double>, y double, kind string").repartition(2)
+    plain = linear.factor_rows(df, "kind", "features", "y", 4, np.zeros(5), 2, groups=3)
+    assert "Sort" not in plain._jdf.queryExecution().toString()
+    assert plain.filter("_row = 0").count() <= 2 * 3
+    for r in linear.fit_linear(df, "kind").collect():
+        assert np.allclose(r["coefficients"], [1, int(r["kind"][1]), 0, 0], atol=1e-9) and r["n"] == 2000

@@ -99,3 +99,15 @@ def test_prompts_are_written_packed_and_read_whole(spark, monkeypatch):
     assert 5 * sum(f.stat().st_size for f in files) < sum(f.stat().st_size for f in texts)
     found, wanted = ({tuple(r) for r in tables.read_prompts(spark, p).collect()} for p in (path, plain))
     assert found == wanted and len(found) == 160
+
+
+def test_variants_are_written_without_a_sort(spark):
+    rows = spark.range(200).selectExpr("id", "'study' AS dataset", "concat('v', id % 20) AS variant")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    path = scratch_path(spark, "variants")
+    seen = []
+    watch = type("Writer", (), {"partitionBy": lambda self, *by: self, "parquet": lambda self, path: seen.append(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters"))})
+    tables.write_features_variants(type("Rows", (), {"sparkSession": spark, "write": watch()})(), path)
+    assert seen == [str(tables.OPEN_FILES)] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    tables.write_features_variants(rows, path)  # more variants than a task keeps open
+    assert spark.read.parquet(path).count() == 200 and spark.read.parquet(path).select("variant").distinct().count() == 20

@@ -368,3 +368,16 @@ def test_rows_of_few_groups_are_folded_as_they_come(spark):
     assert plain.filter("_row = 0").count() <= 2 * 3
     for r in linear.fit_linear(df, "kind").collect():
         assert np.allclose(r["coefficients"], [1, int(r["kind"][1]), 0, 0], atol=1e-9) and r["n"] == 2000
+
+
+def test_parts_are_averaged_by_their_rows_in_order():
+    spec = neural.NetSpec("m", hidden=(3,))
+    states = [neural.NetState.fresh(neural.NetSpec("m", hidden=(3,), seed=s), 2) for s in (1, 2)]
+    tallies = [np.array([n, 0.5, 2, 0.25, 1]) for n in (30.0, 10.0)]
+    batches = [b for part, (s, t) in enumerate(zip(states, tallies)) for b in neural.state_rows("m", part, s, t, None)]
+    (row,) = neural.averaged(batches)
+    want = (30 * states[0].theta.astype(float) + 10 * states[1].theta.astype(float)) / 40
+    got = np.frombuffer(row.column("cells")[0].as_buffer(), np.float32)[: spec.parameters(2)]
+    assert np.array_equal(got, want.astype(np.float32))
+    assert [row.column(c)[0].as_py() for c in neural.TALLY] == [40, 1.0, 4, 0.5, 2]
+    assert list(neural.averaged([])) == []

@@ -111,3 +111,22 @@ def test_variants_are_written_without_a_sort(spark):
     assert seen == [str(tables.OPEN_FILES)] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
     tables.write_features_variants(rows, path)  # more variants than a task keeps open
     assert spark.read.parquet(path).count() == 200 and spark.read.parquet(path).select("variant").distinct().count() == 20
+
+
+def test_like_prompts_are_neighbours_in_less_room(spark):
+    from pathlib import Path
+
+    from dosecast.operators.prompts import prompt_table
+
+    names = ["label", "cell_line_name", "cancer_type", "Cellline_desc", "drug_name", "drug_desc"]
+    rows = [(i % 97 / 8, "Resistant", f"cell {i * 7 % 60}", "type", "tissue", None if i % 40 == 0 else f"drug {i % 40}", "NA") for i in range(3000)]
+    response = spark.createDataFrame(rows, "AUC double, " + ", ".join(f"{n} string" for n in names)).coalesce(1)
+    sizes, found = [], []
+    for alike in (False, True):
+        path = scratch_path(spark, "prompts.tsv")
+        tables.write_prompts(prompt_table(response, alike=alike), path)
+        sizes.append(sum(f.stat().st_size for f in Path(path.removeprefix("file:")).iterdir() if f.name.endswith(".csv.gz")))
+        found.append({tuple(r) for r in tables.read_prompts(spark, path).collect()})
+    assert found[0] == found[1] and 5 * sizes[1] < 4 * sizes[0]
+    with_context = prompt_table(response.withColumn("CONTEXT", response["label"]), alike=True)
+    assert with_context.count() == len(found[0])
